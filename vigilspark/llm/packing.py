@@ -17,6 +17,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -141,6 +142,12 @@ class WordTokenizer:
         return np.concatenate(parts)
 
 
+@lru_cache(maxsize=1)
+def word_tokenizer(path: str) -> WordTokenizer:
+    """One table for all tasks of a Python worker."""
+    return WordTokenizer(path)
+
+
 def closest_multiset(lengths: dict[int, int], capacity: int) -> tuple[int, dict[int, int]]:
     """The reachable sum nearest below or at `capacity`, and how many of each length make it up.
 
@@ -256,7 +263,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         packer = Packer((context.partitionId() if context else 0) << 33, capacity, lookahead, tail)
-        words = WordTokenizer(tokenizer_path)
+        words = word_tokenizer(tokenizer_path)
         end = np.array([end_id], dtype=np.uint32)
         for batch in batches:
             data, offs, _ = common.text_buffers(batch.column(1))
