@@ -39,9 +39,15 @@ DELETIONS_TO = 160
 #: A bucket of at most so many different sets compares them all; a larger one goes by its leader first.
 SMALL = 8
 
+#: Bounds of the cost model: documents sampled for frequent shingles, and how many of those are kept.
+SAMPLE = 4000
+FREQUENT = 1 << 16
+#: At most so many document ids (16 MB in memory) are broadcast to find their texts; more are joined by shuffle.
+BROADCAST_NODES = 400_000
+
 _U = np.uint64
 _BLOB = "part int, docs array<bigint>, sizes array<int>, h1 array<bigint>, h2 array<bigint>, home array<boolean>, counts array<int>, sigs array<bigint>"
-_FOUND = "part int, doc array<bigint>, n array<int>, h1 array<bigint>, h2 array<bigint>, a array<bigint>, b array<bigint>, gid array<bigint>, node array<bigint>, probe array<boolean>"
+_FOUND = "part int, doc array<bigint>, n array<int>, h1 array<bigint>, h2 array<bigint>, a array<bigint>, b array<bigint>, gid array<bigint>, node array<bigint>, probe array<bigint>"
 _ROWS = "kind int, x bigint, y bigint, z bigint, w bigint"
 DOC, PAIR, MEMBER = 0, 1, 2
 
@@ -85,16 +91,23 @@ class Scheme:
         high = self.highs[band]
         return max(self.bound(high, high * self.den // self.num) + 1, int(high / self.load) + 1)
 
-    def signatures(self, tokens: np.ndarray) -> np.ndarray:
-        """The set's signatures; the lowest bit tells probes (1) from mere index entries (0)."""
+    def signatures(self, tokens: np.ndarray, common_: np.ndarray | None = None) -> np.ndarray:
+        """The set's signatures; the lowest bit tells probes (1) from mere index entries (0).
+
+        `common_` (sorted) names frequent shingles: a segment is as selective as it has others.
+        """
         n = len(tokens)
+        rare = np.ones(n, dtype=np.int64)
+        if common_ is not None and len(common_):
+            at = np.minimum(np.searchsorted(common_, tokens), len(common_) - 1)
+            rare = (common_[at] != tokens).astype(np.int64)
         own = self.band(n)
-        out = [self._in_band(tokens, own, self.bound(n, n) + 1, True)]
+        out = [self._in_band(tokens, rare, own, self.bound(n, n) + 1, True)]
         if own and -(-n * self.num // self.den) <= self.highs[own - 1]:
-            out.append(self._in_band(tokens, own - 1, self.bound(self.highs[own - 1], n) + 1, False))
+            out.append(self._in_band(tokens, rare, own - 1, self.bound(self.highs[own - 1], n) + 1, False))
         return np.concatenate(out)
 
-    def _in_band(self, tokens: np.ndarray, band: int, units: int, index: bool) -> np.ndarray:
+    def _in_band(self, tokens: np.ndarray, rare: np.ndarray, band: int, units: int, index: bool) -> np.ndarray:
         m = self.segments(band)
         salt = common.mix(np.array([band + 1], dtype=_U))[0]
         h = common.mix(tokens ^ salt)
@@ -106,15 +119,16 @@ class Scheme:
         sums = np.add.reduceat(h, first)
         keys = common.mix(seg[first] + salt)
         exact = common.mix(sums ^ keys)
-        rank = np.argsort(-counts, kind="stable")
+        worth = np.add.reduceat(rare[order], first)
+        rank = np.lexsort((-counts, -worth))
         small = self.highs[band] <= DELETIONS_TO
         probe = np.zeros(len(first), dtype=bool)
         deletion = np.zeros(len(first), dtype=bool)
-        full = int((counts >= 2).sum())
+        full = int((worth >= 2).sum())
         probe[rank[: min(units, full)]] = True
         short = units - min(units, full)
         if short and small:
-            wide = rank[: int((counts >= 3).sum())][:short]
+            wide = rank[: int((worth >= 3).sum())][:short]
             deletion[wide] = True
             short -= len(wide)
         if short:
@@ -154,14 +168,14 @@ def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(np.concatenate(values) if values else np.zeros(0), kind))
 
 
-def _emit(parts: int, width: int, threshold: tuple[int, int]):
+def _emit(parts: int, width: int, threshold: tuple[int, int], frequent: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = scheme(threshold)
         met: set[tuple[int, int]] = set()
         for batch in batches:
             data, offs, _ = common.text_buffers(batch.column(1))
             ids = np.asarray(batch.column(0))
-            for i, j in common.row_chunks(offs, 16 << 20):
+            for i, j in common.row_chunks(offs, 4 * common.CHUNK_BYTES):
                 docs, sizes, h1, h2, sigs, owners = ids[i:j], [], [], [], [], []
                 sub = [shingle_sets(data, offs[s : e + 1], width) for s, e in ((i + s, i + e) for s, e in common.row_chunks(offs[i : j + 1]))]
                 for k, tokens in enumerate(t for part in sub for t in part):
@@ -173,7 +187,7 @@ def _emit(parts: int, width: int, threshold: tuple[int, int]):
                     h2.append(two)
                     if n and (n, one) not in met:
                         met.add((n, one))
-                        s = plan.signatures(tokens)
+                        s = plan.signatures(tokens, frequent)
                         sigs.append(s)
                         owners.append(np.full(len(s), k, dtype=np.int32))
                 sizes, h1, h2 = np.array(sizes, np.int32), np.array(h1, _U), np.array(h2, _U)
@@ -219,6 +233,7 @@ def _buckets(parts: int, threshold: tuple[int, int]):
 
     def _bucket(got: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         docs, sizes, h1, h2, home, counts, sigs = (np.concatenate(c) for c in zip(*got, strict=True))
+        got.clear()
         node = np.repeat(np.arange(len(docs)), counts)
         sig = sigs.view(_U)
         key, probing = sig >> _U(1), (sig & _U(1)).astype(bool)
@@ -227,6 +242,7 @@ def _buckets(parts: int, threshold: tuple[int, int]):
         same = key[1:] == key[:-1]
         live = np.concatenate([same, [False]]) | np.concatenate([[False], same])
         key, probing, node = key[live], probing[live], node[live]
+        del sig, sigs, order, same, live
         # one entry for each signature and set: the smallest document, a probe if any entry is one
         order = np.lexsort((~probing, docs[node], h1[node], sizes[node], key))
         key, probing, node = key[order], probing[order], node[order]
@@ -239,36 +255,37 @@ def _buckets(parts: int, threshold: tuple[int, int]):
         last = np.append(first[1:], len(key))
         big = np.flatnonzero(last - first >= 2)
         doc_l, size_l, probe_l = docs[node].tolist(), sizes[node].tolist(), probing.tolist()
-        seen: set[tuple] = set()
+        seen: set[int] = set()
         pairs: set[tuple[int, int]] = set()
-        groups: dict[int, list[tuple[int, bool]]] = {}
+        groups: dict[int, list[tuple[int, bool, int]]] = {}
         for g in big.tolist():
             s, e = int(first[g]), int(last[g])
             if not any(probe_l[s:e]):
                 continue
             who = tuple(zip(doc_l[s:e], probe_l[s:e], size_l[s:e], strict=True))
-            if who in seen:
+            list_id = hash(who)
+            if list_id in seen:
                 continue
-            seen.add(who)
+            seen.add(list_id)
             if e - s <= SMALL:
                 pairs.update((min(x, y), max(x, y)) for i, (x, px, nx) in enumerate(who) for y, py, ny in who[:i] if (px or py) and num * max(nx, ny) <= den * min(nx, ny) and x != y)
             else:
                 lead = min(x for x, _, _ in who)
                 pairs.update((lead, x) for x, _, _ in who if x != lead)
-                groups[hash(who)] = [(x, p) for x, p, _ in who]
+                groups[list_id] = [(x, p, n) for x, p, n in who]
         yield from _routed(docs[home], sizes[home], h1[home], h2[home], pairs, groups)
 
     def _routed(doc, n, h1, h2, pairs, groups) -> Iterator[pa.RecordBatch]:
         ab = np.array(sorted(pairs), dtype=np.int64).reshape(-1, 2)
-        members = np.array([(g, x, p) for g, who in groups.items() for x, p in who], dtype=np.int64).reshape(-1, 3)
+        members = np.array([(g, x, 2 * n + p) for g, who in groups.items() for x, p, n in who], dtype=np.int64).reshape(-1, 3)
         targets = [common.mix(doc.view(_U) + _U(1)) % _U(parts), common.mix(ab[:, 0].copy().view(_U) * _U(31) + ab[:, 1].copy().view(_U)) % _U(parts), common.mix(members[:, 0].copy().view(_U)) % _U(parts)]
         which = np.unique(np.concatenate(targets)).astype(np.int32)
         rows = []
         for p in which.tolist():
             d, e, m = (t == p for t in targets)
-            rows.append([doc[d], n[d], h1[d], h2[d], ab[e, 0], ab[e, 1], members[m, 0], members[m, 1], members[m, 2].astype(bool)])
+            rows.append([doc[d], n[d], h1[d], h2[d], ab[e, 0], ab[e, 1], members[m, 0], members[m, 1], members[m, 2]])
         if rows:
-            kinds = (pa.int64(), pa.int32(), *[pa.int64()] * 6, pa.bool_())
+            kinds = (pa.int64(), pa.int32(), *[pa.int64()] * 7)
             yield pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), *[_lists(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]], names=[c.split()[0] for c in _FOUND.split(", ")])
 
     return run
@@ -287,7 +304,7 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(doc := _flat(batch.column(1))):
             yield rows(DOC, doc, *[_flat(batch.column(c)) for c in (2, 3, 4)])
         pairs.append(np.stack([_flat(batch.column(5)), _flat(batch.column(6))], axis=1))
-        members.append(np.stack([_flat(batch.column(7)), _flat(batch.column(8)), _flat(batch.column(9)).astype(np.int64)], axis=1))
+        members.append(np.stack([_flat(batch.column(7)), _flat(batch.column(8)), _flat(batch.column(9))], axis=1))
     if pairs and len(p := np.unique(np.concatenate(pairs), axis=0)):
         yield rows(PAIR, p[:, 0], p[:, 1])
     if members and len(m := np.unique(np.concatenate(members), axis=0)):
@@ -304,10 +321,22 @@ def _sets(width: int):
     return run
 
 
+def frequent_shingles(docs: DataFrame, width: int = WIDTH, sample: int = SAMPLE, most: int = FREQUENT) -> np.ndarray:
+    """Shingles of passages that many documents share, as seen in about `sample` documents; at most `most` of them.
+
+    They only steer which segments are probed; candidates and links don't depend on them.
+    """
+    n = max(1, docs.count())
+    some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(1_000_003 * min(1.0, sample / n)))
+    tokens = some.mapInArrow(_sets(width), "node bigint, tokens array<bigint>").select(F.explode("tokens").alias("t"))
+    rows = tokens.groupBy("t").count().filter("count >= 3").orderBy(F.desc("count"), "t").limit(most).collect()
+    return np.sort(np.array([r["t"] for r in rows], dtype=np.int64).view(_U))
+
+
 def candidates(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """Documents (size and set hash), candidate pairs and members of large buckets, stored (see _ROWS)."""
     parts = common.partitions(docs.sparkSession)
-    blobs = docs.mapInArrow(_emit(parts, width, threshold), _BLOB)
+    blobs = docs.mapInArrow(_emit(parts, width, threshold, frequent_shingles(docs, width)), _BLOB)
     found = blobs.repartition(parts, "part").mapInArrow(_buckets(parts, threshold), _FOUND)
     return common.stored(found.repartition(parts, "part").mapInArrow(_distinct, _ROWS), "candidates")
 
@@ -315,8 +344,11 @@ def candidates(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int] =
 def verified(pairs: DataFrame, texts: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
     num, den = threshold
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = texts.join(nodes, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(width), "node bigint, tokens array<bigint>")
+    nodes = common.stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "nodes")
+    if nodes.count() <= BROADCAST_NODES:
+        nodes = F.broadcast(nodes)
+    sets = texts.join(nodes, "doc_id", "left_semi").mapInArrow(_sets(width), "node bigint, tokens array<bigint>")
+    sets = common.stored(sets.dropDuplicates(["node"]), "sets")
     joined = pairs.join(sets.toDF("b", "tb"), "b").join(sets.toDF("a", "ta"), "a")
     shared = F.size(F.array_intersect("ta", "tb"))
     return joined.withColumn("shared", shared).filter(F.col("shared") * den >= (F.size("ta") + F.size("tb") - F.col("shared")) * num).select("a", "b")
@@ -336,13 +368,13 @@ def similar_components(docs: DataFrame, width: int = WIDTH, threshold: tuple[int
         return one.filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
 
     links = common.stored(verified(canonical(rows.filter(F.col("kind") == PAIR).select(F.col("x").alias("a"), F.col("y").alias("b"))), texts, width, threshold), "links")
-    members = rows.filter(F.col("kind") == MEMBER).select(F.col("x").alias("gid"), F.col("y").alias("node"), (F.col("z") == 1).alias("probe"))
+    members = rows.filter(F.col("kind") == MEMBER).select(F.col("x").alias("gid"), F.col("y").alias("node"), (F.col("z") % 2 == 1).alias("probe"), F.floor(F.col("z") / 2).alias("n"))
     label = common.connected_components(links)
-    open_ = members.join(of, "node").join(label.toDF("rep", "component"), "rep", "left").select("gid", "probe", "rep", F.coalesce("component", "rep").alias("component"))
+    open_ = members.join(of, "node").join(label.toDF("rep", "component"), "rep", "left").select("gid", "probe", "n", "rep", F.coalesce("component", "rep").alias("component"))
     split = open_.groupBy("gid").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("gid")
     open_ = common.stored(open_.join(split, "gid", "left_semi").distinct(), "open")
     if not open_.isEmpty():
         left, right = open_.alias("l"), open_.alias("r")
-        more = left.join(right, F.expr("l.gid = r.gid and l.component < r.component and (l.probe or r.probe)")).select(F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b")).distinct()
+        more = left.join(right, F.expr(f"l.gid = r.gid and l.component < r.component and (l.probe or r.probe) and {threshold[0]} * greatest(l.n, r.n) <= {threshold[1]} * least(l.n, r.n)")).select(F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b")).distinct()
         label = common.connected_components(links.union(verified(common.stored(more, "more"), texts, width, threshold)))
     return reps.join(label.toDF("rep", "component"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))

@@ -174,27 +174,57 @@ def _dealt(parts: int, window: int, gram: int):
     return run
 
 
-def _first_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each partition's windows, the ordinals (in their document and partition) of those that start earlier too."""
+_FOUND = "route int, docs array<bigint>, parts array<int>, counts array<int>, ordinals array<int>"
+_GONE = "doc_id bigint, gone array<struct<part:int,ordinals:array<int>>>"
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """The array columns of each routing number, joined over its rows."""
     held: dict[int, list[tuple[np.ndarray, ...]]] = {}
     for batch in batches:
         for r in range(batch.num_rows):
             row = batch.slice(r, 1)
-            held.setdefault(row.column(0)[0].as_py(), []).append(tuple(np.asarray(row.column(c).flatten()).copy() for c in (1, 2, 3)))
+            held.setdefault(row.column(0)[0].as_py(), []).append(tuple(np.asarray(row.column(c).flatten()).copy() for c in range(1, columns + 1)))
     for part in sorted(held):
-        docs, counts, hashes = (np.concatenate(c) for c in zip(*held.pop(part), strict=True))
-        owner = np.repeat(np.arange(len(docs)), counts)
-        ordinal = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-        order = np.argsort(hashes, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], hashes[order][1:] != hashes[order][:-1]]))
-        low = np.minimum.reduceat(docs[owner[order]], first)
-        repeated = np.empty(len(owner), dtype=bool)
-        repeated[order] = docs[owner[order]] > np.repeat(low, np.diff(np.append(first, len(order))))
-        who = owner[repeated]
-        if len(who):
-            rows, n = np.unique(who, return_counts=True)
-            offs = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(docs[rows]), pa.array(np.full(len(rows), part, np.int32)), pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(ordinal[repeated].astype(np.int32)))], names=["doc_id", "part", "ordinals"])
+        yield part, [np.concatenate(c) for c in zip(*held.pop(part), strict=True)]
+
+
+def _first_only(routes: int):
+    """Of each partition's windows, the ordinals (in their document and partition) of those that start earlier too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, (docs, counts, hashes) in _gathered(batches, 3):
+            owner = np.repeat(np.arange(len(docs)), counts)
+            ordinal = (np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.int32)
+            order = np.argsort(hashes, kind="stable")
+            first = np.flatnonzero(np.concatenate([[True], hashes[order][1:] != hashes[order][:-1]]))
+            low = np.minimum.reduceat(docs[owner[order]], first)
+            repeated = np.empty(len(owner), dtype=bool)
+            repeated[order] = docs[owner[order]] > np.repeat(low, np.diff(np.append(first, len(order))))
+            rows, n = np.unique(owner[repeated], return_counts=True)
+            if not len(rows):
+                continue
+            found = np.split(ordinal[repeated], np.cumsum(n)[:-1])
+            route = (common.mix(docs[rows].view(_U)) % _U(routes)).astype(np.int32)
+            which = np.unique(route)
+            mine = [np.flatnonzero(route == r) for r in which]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(which), _lists([docs[rows][m] for m in mine], pa.int64()), _lists([np.full(len(m), part, np.int32) for m in mine], pa.int32()), _lists([n[m].astype(np.int32) for m in mine], pa.int32()), _lists([np.concatenate([found[k] for k in m]) for m in mine], pa.int32())],
+                names=[c.split()[0] for c in _FOUND.split(", ")],
+            )
+
+    return run
+
+
+def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each document: its repeated windows by partition."""
+    for _, (docs, parts, counts, ordinals) in _gathered(batches, 4):
+        order = np.argsort(docs, kind="stable")
+        pieces = np.split(ordinals, np.cumsum(counts)[:-1])
+        ids, n = np.unique(docs[order], return_counts=True)
+        structs = pa.StructArray.from_arrays([pa.array(parts[order]), _lists([pieces[k] for k in order], pa.int32())], names=["part", "ordinals"])
+        offs = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(pa.array(offs, pa.int32()), structs)], names=["doc_id", "gone"])
 
 
 def _cleaned(parts: int, window: int, gram: int):
@@ -249,7 +279,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batc
     live = common.stored(live, "live")
     marked = texts.join(live, "doc_id", "left")
     blobs = texts.join(live, "doc_id").select("doc_id", "text", "prints").mapInArrow(_dealt(parts, window, gram), _BLOB)
-    gone = blobs.repartition(parts, "part").mapInArrow(_first_only, "doc_id bigint, part int, ordinals array<int>")
-    gone = gone.groupBy("doc_id").agg(F.collect_list(F.struct("part", "ordinals")).alias("gone"))
-    full = marked.join(gone, "doc_id", "left").select("doc_id", "text", "prints", F.transform("gone", lambda g: F.struct(g["part"].alias("part"), g["ordinals"].alias("ordinals"))).alias("gone"))
+    found = blobs.repartition(parts, "part").mapInArrow(_first_only(parts), _FOUND)
+    gone = found.repartition(parts, "route").mapInArrow(_by_document, _GONE)
+    full = marked.join(gone, "doc_id", "left").select("doc_id", "text", "prints", "gone")
     return full.mapInArrow(_cleaned(parts, window, gram), _CLEAN)
