@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vigilspark.llm import mixing
+from vigilspark.llm import licenses, mixing
 
 TOPK = """
 WITH v AS (
@@ -47,3 +47,19 @@ def mixing_sql() -> str:
 SELECT doc_id, n_tokens, mix_topic AS topic, probability,
   CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8)) AS BIGINT) / pow(2.0, 32) < probability AS sampled
 FROM d JOIN p USING (mix_source, mix_lang, mix_topic)"""
+
+
+def license_sql() -> str:
+    """Every block of every document against every template, without anchors."""
+    rows = ", ".join(f"({k}, '{name}', {licenses.template_bigrams(body)!r})" for k, (name, body) in enumerate(licenses.TEMPLATES))
+    words = "string_split(trim(regexp_replace(lower(b), '[^a-z0-9]+', ' ', 'g')), ' ')"
+    return f"""
+WITH t AS (SELECT * FROM (VALUES {rows}) v(k, license, tg)), b AS (
+  SELECT DISTINCT doc_id, unnest(list_concat(list_concat(string_split(text, chr(10)), string_split(regexp_replace(text, '([.!?;:])[ \\t\\n]+', '\\1' || chr(1), 'g'), chr(1))),
+    list_concat(regexp_split_to_array(text, '\\n[ \\t\\r]*\\n'), [text]))) AS b FROM documents
+), w AS (SELECT doc_id, b, {words} AS w FROM b
+), g AS (SELECT doc_id, b, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS bg FROM w WHERE len(w) >= 2
+), s AS (SELECT doc_id, b, k, license, 2.0 * len(list_intersect(bg, tg)) / (len(bg) + len(tg)) AS dice FROM g JOIN t ON len(bg) * 4 <= 9 * len(tg) AND len(tg) * 4 <= 9 * len(bg)
+), m AS (SELECT doc_id, b, max(dice) AS dice, arg_max(license, (dice, -k)) AS license, arg_max(-k, (dice, -k)) AS nk FROM s WHERE dice >= {licenses.THRESHOLD} GROUP BY doc_id, b
+), d AS (SELECT doc_id, arg_max(license, (dice, nk)) AS license, max(dice) AS dice, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, count(*) AS n_matches FROM m GROUP BY doc_id)
+SELECT doc_id, d.license, coalesce(round(d.dice, 6), 0.0) AS dice, coalesce(d.licenses, '') AS licenses, coalesce(n_matches, 0) AS n_matches FROM documents LEFT JOIN d USING (doc_id)"""

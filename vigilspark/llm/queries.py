@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilspark.llm import html_extract, jaccard, langid, media, mixing, oracles, packing, pii, substring_dedup, topk
+from vigilspark.llm import html_extract, jaccard, langid, licenses, media, mixing, oracles, packing, pii, substring_dedup, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("bigint"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.weighted(_table(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.col("mix_tokens").alias("n_tokens"), F.col("mix_topic").alias("topic"), "probability", "sampled")
@@ -57,6 +61,7 @@ def op10_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_html_extraction": op2_html_extraction,
+    "op3_license_scan": op3_license_scan,
     "op4_mixing": op4_mixing,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_pii": op6_pii,
@@ -66,4 +71,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_transport_streams": op10_transport_streams,
 }
 
-ORACLES: dict[str, str] = {"op4_mixing": oracles.mixing_sql(), "op7_exact_topk": oracles.TOPK}
+ORACLES: dict[str, str] = {"op3_license_scan": oracles.license_sql(), "op4_mixing": oracles.mixing_sql(), "op7_exact_topk": oracles.TOPK}
