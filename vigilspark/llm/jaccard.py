@@ -10,8 +10,9 @@ for bands of small sets) before segments of a single shingle are used. Candidate
 
 Signatures travel in arrays, one row per map batch and target partition, so that neither the shuffle nor Python pays
 for single rows. Equal sets are met once per task and are linked by their set hash, not by pairs. In a large bucket the
-members are first linked to one leader; only members that the verified links leave in different components are then
-compared with each other.
+members are first linked to one leader. Only members that the verified links leave in different components can still
+have links between them; those go through a prefix-filtered join on their rarest shingles, so that sets which share a
+frequent passage alone are never paired.
 
 Defined cases: a null or word-less text has an empty set and links with nothing; fewer words than a shingle give the
 whole sequence as the one shingle; a row without doc_id takes no part; repeated rows give repeated results; an empty
@@ -45,9 +46,13 @@ FREQUENT = 1 << 16
 #: At most so many document ids (16 MB in memory) are broadcast to find their texts; more are joined by shuffle.
 BROADCAST_NODES = 400_000
 
+#: Slots of the table of shingle counts (2 MB), and the count beyond which a shingle is dealt over several parts.
+SLOTS = 1 << 18
+HOT = 20_000
+
 _U = np.uint64
 _BLOB = "part int, docs array<bigint>, sizes array<int>, h1 array<bigint>, h2 array<bigint>, home array<boolean>, counts array<int>, sigs array<bigint>"
-_FOUND = "part int, doc array<bigint>, n array<int>, h1 array<bigint>, h2 array<bigint>, a array<bigint>, b array<bigint>, gid array<bigint>, node array<bigint>, probe array<bigint>"
+_FOUND = "part int, doc array<bigint>, n array<int>, h1 array<bigint>, h2 array<bigint>, a array<bigint>, b array<bigint>, gid array<bigint>, node array<bigint>"
 _ROWS = "kind int, x bigint, y bigint, z bigint, w bigint"
 DOC, PAIR, MEMBER = 0, 1, 2
 
@@ -257,7 +262,7 @@ def _buckets(parts: int, threshold: tuple[int, int]):
         doc_l, size_l, probe_l = docs[node].tolist(), sizes[node].tolist(), probing.tolist()
         seen: set[int] = set()
         pairs: set[tuple[int, int]] = set()
-        groups: dict[int, list[tuple[int, bool, int]]] = {}
+        groups: dict[int, list[int]] = {}
         for g in big.tolist():
             s, e = int(first[g]), int(last[g])
             if not any(probe_l[s:e]):
@@ -272,20 +277,20 @@ def _buckets(parts: int, threshold: tuple[int, int]):
             else:
                 lead = min(x for x, _, _ in who)
                 pairs.update((lead, x) for x, _, _ in who if x != lead)
-                groups[list_id] = [(x, p, n) for x, p, n in who]
+                groups[list_id] = [x for x, _, _ in who]
         yield from _routed(docs[home], sizes[home], h1[home], h2[home], pairs, groups)
 
     def _routed(doc, n, h1, h2, pairs, groups) -> Iterator[pa.RecordBatch]:
         ab = np.array(sorted(pairs), dtype=np.int64).reshape(-1, 2)
-        members = np.array([(g, x, 2 * n + p) for g, who in groups.items() for x, p, n in who], dtype=np.int64).reshape(-1, 3)
+        members = np.array([(g, x) for g, who in groups.items() for x in who], dtype=np.int64).reshape(-1, 2)
         targets = [common.mix(doc.view(_U) + _U(1)) % _U(parts), common.mix(ab[:, 0].copy().view(_U) * _U(31) + ab[:, 1].copy().view(_U)) % _U(parts), common.mix(members[:, 0].copy().view(_U)) % _U(parts)]
         which = np.unique(np.concatenate(targets)).astype(np.int32)
         rows = []
         for p in which.tolist():
             d, e, m = (t == p for t in targets)
-            rows.append([doc[d], n[d], h1[d], h2[d], ab[e, 0], ab[e, 1], members[m, 0], members[m, 1], members[m, 2]])
+            rows.append([doc[d], n[d], h1[d], h2[d], ab[e, 0], ab[e, 1], members[m, 0], members[m, 1]])
         if rows:
-            kinds = (pa.int64(), pa.int32(), *[pa.int64()] * 7)
+            kinds = (pa.int64(), pa.int32(), *[pa.int64()] * 6)
             yield pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), *[_lists(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]], names=[c.split()[0] for c in _FOUND.split(", ")])
 
     return run
@@ -304,11 +309,11 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(doc := _flat(batch.column(1))):
             yield rows(DOC, doc, *[_flat(batch.column(c)) for c in (2, 3, 4)])
         pairs.append(np.stack([_flat(batch.column(5)), _flat(batch.column(6))], axis=1))
-        members.append(np.stack([_flat(batch.column(7)), _flat(batch.column(8)), _flat(batch.column(9))], axis=1))
+        members.append(np.stack([_flat(batch.column(7)), _flat(batch.column(8))], axis=1))
     if pairs and len(p := np.unique(np.concatenate(pairs), axis=0)):
         yield rows(PAIR, p[:, 0], p[:, 1])
     if members and len(m := np.unique(np.concatenate(members), axis=0)):
-        yield rows(MEMBER, m[:, 0], m[:, 1], m[:, 2])
+        yield rows(MEMBER, m[:, 0], m[:, 1])
 
 
 def _sets(width: int):
@@ -341,19 +346,143 @@ def candidates(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int] =
     return common.stored(found.repartition(parts, "part").mapInArrow(_distinct, _ROWS), "candidates")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+def stored_sets(nodes: DataFrame, texts: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(node, tokens) of the nodes (doc_id, ...), stored, with the nodes' other columns."""
+    held = common.stored(nodes, "nodes")
+    asked = F.broadcast(held.select("doc_id").distinct()) if held.count() <= BROADCAST_NODES else held.select("doc_id").distinct()
+    sets = texts.join(asked, "doc_id", "left_semi").mapInArrow(_sets(width), "node bigint, tokens array<bigint>").dropDuplicates(["node"])
+    return common.stored(sets.join(held.withColumnRenamed("doc_id", "node"), "node") if len(held.columns) > 1 else sets, "sets")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
     num, den = threshold
-    nodes = common.stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "nodes")
-    if nodes.count() <= BROADCAST_NODES:
-        nodes = F.broadcast(nodes)
-    sets = texts.join(nodes, "doc_id", "left_semi").mapInArrow(_sets(width), "node bigint, tokens array<bigint>")
-    sets = common.stored(sets.dropDuplicates(["node"]), "sets")
-    joined = pairs.join(sets.toDF("b", "tb"), "b").join(sets.toDF("a", "ta"), "a")
+    joined = pairs.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b").join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a")
     shared = F.size(F.array_intersect("ta", "tb"))
     return joined.withColumn("shared", shared).filter(F.col("shared") * den >= (F.size("ta") + F.size("tb") - F.col("shared")) * num).select("a", "b")
 
 
+def _token_lists(col: pa.Array) -> list[np.ndarray]:
+    flat, offs = np.asarray(col.values).view(_U), np.asarray(col.offsets)
+    return [flat[s:e] for s, e in zip(offs[:-1], offs[1:], strict=True)]
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many of the task's shingles fall on each slot."""
+    total = np.zeros(SLOTS, np.int64)
+    for batch in batches:
+        flat = np.asarray(batch.column(0).flatten()).view(_U)
+        total += np.bincount(_slots(flat), minlength=SLOTS)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["slot", "n"])
+
+
+def _slots(tokens: np.ndarray) -> np.ndarray:
+    return ((tokens >> _U(11)) % _U(SLOTS)).astype(np.int64)
+
+
+def shingle_counts(sets: DataFrame) -> np.ndarray:
+    """The shingles of all sets by slot: a table of SLOTS counts. It orders shingles; links don't depend on it."""
+    got = sets.select("tokens").mapInArrow(_counted, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(SLOTS, np.int64)
+    out[got["slot"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
+    return out
+
+
+_PREFIX = "part int, nodes array<bigint>, comps array<bigint>, sizes array<int>, counts array<int>, tokens array<bigint>, places array<int>"
+
+
+def _prefixes(parts: int, threshold: tuple[int, int], seen: np.ndarray, hot: int):
+    """Each set's rarest shingles, as many as a linked set must share one of, dealt by shingle."""
+    num, den = threshold
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, comps = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            keys, places, owners, salts, sizes = [], [], [], [], []
+            for k, tokens in enumerate(_token_lists(batch.column(2))):
+                n = len(tokens)
+                sizes.append(n)
+                count = seen[_slots(tokens)]
+                first = np.lexsort((tokens, count))[: n - -(-num * n // den) + 1]
+                copies = np.maximum(1, -(-count[first] // hot))
+                # a hot shingle is dealt over several parts: probes to one of them, index entries to all
+                indexed = np.arange(len(first)) < n - -(-2 * num * n // (den + num)) + 1
+                times = np.where(indexed, copies, 1)
+                at = np.repeat(np.arange(len(first)), times)
+                own = int(common.mix(nodes[k : k + 1].view(_U))[0] >> _U(20))
+                salt = np.where(np.repeat(indexed, times), np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times), own % np.repeat(copies, times))
+                keys.append(tokens[first][at])
+                places.append(at.astype(np.int32))
+                salts.append(salt.astype(_U))
+                owners.append(np.full(len(at), k, np.int32))
+            if not keys:
+                continue
+            key, place, owner, salt = (np.concatenate(x) for x in (keys, places, owners, salts))
+            part = (common.mix(key + salt * _U(0x9E3779B97F4A7C15)) >> _U(9)) % _U(parts)
+            order = np.argsort(part, kind="stable")
+            key, place, owner, part = key[order], place[order], owner[order], part[order]
+            edges = np.searchsorted(part, np.arange(parts + 1).astype(_U))
+            size, rows, which = np.array(sizes, np.int32), [], np.flatnonzero(np.diff(edges))
+            for p in which.tolist():
+                who, counts = np.unique(owner[edges[p] : edges[p + 1]], return_counts=True)
+                rows.append([nodes[who], comps[who], size[who], counts.astype(np.int32), common.signed(key[edges[p] : edges[p + 1]]), place[edges[p] : edges[p + 1]]])
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), *[_lists(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]], names=[c.split()[0] for c in _PREFIX.split(", ")])
+
+    return run
+
+
+def _across(threshold: tuple[int, int]):
+    """Pairs of different components that share a rare shingle early enough to be similar."""
+    num, den = threshold
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[np.ndarray, ...]]] = {}
+        for batch in batches:
+            for r in range(batch.num_rows):
+                row = batch.slice(r, 1)
+                held.setdefault(row.column(0)[0].as_py(), []).append(tuple(_flat(row.column(c)).copy() for c in range(1, 7)))
+        for part in sorted(held):
+            nodes, comps, sizes, counts, keys, places = (np.concatenate(c) for c in zip(*held.pop(part), strict=True))
+            owner = np.repeat(np.arange(len(nodes)), counts)
+            order = np.argsort(keys, kind="stable")
+            key, owner, place = keys[order], owner[order], places[order].astype(np.int64)
+            size, comp, node = sizes[owner].astype(np.int64), comps[owner], nodes[owner]
+            index = place < size - -(-2 * num * size // (den + num)) + 1
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+            last = np.append(first[1:], len(key))
+            if not len(first):
+                continue
+            mixed = (np.minimum.reduceat(comp, first) != np.maximum.reduceat(comp, first)) & np.logical_or.reduceat(index, first)
+            found = []
+            for s, e in zip(first[mixed].tolist(), last[mixed].tolist(), strict=True):
+                n, c, at, who = size[s:e], comp[s:e], place[s:e], node[s:e]
+                for i in np.flatnonzero(index[s:e]).tolist():
+                    # the shared shingle is the first one of both, so no more than the rest of either can be shared
+                    need = -(-num * (n[i] + n) // (den + num))
+                    fit = (c != c[i]) & (n >= n[i]) & (num * n <= den * n[i]) & (np.minimum(n[i] - at[i], n - at) >= need)
+                    if fit.any():
+                        others = who[fit]
+                        found.append(np.stack([np.minimum(others, who[i]), np.maximum(others, who[i])], axis=1))
+            if found:
+                pairs = np.unique(np.concatenate(found), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+
+    return run
+
+
+def pairs_across(sets: DataFrame, threshold: tuple[int, int] = THRESHOLD, hot: int = HOT) -> DataFrame:
+    """Candidate pairs (a, b) of sets (node, component, tokens) whose components differ.
+
+    Shingles are ordered from rare to frequent. Of two linked sets, the smaller one's index prefix and the larger one's
+    probe prefix share a shingle, and after the first one shared enough of both must be left.
+    """
+    parts = common.partitions(sets.sparkSession)
+    dealt = sets.select("node", "component", "tokens").mapInArrow(_prefixes(parts, threshold, shingle_counts(sets), hot), _PREFIX)
+    return dealt.repartition(parts, "part").mapInArrow(_across(threshold), "a bigint, b bigint").distinct()
+
+
 def similar_components(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """(doc_id, n_shingles, component_id): each document with the smallest doc_id that links reach."""
     texts = common.pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
@@ -367,14 +496,17 @@ def similar_components(docs: DataFrame, width: int = WIDTH, threshold: tuple[int
         one = pairs.join(of.toDF("a", "ra"), "a").join(of.toDF("b", "rb"), "b")
         return one.filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
 
-    links = common.stored(verified(canonical(rows.filter(F.col("kind") == PAIR).select(F.col("x").alias("a"), F.col("y").alias("b"))), texts, width, threshold), "links")
-    members = rows.filter(F.col("kind") == MEMBER).select(F.col("x").alias("gid"), F.col("y").alias("node"), (F.col("z") % 2 == 1).alias("probe"), F.floor(F.col("z") / 2).alias("n"))
+    pairs = common.stored(canonical(rows.filter(F.col("kind") == PAIR).select(F.col("x").alias("a"), F.col("y").alias("b"))), "pairs")
+    sets = stored_sets(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), texts, width)
+    links = common.stored(verified(pairs, sets, threshold), "links")
+    members = rows.filter(F.col("kind") == MEMBER).select(F.col("x").alias("gid"), F.col("y").alias("node"))
     label = common.connected_components(links)
-    open_ = members.join(of, "node").join(label.toDF("rep", "component"), "rep", "left").select("gid", "probe", "n", "rep", F.coalesce("component", "rep").alias("component"))
-    split = open_.groupBy("gid").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("gid")
-    open_ = common.stored(open_.join(split, "gid", "left_semi").distinct(), "open")
-    if not open_.isEmpty():
-        left, right = open_.alias("l"), open_.alias("r")
-        more = left.join(right, F.expr(f"l.gid = r.gid and l.component < r.component and (l.probe or r.probe) and {threshold[0]} * greatest(l.n, r.n) <= {threshold[1]} * least(l.n, r.n)")).select(F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b")).distinct()
-        label = common.connected_components(links.union(verified(common.stored(more, "more"), texts, width, threshold)))
+    in_groups = members.join(of, "node").join(label.toDF("rep", "component"), "rep", "left").select("gid", "rep", F.coalesce("component", "rep").alias("component")).distinct()
+    in_groups = common.stored(in_groups, "groups")
+    split = in_groups.groupBy("gid").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("gid")
+    open_ = in_groups.join(split, "gid", "left_semi").select(F.col("rep").alias("doc_id"), "component").distinct()
+    open_sets = stored_sets(open_, texts, width)
+    more = common.stored(pairs_across(open_sets, threshold), "more")
+    if not more.isEmpty():
+        label = common.connected_components(links.union(verified(more, open_sets, threshold)))
     return reps.join(label.toDF("rep", "component"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
