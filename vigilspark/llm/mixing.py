@@ -88,8 +88,8 @@ def draw(doc_id: Column) -> Column:
 
 
 def weighted(docs: DataFrame, temperature: float = TEMPERATURE, budget: float = BUDGET, cycles: int = CYCLES) -> DataFrame:
-    """`docs` with its categories, tokens, `probability` and whether it is `sampled`."""
-    rows = categorised(docs)
+    """`docs` with its categories, tokens, `probability` and whether it is `sampled`; these replace columns so named."""
+    rows = categorised(docs.drop("probability", "sampled"))
     cells = probabilities(rows, temperature, budget, cycles)
     if cells.count() <= BROADCAST_CELLS:
         cells = F.broadcast(cells)
@@ -98,4 +98,5 @@ def weighted(docs: DataFrame, temperature: float = TEMPERATURE, budget: float =
 
 def sample(docs: DataFrame, temperature: float = TEMPERATURE, budget: float = BUDGET, cycles: int = CYCLES) -> DataFrame:
     """The sampled documents, with the columns of `docs`."""
-    return weighted(docs, temperature, budget, cycles).filter("sampled").select(*[F.col(f"`{c}`") for c in docs.columns])
+    held = docs.select("doc_id", "text", "source", "lang", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("mix_doc"))
+    return weighted(held, temperature, budget, cycles).filter("sampled").select("mix_doc.*")
