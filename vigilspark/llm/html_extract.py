@@ -1,7 +1,7 @@
 """Main-text extraction by line-block distribution.
 
 The markup is stripped into blocks, one line each, in page order. A line weighs as many characters as its text outside
-links has; lines of page furniture (menus, headers, footers, side bars, notices, adverts, forms, reader comments), told
+links and separators has; lines of page furniture (menus, headers, footers, side bars, notices, adverts, forms, reader comments), told
 by their elements and by class, id or role, weigh nothing. The distribution is the sum of weights over a sliding window
 of `LINES` lines. A surge point is where the window first carries more than the threshold, a dive point where it falls
 to nothing; the text between the surge and the dive is kept, without furniture.
@@ -52,7 +52,7 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 class Line(NamedTuple):
     text: str
-    weight: int  # characters outside links
+    weight: int  # characters outside links and separators
     furniture: bool
     article: bool  # in the marked article
 
@@ -105,7 +105,7 @@ def blocks(html: str) -> tuple[list[Line], bool]:
         if text:
             text = unescape(text)
             parts.append(text)
-            if link:
+            if link or not any(c.isalnum() for c in text):
                 linked += len(text)
         if not m:
             break
