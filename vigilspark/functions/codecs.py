@@ -6,6 +6,7 @@ import hashlib
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Fixed values of BIP-173 and Base58.
 BECH32 = "qpzry9x8gf2tvdw0s3jn54khce6mua7l"
@@ -75,22 +76,22 @@ def tron_address(hex_address: str | None) -> str | None:
         return hex_address
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def to_home_address(address: pd.Series) -> pd.Series:
     return address.map(home_address, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def to_cosmos_address(address: pd.Series) -> pd.Series:
     return address.map(lambda a: bech32_encode("cosmos", got[1]) if (got := bech32_decode(a)) else None, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def to_tron_address(address: pd.Series) -> pd.Series:
     return address.map(tron_address, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def bech32_of_hex(hex_digits: pd.Series) -> pd.Series:
     """A home-chain address over the bytes of hexadecimal text."""
 

@@ -11,6 +11,7 @@ from decimal import ROUND_HALF_UP, Decimal
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 UNIT = 100_000_000  # amounts are integers of 1e-8
 
@@ -21,8 +22,8 @@ def int_prefix(text: Column) -> Column:
 
 
 def amount(raw: Column) -> Column:
-    """A fixed-point amount as decimal(30,8); text counts up to its first non-digit."""
-    return (int_prefix(raw.cast("string")) / F.lit(UNIT).cast("decimal(10,0)")).cast("decimal(30,8)")
+    """A fixed-point amount as decimal(37,8); text counts up to its first non-digit."""
+    return (int_prefix(raw.cast("string")).try_cast("decimal(29,0)") * F.lit(f"{1 / UNIT:.8f}").cast("decimal(8,8)")).cast("decimal(37,8)")
 
 
 def fixed(x: Column, places: int) -> Column:
@@ -109,7 +110,7 @@ def round_half_up(x: Column) -> Column:
     return F.floor(x + 0.5)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def to_fixed(x: pd.Series, places: pd.Series) -> pd.Series:
     """Fixed decimals of the exact binary value, ties away from zero: for byte parity with displays that round so."""
     return pd.Series([None if v is None or v != v else str(Decimal(float(v)).quantize(Decimal(1).scaleb(-int(n)), rounding=ROUND_HALF_UP)) for v, n in zip(x, places, strict=True)])

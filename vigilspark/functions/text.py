@@ -26,7 +26,7 @@ ADDRESS_PATTERNS = {
 
 def missing(x: Column) -> Column:
     """Whether a value is null or the empty string."""
-    return x.isNull() | (x == "")
+    return x.isNull() | (x.cast("string") == "")
 
 
 def or_default(x: Column, default: Column | str) -> Column:
@@ -101,7 +101,11 @@ def lower_hex(address: Column) -> Column:
 
 def addresses_in(text: Column, patterns: dict[str, str] = ADDRESS_PATTERNS) -> Column:
     """array<struct<chain, address>>: every address in free text, pattern by pattern."""
-    return F.flatten(F.array(*[F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(0)), lambda a, c=chain: F.struct(F.lit(c).alias("chain"), a.alias("address"))) for chain, p in patterns.items()]))
+
+    def of(chain: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda a: F.struct(F.lit(chain).alias("chain"), a.alias("address")))
+
+    return F.flatten(F.array(*[of(chain, p) for chain, p in patterns.items()]))
 
 
 COIN = r"^(\d+)(.+)$"
@@ -109,7 +113,7 @@ COIN = r"^(\d+)(.+)$"
 
 def coin_list(text: Column, clean: bool = True) -> Column:
     """array<struct<amount, asset>> of "123denom,45x"; parts that aren't a number and a name are left out."""
-    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), F.trim), lambda p: p.rlike(COIN))
+    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda p: F.trim(p)), lambda p: p.rlike(COIN))
     asset = (lambda p: clean_asset(F.regexp_extract(p, COIN, 2))) if clean else (lambda p: F.regexp_extract(p, COIN, 2))
     return F.transform(parts, lambda p: F.struct(F.regexp_extract(p, COIN, 1).alias("amount"), asset(p).alias("asset")))
 
@@ -127,9 +131,9 @@ PAIR_PREFIXES = r"^(?:RUJI Trade |XYK Pool: )"
 def other_side(asset_in: Column, contract_name: Column) -> Column:
     """The other asset of a pair contract's name; empty where the asset isn't of the pair."""
     pair = F.regexp_replace(contract_name, PAIR_PREFIXES, "")
-    split = F.when(pair.contains("/"), r"^(.+)/([^/]*)$").otherwise(r"^(.+)-([^-]*)$")
+    side = lambda k: F.when(pair.contains("/"), F.regexp_extract(pair, r"^(.+)/([^/]*)$", k)).otherwise(F.regexp_extract(pair, r"^(.+)-([^-]*)$", k))
     ticker = lambda x: F.upper(F.regexp_replace(x, r"^([^.]+)\..*$", "$1"))
-    base, quote = ticker(F.regexp_extract(pair, split, 1)), ticker(F.regexp_extract(pair, split, 2))
+    base, quote = ticker(side(1)), ticker(side(2))
     named = contract_name.rlike(PAIR_PREFIXES) & pair.rlike("^.+[-/]")
     return F.when(named & (F.upper(asset_in) == base), quote).when(named & (F.upper(asset_in) == quote), base).otherwise("")
 
@@ -146,7 +150,7 @@ def end_cut(text: Column, most: int) -> Column:
 
 def flag_reasons(reason: Column) -> Column:
     """array<struct<source, address, text>> of "SRC: entity (addr); ..."."""
-    parts = F.filter(F.transform(F.split(F.coalesce(reason, F.lit("")), ";"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(F.coalesce(reason, F.lit("")), ";"), lambda p: F.trim(p)), lambda p: p != "")
 
     def parsed(p: Column) -> Column:
         source = F.when(p.contains(":"), F.trim(F.split_part(p, F.lit(":"), F.lit(1)))).otherwise("UNKNOWN")

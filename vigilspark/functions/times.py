@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def from_nanos(text: Column) -> Column:
     """The timestamp of an epoch-nanosecond text, to the millisecond; null where it isn't a number."""
     nanos = text.try_cast("bigint")
-    return F.timestamp_millis(((nanos - F.pmod(nanos, F.lit(1_000_000))) / 1_000_000).cast("bigint"))
+    return F.timestamp_millis(F.call_function("div", nanos - F.pmod(nanos, F.lit(1_000_000)), F.lit(1_000_000)))
 
 
 def iso(ts: Column) -> Column:

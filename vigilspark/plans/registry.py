@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from vigilspark.plans import boards, catalog, histories, relations, scalars, screening, streams, values
+
+MODULES = (screening, relations, boards, values, histories, scalars, streams)
+QUERIES, ORACLES = catalog.QUERIES, catalog.ORACLES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_orderstatus").count()
+    """Which users hold a listed address, and why."""
+    return screening.screen_all(spark, sf_dir)

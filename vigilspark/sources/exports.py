@@ -33,11 +33,11 @@ def write_csv(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
 FLAGGED_HEADER = "thor_address,flag_reason,l1_addresses,screened_at"
 
 
-def flagged_lines(users: DataFrame) -> DataFrame:
-    """(line) of flagged users with `links` (array<struct<chain, l1_address>>): only the reason is quoted with care."""
+def flagged_lines(users: DataFrame, *keep: str) -> DataFrame:
+    """(line, and columns to keep) of flagged users with `links` (array<struct<chain, l1_address>>): only the reason is quoted with care."""
     links = F.array_join(F.transform("links", lambda x: F.concat(x["chain"], F.lit(":"), x["l1_address"])), "|")
     plain = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
-    return users.select(F.concat_ws(",", plain(F.col("thor_address")), text.quoted(F.col("flag_reason")), plain(links), plain(F.coalesce(times.day(F.col("screened_at")), F.lit("")))).alias("line"))
+    return users.select(*keep, F.concat_ws(",", plain(F.col("thor_address")), text.quoted(F.col("flag_reason")), plain(links), plain(F.coalesce(times.day(F.col("screened_at")), F.lit("")))).alias("line"))
 
 
 def screening_rows(users: DataFrame, matches: str = "matches") -> DataFrame:

@@ -20,10 +20,10 @@ def unseen(stream: DataFrame, key: str, ts: str, delay: str = "1 day") -> DataFr
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
-def counts_by_window(stream: DataFrame, ts: str, keys: list[str], size: str, delay: str = "1 hour", value: str | None = None) -> DataFrame:
-    """Rows (and the sum of a value) by event-time window and keys."""
+def counts_by_window(stream: DataFrame, ts: str, keys: list[str], size: str, delay: str | None = "1 hour", value: str | None = None) -> DataFrame:
+    """Rows (and the sum of a value) by event-time window and keys. No delay: the stream has its watermark already."""
     sums = [F.sum(value).alias("total")] if value else []
-    grouped = stream.withWatermark(ts, delay).groupBy(F.window(ts, size), *keys).agg(F.count("*").alias("n"), *sums)
+    grouped = (stream.withWatermark(ts, delay) if delay else stream).groupBy(F.window(ts, size), *keys).agg(F.count("*").alias("n"), *sums)
     return grouped.select(F.col("window.start").alias("start"), *keys, "n", *[F.col("total") for _ in sums])
 
 
