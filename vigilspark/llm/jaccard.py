@@ -180,7 +180,7 @@ def _emit(parts: int, width: int, threshold: tuple[int, int], frequent: np.ndarr
         for batch in batches:
             data, offs, _ = common.text_buffers(batch.column(1))
             ids = np.asarray(batch.column(0))
-            for i, j in common.row_chunks(offs, 4 * common.CHUNK_BYTES):
+            for i, j in common.row_chunks(offs, 2 * common.CHUNK_BYTES):
                 docs, sizes, h1, h2, sigs, owners = ids[i:j], [], [], [], [], []
                 sub = [shingle_sets(data, offs[s : e + 1], width) for s, e in ((i + s, i + e) for s, e in common.row_chunks(offs[i : j + 1]))]
                 for k, tokens in enumerate(t for part in sub for t in part):
@@ -333,7 +333,7 @@ def frequent_shingles(docs: DataFrame, width: int = WIDTH, sample: int = SAMPLE,
     """
     n = max(1, docs.count())
     some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(1_000_003 * min(1.0, sample / n)))
-    tokens = some.mapInArrow(_sets(width), "node bigint, tokens array<bigint>").select(F.explode("tokens").alias("t"))
+    tokens = some.mapInArrow(common.released(_sets(width)), "node bigint, tokens array<bigint>").select(F.explode("tokens").alias("t"))
     rows = tokens.groupBy("t").count().filter("count >= 3").orderBy(F.desc("count"), "t").limit(most).collect()
     return np.sort(np.array([r["t"] for r in rows], dtype=np.int64).view(_U))
 
@@ -341,16 +341,16 @@ def frequent_shingles(docs: DataFrame, width: int = WIDTH, sample: int = SAMPLE,
 def candidates(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """Documents (size and set hash), candidate pairs and members of large buckets, stored (see _ROWS)."""
     parts = common.partitions(docs.sparkSession)
-    blobs = docs.mapInArrow(_emit(parts, width, threshold, frequent_shingles(docs, width)), _BLOB)
-    found = blobs.repartition(parts, "part").mapInArrow(_buckets(parts, threshold), _FOUND)
-    return common.stored(found.repartition(parts, "part").mapInArrow(_distinct, _ROWS), "candidates")
+    blobs = docs.mapInArrow(common.released(_emit(parts, width, threshold, frequent_shingles(docs, width))), _BLOB)
+    found = blobs.repartition(parts, "part").mapInArrow(common.released(_buckets(parts, threshold)), _FOUND)
+    return common.stored(found.repartition(parts, "part").mapInArrow(common.released(_distinct), _ROWS), "candidates")
 
 
 def stored_sets(nodes: DataFrame, texts: DataFrame, width: int = WIDTH) -> DataFrame:
     """(node, tokens) of the nodes (doc_id, ...), stored, with the nodes' other columns."""
     held = common.stored(nodes, "nodes")
     asked = F.broadcast(held.select("doc_id").distinct()) if held.count() <= BROADCAST_NODES else held.select("doc_id").distinct()
-    sets = texts.join(asked, "doc_id", "left_semi").mapInArrow(_sets(width), "node bigint, tokens array<bigint>").dropDuplicates(["node"])
+    sets = texts.join(asked, "doc_id", "left_semi").mapInArrow(common.released(_sets(width)), "node bigint, tokens array<bigint>").dropDuplicates(["node"])
     return common.stored(sets.join(held.withColumnRenamed("doc_id", "node"), "node") if len(held.columns) > 1 else sets, "sets")
 
 
@@ -383,7 +383,7 @@ def _slots(tokens: np.ndarray) -> np.ndarray:
 
 def shingle_counts(sets: DataFrame) -> np.ndarray:
     """The shingles of all sets by slot: a table of SLOTS counts. It orders shingles; links don't depend on it."""
-    got = sets.select("tokens").mapInArrow(_counted, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    got = sets.select("tokens").mapInArrow(common.released(_counted), "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(SLOTS, np.int64)
     out[got["slot"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
     return out
@@ -479,8 +479,8 @@ def pairs_across(sets: DataFrame, threshold: tuple[int, int] = THRESHOLD, hot: i
     probe prefix share a shingle, and after the first one shared enough of both must be left.
     """
     parts = common.partitions(sets.sparkSession)
-    dealt = sets.select("node", "component", "tokens").mapInArrow(_prefixes(parts, threshold, shingle_counts(sets), hot), _PREFIX)
-    return dealt.repartition(parts, "part").mapInArrow(_across(threshold), "a bigint, b bigint").distinct()
+    dealt = sets.select("node", "component", "tokens").mapInArrow(common.released(_prefixes(parts, threshold, shingle_counts(sets), hot)), _PREFIX)
+    return dealt.repartition(parts, "part").mapInArrow(common.released(_across(threshold)), "a bigint, b bigint").distinct()
 
 
 def similar_components(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:

@@ -35,6 +35,9 @@ PENALTY = 6.0
 #: A language of a smaller estimated share isn't tried.
 LEAST_SHARE = 0.03
 
+#: Bytes of text taken at once: each byte takes some 100 bytes of arrays.
+CHUNK_BYTES = 1 << 18
+
 _SPACE = np.arange(256, dtype=np.uint8)
 _SPACE[[b for b in range(128) if not 97 <= b <= 122]] = 32
 _SEP = b" "
@@ -60,7 +63,7 @@ def _trigrams(data: np.ndarray) -> np.ndarray:
 
 def _text_chunks(col: pa.Array) -> Iterator[tuple[int, int, list[str | None]]]:
     _, offs, _ = common.text_buffers(col)
-    for i, j in common.row_chunks(offs):
+    for i, j in common.row_chunks(offs, CHUNK_BYTES):
         yield i, j, col.slice(i, j - i).to_pylist()
 
 
@@ -89,7 +92,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
         return Model([], np.zeros((BUCKETS, 0), np.float32))
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, sample / n))])
     chosen = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.element_at(share, F.col("lang")) * 1_000_003)
-    grams = chosen.select("lang", "text").mapInArrow(_counts, "lang string, gram int, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    grams = chosen.select("lang", "text").mapInArrow(common.released(_counts), "lang string, gram int, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     languages = sorted(sizes)
     counts = np.zeros((BUCKETS, len(languages)))
     got = grams.toPandas()
@@ -177,6 +180,7 @@ def identifier(model: Model):
             got = predict(texts, model)
             langs += got[0]
             scores += got[1]
+        common.release()
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"])
 
     return found
