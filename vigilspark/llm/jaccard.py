@@ -180,7 +180,7 @@ def _emit(parts: int, width: int, threshold: tuple[int, int], frequent: np.ndarr
         for batch in batches:
             data, offs, _ = common.text_buffers(batch.column(1))
             ids = np.asarray(batch.column(0))
-            for i, j in common.row_chunks(offs, 2 * common.CHUNK_BYTES):
+            for i, j in common.row_chunks(offs, 8 * common.CHUNK_BYTES):
                 docs, sizes, h1, h2, sigs, owners = ids[i:j], [], [], [], [], []
                 sub = [shingle_sets(data, offs[s : e + 1], width) for s, e in ((i + s, i + e) for s, e in common.row_chunks(offs[i : j + 1]))]
                 for k, tokens in enumerate(t for part in sub for t in part):
