@@ -149,6 +149,23 @@ def test_mixing_meets_budget_and_marginals(spark):
     assert {r["doc_id"] for r in mixing.sample(docs, budget=0.5).collect()} == {r["doc_id"] for r in got.filter("sampled").collect()}
 
 
+def test_mixing_meets_marginals_where_cells_are_capped(spark):
+    # capping after raking leaves shares here 0.038 off their targets
+    counts = {("a", "de"): 80, ("a", "en"): 10, ("a", "fr"): 10, ("b", "de"): 10, ("b", "en"): 5, ("b", "fr"): 5}
+    rows = [k for k, n in counts.items() for _ in range(n)]
+    docs = spark.createDataFrame([(i, "w " * 10, s, lang) for i, (s, lang) in enumerate(rows)], "doc_id long, text string, source string, lang string")
+    got = mixing.marginals(docs, budget=0.5).collect()
+    assert {r["marginal"] for r in got} == set(mixing.KEYS) and len(got) == 6
+    for r in got:
+        assert r["largest_budget"] > 0.5 and r["reached"] == pytest.approx(r["target"], abs=1e-5), r
+
+
+def test_mixing_reports_targets_out_of_reach(spark):
+    docs = spark.createDataFrame([(i, "w " * 10, "b" if i < 10 else "a", "en") for i in range(400)], "doc_id long, text string, source string, lang string")
+    report = {r["category"]: r for r in mixing.marginals(docs, budget=0.8).filter("marginal = 'mix_source'").collect()}
+    assert report["b"]["largest_budget"] < 0.8 and report["b"]["reached"] == pytest.approx(10 / 320, rel=1e-3) and report["b"]["target"] > 0.1
+
+
 def brute_topk(rows, k=20, scale=64):
     good = [(i, [math.floor(scale * x) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     out = set()

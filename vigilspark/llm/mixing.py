@@ -3,7 +3,10 @@
 Documents are counted once into cells (source, language, topic). The cells' token weights are raked in turn to the
 target shares of the three marginals; the ratio of a cell's raked weight to its tokens, scaled to the token budget and
 capped at 1, is the probability with which each of its documents is sampled. The scale is calibrated so that the
-expected tokens meet the budget in spite of the cap. A document is sampled when a hash of its doc_id falls below its
+expected tokens meet the budget in spite of the cap. Where the cap binds and every category has the tokens that its
+target asks for, the cells are raked again under the bound, capped cells fixed and the others taking what is left, until
+all marginals settle. Where a category has too few tokens for the budget, its target can't be met: the budget holds, and
+`marginals` tells target, reached share and the largest budget that each category allows. A document is sampled when a hash of its doc_id falls below its
 probability, so a rerun samples the same documents.
 
 Target shares default to the observed token shares to the power `TEMPERATURE` (1 keeps the mix, 0 makes it uniform).
@@ -24,6 +27,9 @@ TEMPERATURE = 0.5
 BUDGET = 0.8
 CYCLES = 8
 CALIBRATIONS = 8
+#: Rounds of raking under the bound at most, and the share of the budget by which a settled marginal may be off.
+BOUNDED_CYCLES = 40
+SETTLED = 1e-6
 KEYS = ("mix_source", "mix_lang", "mix_topic")
 #: A cell table of at most so many rows is broadcast (under 10 MB); a larger one is joined by shuffle.
 BROADCAST_CELLS = 100_000
@@ -54,6 +60,36 @@ def categorised(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"mix_source": F.coalesce(F.col("source"), F.lit("(none)")), "mix_lang": F.coalesce(F.col("lang"), F.lit("(none)")), "mix_topic": topic(F.col("text")), "mix_tokens": tokens(F.col("text"))})
 
 
+def _off(cells: DataFrame, want: float) -> float:
+    """The largest distance of a marginal from its target, in tokens."""
+    kept = F.col("n") * F.least(F.lit(1.0), F.col("rho"))
+    gaps = cells.select(*[F.abs(F.sum(kept).over(Window.partitionBy(k)) - F.col(f"t_{k}") * want).alias(k) for k in KEYS])
+    return gaps.agg(F.max(F.greatest(*KEYS))).first()[0] or 0.0
+
+
+def _raked_under_bound(cells: DataFrame, want: float) -> DataFrame | None:
+    """`cells` with `w` at most n that meets every target within `want` tokens; null where that can't be.
+
+    A category's factor f solves sum(n * min(1, rho * f)) = target. With the cells by descending rho, f is the greatest
+    of (target - tokens before) / (n * rho from here on), as each way to part capped from free cells gives at most f.
+    """
+    for k in KEYS:
+        if not cells.groupBy(k).agg(F.sum("n").alias("m"), F.first(f"t_{k}").alias("t")).filter(F.col("t") * want > F.col("m") * (1 + 1e-9)).isEmpty():
+            return None
+    cells = cells.withColumn("rho", F.when(F.col("n") > 0, F.col("w") / F.col("n")).otherwise(F.lit(0.0)))
+    for _ in range(BOUNDED_CYCLES):
+        for k in KEYS:
+            by = Window.partitionBy(k).orderBy(F.desc("rho"), *KEYS)
+            before = F.coalesce(F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+            free = F.sum(F.col("n") * F.col("rho")).over(by.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+            cells = cells.withColumn("f", F.when(free > 0, (F.col(f"t_{k}") * want - before) / free))
+            cells = cells.withColumn("rho", F.least(F.lit(1e9), F.col("rho") * F.greatest(F.lit(0.0), F.coalesce(F.max("f").over(Window.partitionBy(k)), F.lit(0.0)))))
+        cells = common.stored(cells, "bounded")
+        if _off(cells, want) <= SETTLED * want:
+            return cells.withColumn("w", F.col("n") * F.least(F.lit(1.0), F.col("rho"))).drop("rho", "f")
+    return None
+
+
 def probabilities(rows: DataFrame, temperature: float = TEMPERATURE, budget: float = BUDGET, cycles: int = CYCLES) -> DataFrame:
     """(source, language, topic, probability) of each cell of `rows` (as made by `categorised`)."""
     cells = common.stored(rows.groupBy(*KEYS).agg(F.sum("mix_tokens").cast("double").alias("n")), "cells")
@@ -79,6 +115,10 @@ def probabilities(rows: DataFrame, temperature: float = TEMPERATURE, budget: flo
         if not got or abs(got - budget * total) <= 1e-9 * total:
             break
         scale *= budget * total / got
+    if weight and not cells.filter(F.col("w") * scale > F.col("n")).isEmpty():
+        bounded = _raked_under_bound(cells.withColumn("w", F.col("w") * scale), budget * total)
+        if bounded is not None:
+            cells, scale = bounded, 1.0
     return cells.select(*KEYS, F.round(F.when(F.col("n") > 0, F.least(F.lit(1.0), F.col("w") * scale / F.col("n"))).otherwise(F.lit(1.0)), 6).alias("probability"))
 
 
@@ -96,6 +136,20 @@ def weighted(docs: DataFrame, temperature: float = TEMPERATURE, budget: float =
     return rows.join(cells, list(KEYS)).withColumn("sampled", draw(F.col("doc_id")) < F.col("probability"))
 
 
+def marginals(docs: DataFrame, temperature: float = TEMPERATURE, budget: float = BUDGET, cycles: int = CYCLES) -> DataFrame:
+    """(marginal, category, tokens, target, reached, largest_budget): target and reached share of the sampled tokens of
+    each category, and the budget above which it has too few tokens for its target."""
+    cells = common.stored(weighted(docs, temperature, budget, cycles).groupBy(*KEYS).agg(F.sum("mix_tokens").cast("double").alias("n"), F.first("probability").alias("p")), "reached")
+    one = None
+    for k in KEYS:
+        every = Window.partitionBy(F.lit(0))
+        shares = cells.groupBy(F.col(k).alias("category")).agg(F.sum("n").alias("tokens"), F.sum(F.col("n") * F.col("p")).alias("kept"))
+        shares = shares.withColumn("target", F.pow("tokens", F.lit(temperature)) / F.sum(F.pow("tokens", F.lit(temperature))).over(every)).withColumn("held", F.sum("tokens").over(every))
+        shares = shares.select(F.lit(k).alias("marginal"), "category", F.col("tokens").cast("bigint").alias("tokens"), "target", F.try_divide("kept", F.sum("kept").over(every)).alias("reached"), F.try_divide("tokens", F.col("held") * F.col("target")).alias("largest_budget"))
+        one = shares if one is None else one.unionByName(shares)
+    return one
+
+
 def sample(docs: DataFrame, temperature: float = TEMPERATURE, budget: float = BUDGET, cycles: int = CYCLES) -> DataFrame:
     """The sampled documents, with the columns of `docs`."""
     held = docs.select("doc_id", "text", "source", "lang", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("mix_doc"))
