@@ -111,6 +111,28 @@ def test_main_text_without_marks():
     assert lines[0] == "Head" and len(lines) == 6 and lines[-1].startswith("Paragraph 4")
 
 
+LONG = "A paragraph of the article with a good many words, so that it weighs as much as body text does on real pages."
+
+
+@pytest.mark.parametrize("around", ["div class='content has-sidebar'", "div class=layout-with-sidebar", "div class='site-content no-sidebar'", "div class=page-with-comments", "div class='search-results'", "form id=aspnetForm action=x", "div class='page sidebar'"])
+@pytest.mark.parametrize("mark", ["article", "main", "div"])
+def test_layout_wrappers_are_no_furniture(around, mark):
+    tag = around.split()[0]
+    page = f"<body><nav>Home</nav><{around}><div class=sidebar>Buy now, this is an advert</div><{mark}><p>{LONG} 1</p><p>{LONG} 2</p><div class=comments><p>Nice post</p></div></{mark}></{tag}><footer>(c)</footer></body>"
+    assert html_extract.main_text(page) == f"{LONG} 1\n{LONG} 2"
+
+
+def test_comments_and_teasers_stay_furniture():
+    talk = "".join(f"<article class=comment><p>{LONG}</p></article>" for _ in range(5))
+    page = f"<body><article><p>Short text of the page.</p></article><div class=comments>{talk}</div><div class=related><article><p>{LONG}</p></article></div><form>{LONG}</form></body>"
+    assert html_extract.main_text(page) == "Short text of the page."
+
+
+def test_formulas_and_fallbacks_are_text():
+    page = f"<article><p>So <math><semantics><mi>x</mi><mo>=</mo><mn>1</mn><annotation encoding=tex>x=1</annotation></semantics></math> holds.</p><object data=a>The picture shows a cat.</object></article>"
+    assert html_extract.main_text(page) == "So x=1 holds.\nThe picture shows a cat."
+
+
 @pytest.mark.parametrize("html", [None, "", "<", "<p", "<!--", "<a href='", "&#xffffffff;", "<script>", "</div></p>", "<p>\x00</p>", "<" * 3000, "<div>" * 3000, "a" * 200_000])
 def test_odd_pages_do_not_crash(html):
     assert isinstance(html_extract.main_text(html), str)

@@ -2,7 +2,9 @@
 
 The markup is stripped into blocks, one line each, in page order. A line weighs as many characters as its text outside
 links and separators has; lines of page furniture (menus, headers, footers, side bars, notices, adverts, forms, reader comments), told
-by their elements and by class, id or role, weigh nothing. The distribution is the sum of weights over a sliding window
+by their elements and by class, id or role, weigh nothing. An element that is furniture by its class or id, or a form, is
+a mere wrapper where it holds main (or role=main) or more than half of the page's text; names after has-, no- and with-
+don't count, and readers' comments are no wrapper unless one article has that half. The distribution is the sum of weights over a sliding window
 of `LINES` lines. A surge point is where the window first carries more than the threshold, a dive point where it falls
 to nothing; the text between the surge and the dive is kept, without furniture.
 
@@ -33,7 +35,7 @@ SURGE = 80
 
 # Fixed values of HTML: elements without content, with raw content, that break lines, and that are furniture.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe object svg canvas math select xmp noframes".split())
+RAW = frozenset("script style noscript template textarea title iframe svg canvas annotation annotation-xml select noframes".split())
 BREAKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul head".split())
 FURNITURE = frozenset("nav header footer aside form button menu dialog label fieldset search head input".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
@@ -47,6 +49,11 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "t
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*\"|'[^']*'|[\"'])*+)(>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NAME = re.compile(r"[A-Za-z]+")
+_TOKENS = re.compile(r"\S+")
+_WORDS = re.compile(r"[a-z]+")
+#: A word after one of these tells of a layout, not of the element itself: has-sidebar, no-sidebar, page-with-comments.
+LAYOUT = frozenset("has no with without".split())
+COMMENTS = frozenset("comment comments commentlist respond disqus replies reply".split())
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
@@ -57,46 +64,77 @@ class Line(NamedTuple):
     article: bool  # in the marked article
 
 
-def _furniture(tag: str, attrs: str, inside: bool) -> bool:
-    """Whether an element is page furniture; inside: within the marked article, where a header is the article's own."""
-    if tag in FURNITURE and not (inside and tag in ("header", "label", "fieldset")):
-        return True
+class Wrap:
+    """An element that is furniture by its names, or a form: it is a mere layout wrapper if it holds the page's main text."""
+
+    __slots__ = ("comments", "weight", "main", "article")
+
+    def __init__(self, comments: bool) -> None:
+        self.comments, self.weight, self.main, self.article = comments, 0, False, 0
+
+    def lifted(self, total: int) -> bool:
+        return self.main or self.weight * 2 > total and (not self.comments or self.article * 2 > total)
+
+
+def _names(value: str) -> set[str]:
+    """The furniture names in a class or id, without those of layouts (has-sidebar)."""
+    found = set()
+    for token in _TOKENS.findall(value):
+        words = _WORDS.findall(token)
+        if LAYOUT.isdisjoint(words):
+            found.update(words)
+        else:
+            found.update(words[: next(k for k, w in enumerate(words) if w in LAYOUT)])
+    return found & FURNITURE_NAMES
+
+
+def _furniture(tag: str, attrs: str, inside: bool) -> tuple[bool, Wrap | None]:
+    """Whether an element is page furniture for good, and else the wrapper that its names or its being a form make of it.
+
+    inside: within the marked article, where a header is the article's own.
+    """
+    if tag in FURNITURE and tag != "form" and not (inside and tag in ("header", "label", "fieldset")):
+        return True, None
+    wrap = Wrap(False) if tag == "form" else None
     if not attrs or tag in ("body", "html", "article", "main"):
-        return False
+        return False, wrap
     for m in _ATTR.finditer(attrs):
         name = m[1].lower()
         value = unescape(m[2] or m[3] or m[4] or "").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _HIDDEN.search(value):
-            return True
+            return True, None
         if name == "role" and value in FURNITURE_ROLES:
-            return True
-        if name in ("class", "id") and any(w in FURNITURE_NAMES for w in _NAME.findall(value)):
-            if inside and set(_NAME.findall(value)) & FURNITURE_NAMES <= {"header"}:
-                continue
-            return True
-    return False
+            return True, None
+        if name in ("class", "id"):
+            names = _names(value)
+            if names and not (inside and names <= {"header"}):
+                wrap = Wrap(not names.isdisjoint(COMMENTS) or wrap is not None and wrap.comments)
+    return False, wrap
 
 
 def blocks(html: str) -> tuple[list[Line], bool]:
     """The page's lines, and whether it marks an article."""
-    lines: list[Line] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, furniture, article, link
+    lines: list[tuple[str, int, bool, int, tuple[Wrap, ...]]] = []
+    stack: list[tuple[str, bool, int, bool, tuple[Wrap, ...]]] = []  # tag, furniture, article (its number from 1), link, wrappers
+    articles: list[tuple[bool, tuple[Wrap, ...], bool]] = []  # furniture, wrappers, of a reader's comment
+    wraps: tuple[Wrap, ...] = ()
     parts: list[str] = []
     linked = 0
-    furniture = article = link = marked = False
+    furniture = link = False
+    article = 0
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                lines.append(Line(text, max(0, len(text) - linked), furniture, article))
+                lines.append((text, max(0, len(text) - linked), furniture, article, wraps))
             parts.clear()
         linked = 0
 
     def settle() -> None:
-        nonlocal furniture, article, link
-        _, furniture, article, link = stack[-1] if stack else ("", False, False, False)
+        nonlocal furniture, article, link, wraps
+        _, furniture, article, link, wraps = stack[-1] if stack else ("", False, 0, False, ())
 
     pos, end = 0, len(html)
     while pos < end:
@@ -116,7 +154,7 @@ def blocks(html: str) -> tuple[list[Line], bool]:
             break
         tag, closing = m[2].lower(), bool(m[1])
         if tag in RAW and not closing:
-            if not m[3].rstrip().endswith("/") or tag not in ("svg", "math"):
+            if not m[3].rstrip().endswith("/") or tag not in ("svg", "annotation", "annotation-xml"):
                 stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*>?", re.I).search(html, pos)
                 pos = stop.end() if stop else end
             parts.append(" ")
@@ -147,11 +185,38 @@ def blocks(html: str) -> tuple[list[Line], bool]:
                         break
             settle()
         starts = tag in ("article", "main") or "main" in m[3] and bool(re.search(r"\brole\s*=\s*[\"']?main\b", m[3]))
-        marked = marked or starts and not furniture
-        stack.append((tag, furniture or _furniture(tag, m[3], article or starts), article or starts, link or tag == "a"))
+        fixed, wrap = _furniture(tag, m[3], bool(article or starts))
+        if starts and not (article and tag == "article"):
+            comment = any(name[1].lower() in ("class", "id") and not _names((name[2] or name[3] or name[4] or "").lower()).isdisjoint(COMMENTS) for name in _ATTR.finditer(m[3]))
+            articles.append((furniture, wraps, comment))
+            if tag != "article" and not furniture:
+                for w in wraps:
+                    w.main = True
+        number = len(articles) if starts and not (article and tag == "article") else article
+        stack.append((tag, furniture or fixed, number, link or tag == "a", (*wraps, wrap) if wrap else wraps))
         settle()
     flush()
-    return lines, marked
+    return _judged(lines, articles)
+
+
+def _judged(lines: list[tuple[str, int, bool, int, tuple[Wrap, ...]]], articles: list[tuple[bool, tuple[Wrap, ...], bool]]) -> tuple[list[Line], bool]:
+    """The lines with wrappers judged by what they hold, and whether an article is marked outside furniture."""
+    if any(x[4] for x in lines):
+        total, own = 0, [0] * (len(articles) + 1)
+        for _, weight, furniture, article, wraps in lines:
+            if not furniture:
+                total += weight
+                own[article] += weight
+                for w in wraps:
+                    w.weight += weight
+        for (_, wraps, comment), weight in zip(articles, own[1:], strict=True):
+            for w in wraps if not comment else ():
+                w.article = max(w.article, weight)
+        kept = {w: w.lifted(total) for x in lines for w in x[4]}
+    else:
+        kept = {}
+    marked = any(not furniture and all(kept.get(w, False) for w in wraps) for furniture, wraps, _ in articles)
+    return [Line(text, weight, furniture or not all(kept[w] for w in wraps), article > 0) for text, weight, furniture, article, wraps in lines], marked
 
 
 def main_lines(lines: list[Line], marked: bool, width: int = LINES, surge: int = SURGE) -> list[str]:
