@@ -128,6 +128,13 @@ def test_comments_and_teasers_stay_furniture():
     assert html_extract.main_text(page) == "Short text of the page."
 
 
+@pytest.mark.parametrize("gap", ["<div class=ad><p>Buy</p><p>this</p><p>now</p></div>", "<p>* * *</p>" * 3, "<ul><li><a href=a>one</a><li><a href=b>two</a><li><a href=c>three</a></ul>"])
+def test_every_region_of_an_unmarked_page_is_kept(gap):
+    page = f"<body><div><p>{LONG} 1</p><p>{LONG} 2</p>{gap}<p>{LONG} 3</p></div></body>"
+    lines = html_extract.main_text(page).split("\n")
+    assert [x for x in lines if x.startswith(LONG)] == [f"{LONG} {k}" for k in (1, 2, 3)]
+
+
 def test_formulas_and_fallbacks_are_text():
     page = f"<article><p>So <math><semantics><mi>x</mi><mo>=</mo><mn>1</mn><annotation encoding=tex>x=1</annotation></semantics></math> holds.</p><object data=a>The picture shows a cat.</object></article>"
     assert html_extract.main_text(page) == "So x=1 holds.\nThe picture shows a cat."

@@ -9,8 +9,8 @@ of `LINES` lines. A surge point is where the window first carries more than the
 to nothing; the text between the surge and the dive is kept, without furniture.
 
 Where the page marks its article (article, main, or role=main), the marks say what is furniture and the threshold is 0,
-so that short lines at the article's ends stay. Otherwise the threshold is `SURGE` characters, and of several regions
-the heaviest one is kept, with its short first lines (a heading before the surge belongs to it).
+so that short lines at the article's ends stay. Otherwise the threshold is `SURGE` characters, and every region is kept in
+page order, with its short first lines (a heading before the surge belongs to it).
 
 Defined cases: a null or empty page gives the empty string; unclosed elements end with their parents, an unfinished tag
 at the end is dropped; character references are decoded; white space inside a block becomes one space; line breaks are
@@ -240,8 +240,6 @@ def main_lines(lines: list[Line], marked: bool, width: int = LINES, surge: int =
             i -= 1
         regions.append((i, dive))
         i = dive
-    if not marked and regions:
-        regions = [max(regions, key=lambda r: (sum(weights[r[0] : r[1]]), -r[0]))]
     return [x.text for start, stop in regions for x in lines[start:stop] if not x.furniture and (x.article or not marked)]
 
 
