@@ -135,6 +135,13 @@ def test_every_region_of_an_unmarked_page_is_kept(gap):
     assert [x for x in lines if x.startswith(LONG)] == [f"{LONG} {k}" for k in (1, 2, 3)]
 
 
+def test_link_lists_in_a_marked_article_are_gaps():
+    links = "".join(f"<li><a href={k}>Teaser {k}</a> |" for k in range(4))
+    page = f"<main><h1><a href=x>Linked title</a></h1><p>Short.</p><ul>{links}</ul><p><a href=y>One link</a></p><div>}}</div><div>}}</div><div>}}</div><p>{LONG}</p><p><a href=z>End</a></p></main>"
+    assert html_extract.main_text(page).split("\n") == ["Linked title", "Short.", "}", "}", "}", LONG, "End"]
+    assert html_extract.main_text(f"<main><ul>{links}</ul></main>").count("Teaser") == 4
+
+
 def test_formulas_and_fallbacks_are_text():
     page = f"<article><p>So <math><semantics><mi>x</mi><mo>=</mo><mn>1</mn><annotation encoding=tex>x=1</annotation></semantics></math> holds.</p><object data=a>The picture shows a cat.</object></article>"
     assert html_extract.main_text(page) == "So x=1 holds.\nThe picture shows a cat."

@@ -8,8 +8,9 @@ don't count, and readers' comments are no wrapper unless one article has that ha
 of `LINES` lines. A surge point is where the window first carries more than the threshold, a dive point where it falls
 to nothing; the text between the surge and the dive is kept, without furniture.
 
-Where the page marks its article (article, main, or role=main), the marks say what is furniture and the threshold is 0,
-so that short lines at the article's ends stay. Otherwise the threshold is `SURGE` characters, and every region is kept in
+Where the page marks its article (article, main, or role=main), the marks stand for surge and dive at the article's ends,
+so that short lines there stay; inside, each window of `LINES` lines of links alone is a gap and is left out (an article
+of nothing but links stays whole). Otherwise the threshold is `SURGE` characters, and every region is kept in
 page order, with its short first lines (a heading before the surge belongs to it).
 
 Defined cases: a null or empty page gives the empty string; unclosed elements end with their parents, an unfinished tag
@@ -62,6 +63,7 @@ class Line(NamedTuple):
     weight: int  # characters outside links and separators
     furniture: bool
     article: bool  # in the marked article
+    links: bool  # holds links, and nothing that weighs
 
 
 class Wrap:
@@ -114,23 +116,26 @@ def _furniture(tag: str, attrs: str, inside: bool) -> tuple[bool, Wrap | None]:
 
 def blocks(html: str) -> tuple[list[Line], bool]:
     """The page's lines, and whether it marks an article."""
-    lines: list[tuple[str, int, bool, int, tuple[Wrap, ...]]] = []
+    lines: list[tuple[str, int, bool, int, tuple[Wrap, ...], bool]] = []
     stack: list[tuple[str, bool, int, bool, tuple[Wrap, ...]]] = []  # tag, furniture, article (its number from 1), link, wrappers
     articles: list[tuple[bool, tuple[Wrap, ...], bool]] = []  # furniture, wrappers, of a reader's comment
     wraps: tuple[Wrap, ...] = ()
     parts: list[str] = []
     linked = 0
+    links = False
     furniture = link = False
     article = 0
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, links
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                lines.append((text, max(0, len(text) - linked), furniture, article, wraps))
+                weight = max(0, len(text) - linked)
+                lines.append((text, weight, furniture, article, wraps, links and not weight))
             parts.clear()
         linked = 0
+        links = False
 
     def settle() -> None:
         nonlocal furniture, article, link, wraps
@@ -145,6 +150,7 @@ def blocks(html: str) -> tuple[list[Line], bool]:
             parts.append(text)
             if link or not any(c.isalnum() for c in text):
                 linked += len(text)
+                links = links or link and any(c.isalnum() for c in text)
         if not m:
             break
         pos = m.end()
@@ -199,11 +205,11 @@ def blocks(html: str) -> tuple[list[Line], bool]:
     return _judged(lines, articles)
 
 
-def _judged(lines: list[tuple[str, int, bool, int, tuple[Wrap, ...]]], articles: list[tuple[bool, tuple[Wrap, ...], bool]]) -> tuple[list[Line], bool]:
+def _judged(lines: list[tuple[str, int, bool, int, tuple[Wrap, ...], bool]], articles: list[tuple[bool, tuple[Wrap, ...], bool]]) -> tuple[list[Line], bool]:
     """The lines with wrappers judged by what they hold, and whether an article is marked outside furniture."""
     if any(x[4] for x in lines):
         total, own = 0, [0] * (len(articles) + 1)
-        for _, weight, furniture, article, wraps in lines:
+        for _, weight, furniture, article, wraps, _ in lines:
             if not furniture:
                 total += weight
                 own[article] += weight
@@ -216,18 +222,19 @@ def _judged(lines: list[tuple[str, int, bool, int, tuple[Wrap, ...]]], articles:
     else:
         kept = {}
     marked = any(not furniture and all(kept.get(w, False) for w in wraps) for furniture, wraps, _ in articles)
-    return [Line(text, weight, furniture or not all(kept[w] for w in wraps), article > 0) for text, weight, furniture, article, wraps in lines], marked
+    return [Line(text, weight, furniture or not all(kept[w] for w in wraps), article > 0, links) for text, weight, furniture, article, wraps, links in lines], marked
 
 
 def main_lines(lines: list[Line], marked: bool, width: int = LINES, surge: int = SURGE) -> list[str]:
     """The lines between the surge and the dive of the distribution."""
     if marked:
-        weights = [len(x.text) if x.article and not x.furniture else 0 for x in lines]
-        threshold = 0
-    else:
-        weights = [0 if x.furniture else x.weight for x in lines]
-        threshold = surge if max((sum(weights[i : i + width]) for i in range(len(weights))), default=0) > surge else 0
+        held = [x for x in lines if x.article and not x.furniture]
+        sums = [sum(not x.links for x in held[i : i + width]) for i in range(len(held) - width + 1)]
+        empty = {k for i, n in enumerate(sums) if not n for k in range(i, i + width)}
+        return [x.text for k, x in enumerate(held) if k not in empty or len(empty) == len(held)]
+    weights = [0 if x.furniture else x.weight for x in lines]
     sums = [sum(weights[i : i + width]) for i in range(len(weights))]
+    threshold = surge if max(sums, default=0) > surge else 0
     regions, i = [], 0
     while i < len(sums):
         if sums[i] <= threshold:
@@ -240,7 +247,7 @@ def main_lines(lines: list[Line], marked: bool, width: int = LINES, surge: int =
             i -= 1
         regions.append((i, dive))
         i = dive
-    return [x.text for start, stop in regions for x in lines[start:stop] if not x.furniture and (x.article or not marked)]
+    return [x.text for start, stop in regions for x in lines[start:stop] if not x.furniture]
 
 
 def main_text(html: str | None) -> str:
