@@ -55,6 +55,17 @@ def test_license_of_whole_templates_and_long_text(spark):
     assert got == {k: (name, 1.0) for k, (name, _) in enumerate(licenses.TEMPLATES)} | {99: ("MIT", 1.0)}
 
 
+def test_licenses_in_comments_and_running_text(spark):
+    gpl, apache = (next(t for n, t in licenses.TEMPLATES if n == name and len(t) > 100) for name in ("GPL-2.0", "Apache-2.0"))
+    agpl = gpl.replace("GNU General", "GNU Affero General").replace("software;", "software:").replace("Foundation; either version 2", "Foundation, either version 3")
+    w = gpl.split()
+    header = "/*\n * tool.c - does a thing or two\n * Copyright (C) 2001 Jane Doe, who wrote all of this one rainy week\n *\n" + "".join(f" * {' '.join(w[i : i + 9])}\n" for i in range(0, len(w), 9)) + " *\n * It comes without any warranty, and you will not hear from us again.\n */\nint main;"
+    prose = f"We wrote this one rainy week in the mountains of the north. {gpl} It was never finished, and nobody has asked for it since then. Released under the MIT License."
+    rows = [(1, header), (2, prose), (3, agpl), (4, f"The tool is old, and nobody knows by whom it was made. {apache} for all of it. There is more to say about it on another page.")]
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "GPL-2.0", 2: "GPL-2.0,MIT", 3: "AGPL-3.0", 4: "Apache-2.0"}
+
+
 def test_size_bounds_are_exact():
     for n in range(1, 60):
         low, high = licenses.size_bounds(n, 0.8)

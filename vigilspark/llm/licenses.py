@@ -7,6 +7,9 @@ size before anything is intersected. Before that, blocks are left out that hold
 anchors are chosen so that the bigrams of a template which touch none of them are fewer than the threshold needs, so a
 block without an anchor can't match and nothing is lost.
 
+Comment lines without words part paragraphs like blank lines. Joins of 2 to `RUN` consecutive sentences are compared as
+well; of windows that share sentences the best counts, and they add the licences that no block names, once each.
+
 Everything happens inside a document's row: no explode, join or shuffle, so neither long documents nor groups of copies
 meet in one task.
 
@@ -25,6 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
+#: Sentences of the longest window: one more than the longest template has.
+RUN = 4
 
 # Public licence notices and the paragraphs of short licences, by SPDX identifier.
 TEMPLATES: tuple[tuple[str, str], ...] = (
@@ -82,6 +87,21 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     ),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    (
+        "AGPL-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at "
+        "your option) any later version.",
+    ),
+    (
+        "LGPL-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at "
+        "your option) any later version.",
+    ),
+    (
+        "LGPL-2.1",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at "
+        "your option) any later version.",
+    ),
 )
 
 
@@ -124,12 +144,24 @@ def bigrams(block: Column) -> Column:
     return _let(words, lambda w: F.array_distinct(F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b))))
 
 
+def sentences(text: Column) -> Column:
+    return F.split(F.regexp_replace(text, "([.!?;:])[ \t\n]+", "$1\u0001"), "\u0001")
+
+
 def blocks(text: Column) -> Column:
     """The distinct lines, sentences and paragraphs of a text, and the whole of it."""
     lines = F.split(text, "\n")
-    sentences = F.split(F.regexp_replace(text, "([.!?;:])[ \t\n]+", "$1\u0001"), "\u0001")
     paragraphs = F.split(text, "\n[ \t\r]*\n")
-    return F.array_distinct(F.concat(lines, sentences, paragraphs, F.array(text)))
+    bare = F.split(F.regexp_replace(text, r"(?m)^[ \t]*(?:/\*+|\*+/|//+|--+|[*#;%]+)[ \t\r]*$", ""), "\n[ \t\r]*\n")
+    return F.array_distinct(F.concat(lines, sentences(text), paragraphs, F.array(text), bare))
+
+
+def windows(text: Column) -> Column:
+    """array<struct<b, i, n>>: the joins b of n = 1 to RUN consecutive sentences from the i-th."""
+    none = F.array().cast("array<struct<b:string,i:int,n:int>>")
+    join = lambda s, i, n: F.struct(F.array_join(F.slice(s, i, n), " ").alias("b"), i.alias("i"), n.alias("n"))
+    joins = lambda s: F.flatten(F.transform(F.sequence(F.lit(1), F.lit(RUN)), lambda n: F.when(F.size(s) >= n, F.transform(F.sequence(F.lit(1), F.size(s) - n + 1), lambda i: join(s, i, n))).otherwise(none)))
+    return _let(sentences(text), joins)
 
 
 def matches(text: Column, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> Column:
@@ -147,8 +179,25 @@ def matches(text: Column, templates: tuple[tuple[str, str], ...] = TEMPLATES, th
         dice = lambda t: F.size(F.array_intersect(grams, t["grams"])) * F.lit(2.0) / (F.size(grams) + F.size(t["grams"]))
         return F.array_max(F.transform(sized, lambda t: F.struct(dice(t).alias("dice"), t["order"].alias("order"), t["license"].alias("license"))))
 
-    held = F.filter(blocks(text), lambda b: F.lower(b).rlike(anchor))
-    found = F.filter(F.transform(held, lambda b: _let(bigrams(b), scored)), lambda m: m["dice"] >= threshold)
+    def reached(parts: Column) -> Column:
+        held = F.filter(parts, lambda b: F.lower(b).rlike(anchor))
+        return F.filter(F.transform(held, lambda b: _let(bigrams(b), scored)), lambda m: m["dice"] >= threshold)
+
+    def spans(parts: Column) -> Column:
+        held = F.filter(parts, lambda w: F.lower(w["b"]).rlike(anchor))
+        scores = F.transform(held, lambda w: F.struct(_let(bigrams(w["b"]), scored).alias("m"), w["i"].alias("i"), w["n"].alias("n")))
+        return F.filter(scores, lambda w: w["m"]["dice"] >= threshold)
+
+    def best(some: Column) -> Column:
+        """Of windows that share sentences, those that no other surpasses."""
+        meet = lambda x, y: (y["i"] < x["i"] + x["n"]) & (x["i"] < y["i"] + y["n"]) & (y["m"] > x["m"])
+        return F.transform(F.filter(some, lambda x: ~F.exists(some, lambda y: meet(x, y))), lambda x: x["m"])
+
+    def joined(found: Column, more: Column) -> Column:
+        new = F.array_except(F.transform(more, lambda m: m["license"]), F.transform(found, lambda m: m["license"]))
+        return F.concat(found, F.transform(new, lambda x: F.array_max(F.filter(more, lambda m: m["license"] == x))))
+
+    found = _let(reached(blocks(text)), lambda f: _let(_let(spans(windows(text)), best), lambda more: joined(f, more)))
     return F.when(F.lower(text).rlike(anchor), found)
 
 
