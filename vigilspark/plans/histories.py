@@ -106,20 +106,11 @@ SELECT k AS seq, CASE WHEN NOT c THEN 'swap' ELSE ['fin-order', 'fin-trade', 'bo
   CASE WHEN NOT c THEN 'BTC' WHEN m = 2 THEN 'ETH' WHEN m = 3 THEN 'RUNE' WHEN m = 5 THEN 'RUJI' WHEN m = 6 THEN 'BTC' ELSE '' END AS assetOut,
   'thor' || o_custkey AS sender, 'tx' || k AS txID,
   CASE WHEN k % 2 = 1 THEN '' WHEN k % 5 = 0 THEN '0.02' ELSE '0.00000123' END AS feeAmount, CASE WHEN k % 2 = 1 THEN '' ELSE 'RUNE' END AS feeCurrency,
-  CAST(CASE WHEN NOT c THEN k * 10 WHEN m = 1 THEN k + 7 WHEN m = 2 THEN k + 9 WHEN m = 3 THEN k + 11 WHEN m = 5 THEN 0 WHEN m = 6 THEN k + 5 ELSE 0 END AS BIGINT) AS raw_out
-FROM x WHERE m <> 5 OR NOT c""")
+  CAST(CASE WHEN NOT c THEN k * 10 WHEN m = 1 THEN k + 7 WHEN m = 2 THEN k + 9 WHEN m = 3 THEN k + 11 WHEN m = 5 THEN k + 9 WHEN m = 6 THEN k + 5 ELSE 0 END AS BIGINT) AS raw_out
+FROM x""")
 def history_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decoded rows but for claims, as in the SQL; `history_decode_claims` has those."""
-    return _decoded(spark, sf_dir).filter("type <> 'ruji-claim'")
-
-
-@query("""SELECT o_orderkey AS seq, 'ruji-claim' AS type, '' AS assetIn, 'RUJI' AS assetOut, 'thor' || o_custkey AS sender, 'tx' || o_orderkey AS txID,
-  CASE WHEN o_orderkey % 2 = 1 THEN '' WHEN o_orderkey % 5 = 0 THEN '0.02' ELSE '0.00000123' END AS feeAmount,
-  CASE WHEN o_orderkey % 2 = 1 THEN '' ELSE 'RUNE' END AS feeCurrency, CAST(o_orderkey + 9 AS BIGINT) AS raw_out
-FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 8 = 5""")
-def history_decode_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The claims that `history_decode` leaves out: RUJI of the attribute `returned`, else of the first funds."""
-    return _decoded(spark, sf_dir).filter("type = 'ruji-claim'")
+    """Every order, decoded; a claim's amount is that of the attribute `returned`, else of the first funds."""
+    return _decoded(spark, sf_dir)
 
 
 def _decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
