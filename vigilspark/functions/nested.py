@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ def first(xs: Column, default: Column | None = None) -> Column:
     return got if default is None else F.coalesce(got, default)
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """`then` over a value that is computed once, however often `then` reads it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def lookup(mapping: Column, key: Column, default: Column | None = None) -> Column:
     got = F.try_element_at(mapping, key)
     return got if default is None else F.coalesce(got, default)
@@ -29,7 +36,8 @@ PRINTABLE = r"^[\x20-\x7E]+$"
 def maybe_base64(text: Column) -> Column:
     """Decoded base64 where the text has its alphabet and length and decodes to printable text; else the text itself."""
     decoded = F.decode(F.try_to_binary(text, F.lit("base64")), "ISO-8859-1")
-    return F.when(text.rlike(BASE64) & (F.length(text) % 4 == 0) & F.coalesce(decoded.rlike(PRINTABLE), F.lit(False)), decoded).otherwise(text)
+    printable = let(decoded, lambda d: F.when(d.rlike(PRINTABLE), d))
+    return F.coalesce(F.when((F.length(text) % 4 == 0) & text.rlike(BASE64), printable), text)
 
 
 def base64_json(text: Column, schema: str) -> Column:

@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vigilspark.functions import nested
+
 # Chains that prefix an asset in the two-part form.
 ASSET_CHAINS = ("ETH", "BTC", "AVAX", "BSC", "BASE", "GAIA", "TRON", "DOGE", "LTC", "BCH", "XRP", "SOL", "TERRA", "BNB", "THOR")
 
@@ -41,19 +43,16 @@ def _last(x: Column, separator: str) -> Column:
 def clean_asset(asset: Column) -> Column:
     """The ticker of an asset or denomination, in upper case (history rule)."""
     bare = _last(_last(_last(F.regexp_replace(asset, "^[xX]/", ""), "/"), "~"), ".")
-    part = F.split(bare, "-")
-    one, two, n = F.get(part, F.lit(0)), F.get(part, F.lit(1)), F.size(part)
-    head, tail = F.upper(one), F.upper(two)
-    ticker_second = (F.length(two) <= 6) & ~two.rlike("^[0-9a-fA-F]+$")
-    pair = F.when((F.length(two) > 6) | two.rlike("^0[xX]"), head).when(head.isin(*ASSET_CHAINS) & (head != tail), tail).otherwise(head)
-    junk = head.startswith("0X") | (head.startswith("THOR1") & (F.length(head) > 10)) | head.rlike("^[A-F0-9]{21,}$")
-    return (
-        F.when(missing(asset), "")
-        .when(F.lower(asset).isin("rune", "thor.rune"), "RUNE")
-        .when(n >= 3, F.when(ticker_second, tail).otherwise(head))
-        .when(n == 2, pair)
-        .otherwise(F.when(junk, "").otherwise(head))
-    )
+
+    def ticker(part: Column) -> Column:
+        one, two, n = F.get(part, F.lit(0)), F.get(part, F.lit(1)), F.size(part)
+        head, tail = F.upper(one), F.upper(two)
+        ticker_second = (F.length(two) <= 6) & ~two.rlike("^[0-9a-fA-F]+$")
+        pair = F.when((F.length(two) > 6) | two.rlike("^0[xX]"), head).when(head.isin(*ASSET_CHAINS) & (head != tail), tail).otherwise(head)
+        junk = head.startswith("0X") | (head.startswith("THOR1") & (F.length(head) > 10)) | head.rlike("^[A-F0-9]{21,}$")
+        return F.when(n >= 3, F.when(ticker_second, tail).otherwise(head)).when(n == 2, pair).otherwise(F.when(junk, "").otherwise(head))
+
+    return F.when(missing(asset), "").when(F.lower(asset).isin("rune", "thor.rune"), "RUNE").otherwise(nested.let(F.split(bare, "-"), ticker))
 
 
 def short_asset(asset: Column) -> Column:

@@ -12,11 +12,15 @@ RECEIPTS = r"^x/(bow-|ghost-|staking-|nami-index-|fin-)"
 
 
 def merged_balances(balances: DataFrame) -> DataFrame:
-    """(asset, total, amount) of (denom, amount): receipts left out, denominations merged, zeros dropped."""
+    """(asset, total, amount) of (denom, amount): receipts left out, denominations merged, zeros dropped.
+
+    Amounts are summed by denomination first, so that names are parsed once each.
+    """
+    rows = balances.filter(~F.coalesce("denom", F.lit("")).rlike(RECEIPTS)).select("denom", numbers.int_prefix(F.col("amount")).alias("raw")).filter("raw <> 0")
     asset = F.when(F.col("denom") == "rune", "RUNE").otherwise(text.clean_asset(F.col("denom")))
-    rows = balances.filter(~F.coalesce("denom", F.lit("")).rlike(RECEIPTS)).select(asset.alias("asset"), numbers.int_prefix(F.col("amount")).alias("raw"))
-    rows = rows.filter((F.col("asset") != "") & (F.col("raw") != 0)).groupBy("asset").agg(F.sum("raw").cast("decimal(38,0)").alias("total"))
-    return rows.withColumn("amount", numbers.format_amount(F.col("total"))).filter("amount <> '0'").orderBy(F.desc("total"), "asset")
+    names = rows.groupBy("denom").agg(F.sum("raw").alias("raw")).withColumn("asset", asset).filter("asset <> ''")
+    merged = names.groupBy("asset").agg(F.sum("raw").cast("decimal(38,0)").alias("total"))
+    return merged.withColumn("amount", numbers.format_amount(F.col("total"))).filter("amount <> '0'").orderBy(F.desc("total"), "asset")
 
 
 def sum_by_asset(coins: DataFrame) -> DataFrame:
@@ -55,8 +59,8 @@ def transfers(txs: DataFrame) -> DataFrame:
     one = txs.dropDuplicates(["txhash"])
     events = F.when(F.size(F.coalesce("events", F.array())) > 0, F.col("events")).otherwise(F.flatten(F.transform("logs", lambda x: x["events"])))
     rows = one.select("txhash", F.explode(events).alias("e")).filter("e.type = 'transfer'")
-    attrs = F.transform("e.attributes", lambda a: F.struct(nested.maybe_base64(a["key"]).alias("key"), nested.maybe_base64(a["value"]).alias("value")))
-    rows = rows.select("txhash", attrs.alias("a")).select("txhash", *[nested.attribute(F.col("a"), k).alias(k) for k in ("recipient", "sender", "amount")])
+    attrs = F.transform("e.attributes", lambda a: F.struct(nested.maybe_base64(a["key"]).alias("key"), a["value"].alias("value")))
+    rows = rows.select("txhash", attrs.alias("a")).select("txhash", *[nested.maybe_base64(nested.attribute(F.col("a"), k)).alias(k) for k in ("recipient", "sender", "amount")])
     return rows.select("txhash", "recipient", "sender", F.explode(text.coin_list(F.col("amount"), clean=False)).alias("c")).select("txhash", "recipient", "sender", F.col("c.amount").alias("amount"), F.col("c.asset").alias("denom"))
 
 
