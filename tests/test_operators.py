@@ -58,11 +58,13 @@ def test_screening_grows_with_the_lists(spark):
 def test_frozen_list_never_shrinks(spark):
     now = F.expr("timestamp '2024-01-01'")
     schema = "address string, chain string, source string, reason string, last_seen timestamp"
-    old = spark.createDataFrame([("0xaa", "ETH", "TETHER", "Frozen address", None), ("Tgone", "TRX", "TETHER", "Frozen address", None), ("0xbb", "ETH", "OFAC", "kept", None)], schema)
+    old = spark.createDataFrame([("0xaa", "ETH", "TETHER", "first", None), ("Tgone", "TRX", "TETHER", "first", None), ("Tstays", "TRX", "TETHER", "first", None), ("0xbb", "ETH", "OFAC", "kept", None)], schema)
     base = spark.createDataFrame([("0xAA", "ETH")], "address string, chain string")
     feed = spark.createDataFrame([("0xaa", "ETH"), ("Tnew", "TRX")], "address string, chain string")
-    got = screening.merge_frozen(old, base, feed, now=now)
-    assert {(r["address"], r["source"], r["reason"]) for r in got.collect()} == {("0xaa", "TETHER", "Frozen address"), ("Tgone", "TETHER", "No longer frozen"), ("0xbb", "OFAC", "kept"), ("Tnew", "TETHER", "Frozen address")}
+    gone = spark.createDataFrame([("tGONE",), ("0xbb",)], "address string")
+    got = screening.merge_frozen(old, base, feed, removed=gone, now=now)
+    want = {("0xaa", "TETHER", "first"), ("Tgone", "TETHER", "USDT address (unfrozen by Tether)"), ("Tstays", "TETHER", "first"), ("0xbb", "OFAC", "kept"), ("Tnew", "TETHER", "USDT blacklisted address (TRX)")}
+    assert {(r["address"], r["source"], r["reason"]) for r in got.collect()} == want
     screening.append_only(old, got)
 
 

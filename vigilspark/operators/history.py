@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilspark.functions import nested, numbers, text, times
-from vigilspark.operators import dims
+from vigilspark.operators import dims, fixed_lists
 
 # Types by how their assets are read from a contract's first funds and attributes.
 IN_FUND = ("fin-order", "fin-order-inc", "fin-order-dec", "ghost-lend", "bow-deposit", "pilot-order", "nami-deposit")
@@ -245,6 +245,11 @@ def tax_label(kind: Column, mapping: dict[str, str] | None = None) -> Column:
     return nested.lookup(_map(mapping or dims.tax_labels()), kind, F.lit(""))
 
 
+def type_label(kind: Column) -> Column:
+    """The display name of a type; the type itself where it has none."""
+    return nested.lookup(_map(fixed_lists.TYPE_LABELS), kind, kind)
+
+
 def description(row: DataFrame | None = None) -> Column:
     """The description of a history row for tax exports."""
     kind, sent = F.col("type"), text.or_default(F.col("rawAmountIn"), F.col("amountIn"))

@@ -102,6 +102,71 @@ def changes(now: DataFrame, before: DataFrame) -> DataFrame:
     return both.select(pct("tvl").alias("tvl_change"), (F.col("n.wallets") - F.col("b.wallets")).alias("wallet_change"), pct("revenue").alias("revenue_change"), F.coalesce(volume, pct("revenue")).alias("volume_change"))
 
 
+def _usd(rows: DataFrame, name: str) -> DataFrame:
+    return rows.agg(F.coalesce(F.sum("usd"), F.lit(0.0)).alias(name))
+
+
+def _pairs(rows: DataFrame, name: str) -> DataFrame:
+    """One row: the assets as a sorted array, null where there are none."""
+    return rows.agg(F.nullif(F.sort_array(F.collect_list(F.struct("asset", F.col("amount").cast("double").alias("amount")))), F.array().cast("array<struct<asset:string,amount:double>>")).alias(name))
+
+
+def snapshot(tvl: DataFrame, wallets: int | Column, held_fees: DataFrame, fees: DataFrame, volume: DataFrame, price: DataFrame, snapshots: DataFrame, now: Column, minutes: int = 10) -> DataFrame:
+    """The next row of the snapshots, or none where there is one of the last minutes already.
+
+    Inputs are (asset, amount): assets held, fees not yet swept, fees and volume of all time. Without fees of all time
+    those held stand in. Volume in USD only grows: the growth of each asset since the last snapshot, at today's price,
+    is added to that snapshot's total.
+    """
+    last = snapshots.agg(F.max_by(F.struct(F.col("cumulative_volume_usd").try_cast("double").alias("usd"), F.col("cumulative_volume_assets").alias("assets")), "created_at").alias("last"))
+    before = last.select(F.explode("last.assets").alias("b")).groupBy("b.asset").agg(F.max("b.amount").alias("before"))
+    grown = valued(volume.join(before, "asset", "left").select("asset", F.greatest(F.lit(0.0), F.col("amount") - F.coalesce("before", F.lit(0.0))).alias("amount")), price)
+    all_fees = fees.unionByName(held_fees.join(F.broadcast(fees.limit(1).select(F.lit(True).alias("__any"))), F.lit(True), "left_anti"))
+    parts = [_usd(valued(tvl, price), "tvl"), _usd(valued(held_fees, price), "held"), _usd(valued(all_fees, price), "fees"), _pairs(all_fees, "fee_assets"), _usd(grown, "grown"), _pairs(volume, "volume_assets"), last]
+    one = parts[0]
+    for p in parts[1:]:
+        one = one.join(F.broadcast(p), F.lit(True))
+    recent = snapshots.filter(F.col("created_at") > now - F.expr(f"INTERVAL {minutes} MINUTES")).limit(1).select(F.lit(True).alias("__recent"))
+    one = one.join(F.broadcast(recent), F.lit(True), "left_anti")
+    locked = F.coalesce("last.usd", F.lit(0.0)) + F.col("grown")
+    return one.select(
+        F.col("tvl").cast("string").alias("tvl_usd"),
+        (wallets if isinstance(wallets, Column) else F.lit(wallets)).cast("int").alias("wallet_count"),
+        F.col("held").cast("string").alias("revenue_usd"),
+        F.col("fees").cast("string").alias("cumulative_fees_usd"),
+        F.col("fee_assets").alias("cumulative_fees_assets"),
+        locked.cast("string").alias("cumulative_volume_usd"),
+        F.col("volume_assets").alias("cumulative_volume_assets"),
+        now.alias("created_at"),
+    )
+
+
+def report(now_row: DataFrame, snapshots: DataFrame, now: Column, fee_points: float = 15.0) -> DataFrame:
+    """The headline: values of the current snapshot and their changes against the last one at least 24 hours old.
+
+    Without real volume, it is what the fees imply at their rate, and its change is that of the fees.
+    """
+    number = lambda row, c: F.col(f"{row}.{c}").try_cast("double")
+    names = ["tvl_usd", "wallet_count", "revenue_usd", "cumulative_fees_usd", "cumulative_volume_usd"]
+    old = snapshots.filter(F.col("created_at") <= now - F.expr("INTERVAL 24 HOURS")).agg(F.max_by(F.struct(*names), "created_at").alias("o"))
+    both = now_row.select(F.struct(*names).alias("n"), F.col("cumulative_volume_assets").isNotNull().alias("volume_is_real")).join(F.broadcast(old), F.lit(True))
+    change = {c: numbers.percent_change(number("n", c), number("o", c)) for c in ("tvl_usd", "cumulative_fees_usd", "cumulative_volume_usd")}
+    fees_change = F.when(F.col("o.cumulative_fees_usd").isNotNull(), change["cumulative_fees_usd"]).otherwise(numbers.percent_change(number("n", "cumulative_fees_usd"), number("o", "revenue_usd")))
+    locked = number("n", "cumulative_volume_usd")
+    implied = numbers.volume_from_fees(number("n", "cumulative_fees_usd"), F.lit(fee_points))
+    return both.select(
+        number("n", "tvl_usd").alias("tvl_usd"),
+        F.col("n.wallet_count").alias("wallets"),
+        number("n", "cumulative_fees_usd").alias("fees_usd"),
+        F.when(locked > 0, locked).otherwise(F.coalesce(implied, F.lit(0.0))).alias("volume_usd"),
+        "volume_is_real",
+        change["tvl_usd"].alias("tvl_change"),
+        (F.col("n.wallet_count") - F.col("o.wallet_count")).alias("wallet_change"),
+        fees_change.alias("revenue_change"),
+        F.coalesce(F.when(locked > 0, change["cumulative_volume_usd"]), fees_change).alias("volume_change"),
+    )
+
+
 def thinned(snapshots: DataFrame, ts: str, minutes: int = 10) -> DataFrame:
     """The first snapshot of each interval."""
     return snapshots.withColumn("__w", F.window(ts, f"{minutes} minutes")["start"]).groupBy("__w").agg(F.min_by(F.struct(*snapshots.columns), ts).alias("s")).select("s.*")

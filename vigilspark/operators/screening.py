@@ -115,19 +115,24 @@ def member_sync(members: DataFrame, users: DataFrame) -> tuple[DataFrame, DataFr
     return fresh, direct.unionByName(hub).distinct()
 
 
-def merge_frozen(existing: DataFrame, baseline: DataFrame, *feeds: DataFrame, source: str = "TETHER", now: Column | None = None) -> DataFrame:
-    """The frozen-address list (address, chain, source, reason, last_seen) after a sync.
+def merge_frozen(existing: DataFrame, baseline: DataFrame, *feeds: DataFrame, removed: DataFrame | None = None, source: str = "TETHER", now: Column | None = None) -> DataFrame:
+    """The frozen-address list (address, chain, source, reason, last_seen; entity_name and added_at if there) after a sync.
 
-    Feeds are joined and deduplicated by chain and address whatever the case; listed rows are touched, new rows added,
-    rows no longer frozen keep their place with a reason that says so. Nothing is ever deleted.
+    Feeds are joined and deduplicated by chain and address whatever the case; listed rows are touched, new rows added.
+    Rows named in `removed` (address), whatever the case, keep their place with a reason that says so. Nothing is ever
+    deleted, and a feed that gives no rows unfreezes nothing.
     """
     now = now if now is not None else F.current_timestamp()
     all_ = R.bag_union(baseline.withColumn("__o", F.lit(0)), *[f.withColumn("__o", F.lit(i + 1)) for i, f in enumerate(feeds)]).withColumn("__k", F.lower("address"))
     frozen = R.first_wins(all_, ["chain", "__k"], ["__o", "address"])
-    fresh = frozen.select(text.normalize_address(F.col("address"), F.col("chain"), text.LOWER_FEEDS).alias("address"), "chain", F.lit(source).alias("source"), F.lit("Frozen address").alias("reason"), now.alias("last_seen"))
-    merged = R.upsert(existing, fresh.select(*existing.columns), ["address", "source"], ["last_seen"])
-    gone = merged.filter(F.col("source") == source).withColumn("__k", F.lower("address")).join(frozen.select("__k"), "__k", "left_anti").select("address", "source").withColumn("reason", F.lit("No longer frozen"))
-    return R.update_by_key(merged, gone, ["address", "source"], ["reason"])
+    address = text.normalize_address(F.col("address"), F.col("chain"), text.LOWER_FEEDS)
+    cells = {"address": address, "chain": F.col("chain"), "source": F.lit(source), "entity_name": F.lit("Tether Frozen"), "reason": F.concat(F.lit("USDT blacklisted address ("), "chain", F.lit(")")), "added_at": now, "last_seen": now}
+    fresh = frozen.select(*[cells[c].alias(c) for c in existing.columns]).dropDuplicates(["address", "source"])
+    merged = R.upsert(existing, fresh, ["address", "source"], ["last_seen"])
+    if removed is None:
+        return merged
+    gone = merged.filter(F.col("source") == source).withColumn("__k", F.lower("address")).join(removed.select(F.lower("address").alias("__k")), "__k", "left_semi")
+    return R.update_by_key(merged, gone.select("address", "source", F.lit("USDT address (unfrozen by Tether)").alias("reason"), now.alias("last_seen")), ["address", "source"], ["reason", "last_seen"])
 
 
 def append_only(before: DataFrame, after: DataFrame) -> None:

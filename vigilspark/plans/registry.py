@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigilspark.plans import boards, catalog, histories, relations, scalars, screening, streams, values
+from vigilspark.plans import boards, catalog, histories, relations, scalars, screening, services, streams, values
 
-MODULES = (screening, relations, boards, values, histories, scalars, streams)
+MODULES = (screening, relations, boards, values, histories, scalars, services, streams)
 QUERIES, ORACLES = catalog.QUERIES, catalog.ORACLES
 
 

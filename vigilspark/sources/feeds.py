@@ -145,10 +145,18 @@ def read_actions(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def read_polygons(spark: SparkSession, path: str) -> DataFrame:
-    """(polygon, ring, coordinates) of a GeoJSON document."""
+    """(polygon, rings) of a GeoJSON document; each part of a multi-polygon is a polygon of its own."""
     schema = "features array<struct<geometry:struct<type:string,coordinates:string>>>"
-    rows = spark.read.schema(schema).option("multiLine", True).json(path).select(F.posexplode("features").alias("polygon", "f"))
+    rows = spark.read.schema(schema).option("multiLine", True).json(path).select(F.posexplode("features").alias("feature", "f"))
     multi = F.from_json("f.geometry.coordinates", "array<array<array<array<double>>>>")
     single = F.array(F.from_json("f.geometry.coordinates", "array<array<array<double>>>"))
     parts = F.when(F.col("f.geometry.type") == "MultiPolygon", multi).otherwise(single)
-    return rows.select("polygon", F.explode(parts).alias("rings")).select("polygon", F.posexplode("rings").alias("ring", "coordinates"))
+    return rows.select("feature", F.posexplode(parts).alias("part", "rings")).select(F.concat_ws(".", "feature", "part").alias("polygon"), "rings")
+
+
+def read_database(spark: SparkSession, url: str, table: str, key: str | None = None, low: int = 0, high: int = 0, parts: int = 16, **options: str) -> DataFrame:
+    """A table over JDBC; with a numeric key it is read in `parts` ranges at once."""
+    reader = spark.read.format("jdbc").option("url", url).option("dbtable", table).options(**options)
+    if key:
+        reader = reader.option("partitionColumn", key).option("lowerBound", low).option("upperBound", high).option("numPartitions", parts)
+    return reader.load()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -63,6 +63,12 @@ def reset(users: DataFrame, key: str, done_at: str, prefix: str) -> DataFrame:
     return users.withColumn(done_at, F.when(F.col(key).startswith(prefix), F.lit(None)).otherwise(F.col(done_at)))
 
 
+def with_progress(rows: DataFrame, name: str, **counters: Column) -> tuple[DataFrame, Observation]:
+    """The rows, and counters that Spark fills as they pass, without a pass of their own (rows counts them all)."""
+    seen = Observation(name)
+    return rows.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.count_if(c).alias(k) for k, c in counters.items()]), seen
+
+
 def guarded_snapshots(stream: DataFrame, ts: str, minutes: int, checkpoint: str, sink: Callable[[DataFrame], None]) -> StreamingQuery:
     """At most one snapshot an interval: the first of each interval of a micro-batch goes to the sink."""
 
