@@ -1,19 +1,19 @@
 """Mixing sources to target weights by iterative proportional fitting, in DataFrame functions alone.
 
-Documents are counted once into cells (source, language, topic). The cells' token weights are raked in turn to the
-target shares of the three marginals; the ratio of a cell's raked weight to its tokens, scaled to the token budget and
-capped at 1, is the probability with which each of its documents is sampled. The scale is calibrated so that the
-expected tokens meet the budget in spite of the cap. Where the cap binds and every category has the tokens that its
-target asks for, the cells are raked again under the bound, capped cells fixed and the others taking what is left, until
-all marginals settle. Where a category has too few tokens for the budget, its target can't be met: the budget holds, and
-`marginals` tells target, reached share and the largest budget that each category allows. A document is sampled when a hash of its doc_id falls below its
-probability, so a rerun samples the same documents.
+Documents are counted once into cells (source, language, topic). Each cell has a ratio, its raked tokens over its
+tokens; a document is sampled with probability min(1, ratio). The ratios are raked in turn to the target shares of the
+three marginals: those of a category are multiplied by its target over what it keeps, where cells at probability 1 keep
+no more than they have. So the cap is part of the raking and the probabilities are calibrated when it ends. A document
+is sampled when a hash of its doc_id falls below its probability, so a rerun samples the same documents.
 
 Target shares default to the observed token shares to the power `TEMPERATURE` (1 keeps the mix, 0 makes it uniform).
+`BUDGET` is the largest share of all tokens that is sampled. A category that has too few tokens for its share of it
+lowers it: the budget is then `MARGIN` of the largest one for which every category has enough, so that all targets are
+met. `marginals` tells target and reached share of each category and the budget that it allows.
 
 Defined cases: null or empty text has no tokens, takes the topic of prose and a probability of its cell like any other;
-null source or language is the category "(none)"; a null doc_id hashes as the empty string; repeated rows are sampled
-alike; an empty table gives no rows; other columns are kept by `sample`.
+a cell without tokens has probability 1; null source or language is the category "(none)"; a null doc_id hashes as the
+empty string; repeated rows are sampled alike; an empty table gives no rows; other columns are kept by `sample`.
 """
 
 from __future__ import annotations
@@ -25,34 +25,40 @@ from vigilspark.llm import common
 
 TEMPERATURE = 0.5
 BUDGET = 0.8
-CYCLES = 8
-CALIBRATIONS = 8
-#: Rounds of raking under the bound at most, and the share of the budget by which a settled marginal may be off.
-BOUNDED_CYCLES = 40
-SETTLED = 1e-6
+#: Of the largest budget that all categories allow, so much is used: at that budget itself raking hardly settles.
+MARGIN = 0.95
+CYCLES = 24
+#: Cycles between two writes of the cells, which keep plans short.
+STEP = 6
+#: No ratio grows beyond this (targets that can't be met together would drive it without end).
+MOST = 1e9
 KEYS = ("mix_source", "mix_lang", "mix_topic")
-#: A cell table of at most so many rows is broadcast (under 10 MB); a larger one is joined by shuffle.
-BROADCAST_CELLS = 100_000
+#: A cell table of at most so many rows (under 10 MB) is raked in one partition, without shuffles, and broadcast; a larger
+#: one is dealt by category and joined by shuffle. The results are the same.
+SMALL_CELLS = 100_000
 
 # The topics by what their texts contain, first match first.
 TOPICS = (("legal", ("licens", "copyright")), ("contact", ("@",)), ("tabular", (" | ",)), ("noisy", ("###", "$$$")))
 
 
 def topic(text: Column) -> Column:
-    low = F.lower(text)
-    out = F.lit("prose")
-    for name, marks in reversed(TOPICS):
-        has = low.contains(marks[0])
-        for m in marks[1:]:
-            has = has | low.contains(m)
-        out = F.when(has, F.lit(name)).otherwise(out)
-    return out
+    def of(low: Column) -> Column:
+        out = F.lit("prose")
+        for name, marks in reversed(TOPICS):
+            has = low.contains(marks[0])
+            for m in marks[1:]:
+                has = has | low.contains(m)
+            out = F.when(has, F.lit(name)).otherwise(out)
+        return out
+
+    return F.transform(F.array(F.lower(text)), of)[0]
 
 
 def tokens(text: Column) -> Column:
-    """White-space words."""
-    trimmed = F.regexp_replace(text, r"^[ \t-\r]+|[ \t-\r]+$", "")
-    return F.when(F.coalesce(F.length(trimmed), F.lit(0)) == 0, F.lit(0)).otherwise(F.size(F.split(trimmed, r"[ \t-\r]+"))).cast("bigint")
+    """White-space words: the parts between runs of white space, without the empty ones before the first and after the last."""
+    parts = F.size(F.split(text, r"[ \t-\r]+"))
+    empty = text.rlike(r"^[ \t-\r]").cast("int") + F.substring(text, -1, 1).rlike(r"[ \t-\r]").cast("int")
+    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, F.lit(0)).otherwise(parts - empty).cast("bigint")
 
 
 def categorised(docs: DataFrame) -> DataFrame:
@@ -60,66 +66,30 @@ def categorised(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"mix_source": F.coalesce(F.col("source"), F.lit("(none)")), "mix_lang": F.coalesce(F.col("lang"), F.lit("(none)")), "mix_topic": topic(F.col("text")), "mix_tokens": tokens(F.col("text"))})
 
 
-def _off(cells: DataFrame, want: float) -> float:
-    """The largest distance of a marginal from its target, in tokens."""
-    kept = F.col("n") * F.least(F.lit(1.0), F.col("rho"))
-    gaps = cells.select(*[F.abs(F.sum(kept).over(Window.partitionBy(k)) - F.col(f"t_{k}") * want).alias(k) for k in KEYS])
-    return gaps.agg(F.max(F.greatest(*KEYS))).first()[0] or 0.0
-
-
-def _raked_under_bound(cells: DataFrame, want: float) -> DataFrame | None:
-    """`cells` with `w` at most n that meets every target within `want` tokens; null where that can't be.
-
-    A category's factor f solves sum(n * min(1, rho * f)) = target. With the cells by descending rho, f is the greatest
-    of (target - tokens before) / (n * rho from here on), as each way to part capped from free cells gives at most f.
-    """
-    for k in KEYS:
-        if not cells.groupBy(k).agg(F.sum("n").alias("m"), F.first(f"t_{k}").alias("t")).filter(F.col("t") * want > F.col("m") * (1 + 1e-9)).isEmpty():
-            return None
-    cells = cells.withColumn("rho", F.when(F.col("n") > 0, F.col("w") / F.col("n")).otherwise(F.lit(0.0)))
-    for _ in range(BOUNDED_CYCLES):
-        for k in KEYS:
-            by = Window.partitionBy(k).orderBy(F.desc("rho"), *KEYS)
-            before = F.coalesce(F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-            free = F.sum(F.col("n") * F.col("rho")).over(by.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-            cells = cells.withColumn("f", F.when(free > 0, (F.col(f"t_{k}") * want - before) / free))
-            cells = cells.withColumn("rho", F.least(F.lit(1e9), F.col("rho") * F.greatest(F.lit(0.0), F.coalesce(F.max("f").over(Window.partitionBy(k)), F.lit(0.0)))))
-        cells = common.stored(cells, "bounded")
-        if _off(cells, want) <= SETTLED * want:
-            return cells.withColumn("w", F.col("n") * F.least(F.lit(1.0), F.col("rho"))).drop("rho", "f")
-    return None
-
-
 def probabilities(rows: DataFrame, temperature: float = TEMPERATURE, budget: float = BUDGET, cycles: int = CYCLES) -> DataFrame:
     """(source, language, topic, probability) of each cell of `rows` (as made by `categorised`)."""
     cells = common.stored(rows.groupBy(*KEYS).agg(F.sum("mix_tokens").cast("double").alias("n")), "cells")
+    few = cells.count() <= SMALL_CELLS
+    cells = cells.coalesce(1) if few else cells
+    powered = {k: F.pow(f"m_{k}", F.lit(temperature)) for k in KEYS}
     for k in KEYS:
-        shares = cells.groupBy(k).agg(F.sum("n").alias("m"))
-        total = shares.agg(F.sum(F.pow("m", F.lit(temperature)))).first()[0] or 1.0
-        shares = shares.select(k, (F.pow("m", F.lit(temperature)) / F.lit(total)).alias(f"t_{k}"))
-        cells = cells.join(shares, k)
-    cells = common.stored(cells.withColumn("w", F.col("n")), "targets")
+        by = Window.partitionBy(k)
+        cells = cells.withColumns({f"m_{k}": F.sum("n").over(by), f"cells_{k}": F.count("*").over(by)})
+    whole = cells.agg(F.sum("n").alias("n"), *[F.sum(powered[k] / F.col(f"cells_{k}")).alias(f"t_{k}") for k in KEYS], *[F.min(F.when(F.col(f"m_{k}") > 0, F.col(f"m_{k}") / powered[k])).alias(f"low_{k}") for k in KEYS]).first()
+    total = whole["n"] or 0.0
+    # a category allows a budget of its tokens over its target share of all tokens
+    allowed = min(whole[f"low_{k}"] * whole[f"t_{k}"] / total for k in KEYS) if total else 1.0
+    share = min(budget, MARGIN * allowed)
+    cells = cells.select(*KEYS, "n", *[(powered[k] / F.lit(whole[f"t_{k}"] or 1.0)).alias(f"t_{k}") for k in KEYS], F.lit(share).alias("ratio"))
+    kept = F.col("n") * F.least(F.lit(1.0), F.col("ratio"))
     for c in range(cycles):
         for k in KEYS:
-            held = F.sum("w").over(Window.partitionBy(k))
-            cells = cells.withColumn("w", F.when(held > 0, F.col("w") * F.col(f"t_{k}") / held).otherwise(F.lit(0.0)))
-        if c % 3 == 2:
-            cells = common.stored(cells, "raked")
-    cells = common.stored(cells, "raked")
-    sums = cells.agg(F.sum("n").alias("n"), F.sum("w").alias("w")).first()
-    total, weight = sums["n"] or 0.0, sums["w"] or 0.0
-    # calibration: one number, found from sums over the cells
-    scale = budget * total / weight if weight else 0.0
-    for _ in range(CALIBRATIONS if weight else 0):
-        got = cells.agg(F.sum(F.least("n", F.col("w") * scale))).first()[0]
-        if not got or abs(got - budget * total) <= 1e-9 * total:
-            break
-        scale *= budget * total / got
-    if weight and not cells.filter(F.col("w") * scale > F.col("n")).isEmpty():
-        bounded = _raked_under_bound(cells.withColumn("w", F.col("w") * scale), budget * total)
-        if bounded is not None:
-            cells, scale = bounded, 1.0
-    return cells.select(*KEYS, F.round(F.when(F.col("n") > 0, F.least(F.lit(1.0), F.col("w") * scale / F.col("n"))).otherwise(F.lit(1.0)), 6).alias("probability"))
+            held = F.sum(kept).over(Window.partitionBy(k))
+            cells = cells.withColumn("ratio", F.least(F.lit(MOST), F.when(held > 0, F.col("ratio") * (F.col(f"t_{k}") * (share * total) / held)).otherwise(F.col("ratio"))))
+        if c % STEP == STEP - 1:
+            cells = common.stored(cells, "cells")
+            cells = cells.coalesce(1) if few else cells
+    return cells.select(*KEYS, F.round(F.when(F.col("n") > 0, F.least(F.lit(1.0), F.col("ratio"))).otherwise(F.lit(1.0)), 6).alias("probability"))
 
 
 def draw(doc_id: Column) -> Column:
@@ -131,7 +101,7 @@ def weighted(docs: DataFrame, temperature: float = TEMPERATURE, budget: float =
     """`docs` with its categories, tokens, `probability` and whether it is `sampled`; these replace columns so named."""
     rows = categorised(docs.drop("probability", "sampled"))
     cells = probabilities(rows, temperature, budget, cycles)
-    if cells.count() <= BROADCAST_CELLS:
+    if cells.count() <= SMALL_CELLS:
         cells = F.broadcast(cells)
     return rows.join(cells, list(KEYS)).withColumn("sampled", draw(F.col("doc_id")) < F.col("probability"))
 

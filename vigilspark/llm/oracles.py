@@ -33,16 +33,17 @@ def mixing_sql() -> str:
         parts.append(f"t_{k} AS (SELECT {k}, pow(sum(n), {mixing.TEMPERATURE}) AS m FROM c GROUP BY {k})")
     joins = " ".join(f"JOIN t_{k} USING ({k})" for k in mixing.KEYS)
     shares = ", ".join(f"t_{k}.m / (SELECT sum(m) FROM t_{k}) AS s_{k}" for k in mixing.KEYS)
-    parts.append(f"w0 AS (SELECT c.*, {shares}, n AS w FROM c {joins})")
+    parts.append(f"w0 AS (SELECT c.*, {shares} FROM c {joins})")
+    lows = ", ".join(f"(SELECT min(m2) FROM (SELECT sum(n) / (pow(sum(n), {mixing.TEMPERATURE}) / (SELECT sum(m) FROM t_{k})) AS m2 FROM c GROUP BY {k} HAVING sum(n) > 0))" for k in mixing.KEYS)
+    parts.append(f"b AS (SELECT least({mixing.BUDGET}, {mixing.MARGIN} * least({lows}) / sum(n)) AS share, sum(n) AS total FROM c)")
+    parts.append("r0 AS MATERIALIZED (SELECT w0.*, share AS ratio, share * total AS want FROM w0, b)")
     step = 0
     for _ in range(mixing.CYCLES):
         for k in mixing.KEYS:
-            parts.append(f"w{step + 1} AS MATERIALIZED (SELECT * REPLACE (coalesce(w * s_{k} / nullif(sum(w) OVER (PARTITION BY {k}), 0), 0) AS w) FROM w{step})")
+            kept = f"sum(n * least(1.0, ratio)) OVER (PARTITION BY {k})"
+            parts.append(f"r{step + 1} AS MATERIALIZED (SELECT * REPLACE (coalesce(ratio * s_{k} * want / nullif({kept}, 0), ratio) AS ratio) FROM r{step})")
             step += 1
-    parts.append(f"z0 AS (SELECT {mixing.BUDGET} * sum(n) / sum(w) AS z, {mixing.BUDGET} * sum(n) AS want FROM w{step})")
-    for i in range(mixing.CALIBRATIONS):
-        parts.append(f"z{i + 1} AS MATERIALIZED (SELECT any_value(z) * any_value(want) / sum(least(n, w * z)) AS z, any_value(want) AS want FROM w{step}, z{i})")
-    parts.append(f"p AS (SELECT mix_source, mix_lang, mix_topic, round(CASE WHEN n > 0 THEN least(1.0, w * z / n) ELSE 1.0 END, 6) AS probability FROM w{step}, z{mixing.CALIBRATIONS})")
+    parts.append(f"p AS (SELECT mix_source, mix_lang, mix_topic, round(CASE WHEN n > 0 THEN least(1.0, ratio) ELSE 1.0 END, 6) AS probability FROM r{step})")
     return "WITH " + ",\n".join(parts) + """
 SELECT doc_id, n_tokens, mix_topic AS topic, probability,
   CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8)) AS BIGINT) / pow(2.0, 32) < probability AS sampled
