@@ -6,10 +6,11 @@ import math
 import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from vigilspark.llm import licenses, mixing, pii, topk
+from vigilspark.llm import licenses, mixing, oracles, pii, topk
 
 
 def grams(block: str) -> set:
@@ -66,6 +67,24 @@ def test_licenses_in_comments_and_running_text(spark):
     assert got == {1: "GPL-2.0", 2: "GPL-2.0,MIT", 3: "AGPL-3.0", 4: "Apache-2.0"}
 
 
+def test_license_sql_takes_the_same_blocks(spark, tmp_path):
+    rng, made = random.Random(3), [(1000, None), (1001, "")]
+    for i in range(80):
+        parts = []
+        for _ in range(rng.randrange(1, 4)):
+            w = [x for x in rng.choice(licenses.TEMPLATES)[1].split() if rng.random() > 0.05]
+            comment = "/*\n" + "".join(f" * {' '.join(w[k : k + 9])}\n" for k in range(0, len(w), 9)) + " *\n * more words here\n */"
+            parts += [rng.choice([" ".join(w), comment]), rng.choice(["Alpha beta gamma.", "Some text here; more of it.", "# heading", "copyright holder x"])]
+        made.append((i, rng.choice([" ", "\n", "\n\n", ". "]).join(parts)))
+    spark.createDataFrame(made, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    columns = "doc_id, license, dice, licenses, n_matches"
+    want = sorted(con.execute(f"SELECT {columns} FROM ({oracles.license_sql()})").fetchall(), key=str)
+    got = licenses.scan(spark.read.parquet(f"{tmp_path}/documents.parquet")).select(*columns.split(", ")).collect()
+    assert sorted(map(tuple, got), key=str) == want and sum(r["license"] is not None for r in got) > 60
+
+
 def test_size_bounds_are_exact():
     for n in range(1, 60):
         low, high = licenses.size_bounds(n, 0.8)

@@ -51,16 +51,30 @@ FROM d JOIN p USING (mix_source, mix_lang, mix_topic)"""
 
 
 def license_sql() -> str:
-    """Every block of every document against every template, without anchors."""
+    """Every block and every join of sentences of every document against every template, without anchors."""
     rows = ", ".join(f"({k}, '{name}', {licenses.template_bigrams(body)!r})" for k, (name, body) in enumerate(licenses.TEMPLATES))
     words = "string_split(trim(regexp_replace(lower(b), '[^a-z0-9]+', ' ', 'g')), ' ')"
+    sentences = "string_split(regexp_replace(text, '([.!?;:])[ \\t\\n]+', '\\1' || chr(1), 'g'), chr(1))"
+    bare = r"regexp_replace(text, '(?m)^[ \t]*(?:/\*+|\*+/|//+|--+|[*#;%]+)[ \t\r]*$', '', 'g')"
+    paragraphs = "regexp_split_to_array({}, '\\n[ \\t\\r]*\\n')"
+    blocks = ["string_split(text, chr(10))", sentences, paragraphs.format("text"), paragraphs.format(bare), "[text]"]
+    whole = blocks[0]
+    for b in blocks[1:]:
+        whole = f"list_concat({whole}, {b})"
+
+    def scored(source: str, keys: str, name: str) -> str:
+        return f"""{name}w AS (SELECT {keys}, {words} AS w FROM {source}
+), {name}g AS (SELECT {keys}, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS bg FROM {name}w WHERE len(w) >= 2
+), {name}s AS (SELECT {keys}, k, license, 2.0 * len(list_intersect(bg, tg)) / (len(bg) + len(tg)) AS dice FROM {name}g JOIN t ON len(bg) * 4 <= 9 * len(tg) AND len(tg) * 4 <= 9 * len(bg)
+), {name}m AS (SELECT {keys}, max(dice) AS dice, arg_max(license, (dice, -k)) AS license, arg_max(-k, (dice, -k)) AS nk FROM {name}s WHERE dice >= {licenses.THRESHOLD} GROUP BY {keys})"""
+
     return f"""
-WITH t AS (SELECT * FROM (VALUES {rows}) v(k, license, tg)), b AS (
-  SELECT DISTINCT doc_id, unnest(list_concat(list_concat(string_split(text, chr(10)), string_split(regexp_replace(text, '([.!?;:])[ \\t\\n]+', '\\1' || chr(1), 'g'), chr(1))),
-    list_concat(regexp_split_to_array(text, '\\n[ \\t\\r]*\\n'), [text]))) AS b FROM documents
-), w AS (SELECT doc_id, b, {words} AS w FROM b
-), g AS (SELECT doc_id, b, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS bg FROM w WHERE len(w) >= 2
-), s AS (SELECT doc_id, b, k, license, 2.0 * len(list_intersect(bg, tg)) / (len(bg) + len(tg)) AS dice FROM g JOIN t ON len(bg) * 4 <= 9 * len(tg) AND len(tg) * 4 <= 9 * len(bg)
-), m AS (SELECT doc_id, b, max(dice) AS dice, arg_max(license, (dice, -k)) AS license, arg_max(-k, (dice, -k)) AS nk FROM s WHERE dice >= {licenses.THRESHOLD} GROUP BY doc_id, b
+WITH t AS (SELECT * FROM (VALUES {rows}) v(k, license, tg)), b AS (SELECT DISTINCT doc_id, unnest({whole}) AS b FROM documents
+), {scored("b", "doc_id, b", "b")}, sentence AS (SELECT doc_id, {sentences} AS s FROM documents
+), span AS (SELECT doc_id, i, n, array_to_string(s[i:i + n - 1], ' ') AS b FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM sentence), (SELECT unnest(range(1, {licenses.RUN + 1})) AS n) WHERE i + n - 1 <= len(s)
+), {scored("span", "doc_id, i, n", "j")}, best AS (SELECT * FROM jm x WHERE NOT EXISTS (
+  FROM jm y WHERE y.doc_id = x.doc_id AND y.i < x.i + x.n AND x.i < y.i + y.n AND (y.dice, y.nk) > (x.dice, x.nk))
+), more AS (SELECT doc_id, license, max(dice) AS dice, arg_max(nk, (dice, nk)) AS nk FROM best WHERE NOT EXISTS (FROM bm WHERE bm.doc_id = best.doc_id AND bm.license = best.license) GROUP BY doc_id, license
+), m AS (SELECT doc_id, license, dice, nk FROM bm UNION ALL SELECT doc_id, license, dice, nk FROM more
 ), d AS (SELECT doc_id, arg_max(license, (dice, nk)) AS license, max(dice) AS dice, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, count(*) AS n_matches FROM m GROUP BY doc_id)
 SELECT doc_id, d.license, coalesce(round(d.dice, 6), 0.0) AS dice, coalesce(d.licenses, '') AS licenses, coalesce(n_matches, 0) AS n_matches FROM documents LEFT JOIN d USING (doc_id)"""
