@@ -488,7 +488,8 @@ def similar_components(docs: DataFrame, width: int = WIDTH, threshold: tuple[int
     texts = common.pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
     rows = candidates(texts, width, threshold)
     all_docs = rows.filter(F.col("kind") == DOC).select(F.col("x").alias("doc_id"), F.col("y").cast("long").alias("n"), F.col("z").alias("h1"), F.col("w").alias("h2"))
-    classes = all_docs.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"))
+    # stored, so that the join below has no aggregate in its stage and Spark can split the copies of a large class
+    classes = common.stored(all_docs.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep")), "firsts")
     reps = common.stored(all_docs.join(classes, ["n", "h1", "h2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "classes")
     of = reps.select(F.col("doc_id").alias("node"), "rep").distinct()
 
