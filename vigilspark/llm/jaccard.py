@@ -501,13 +501,13 @@ def similar_components(docs: DataFrame, width: int = WIDTH, threshold: tuple[int
     sets = stored_sets(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), texts, width)
     links = common.stored(verified(pairs, sets, threshold), "links")
     members = rows.filter(F.col("kind") == MEMBER).select(F.col("x").alias("gid"), F.col("y").alias("node"))
-    label = common.connected_components(links)
-    in_groups = members.join(of, "node").join(label.toDF("rep", "component"), "rep", "left").select("gid", "rep", F.coalesce("component", "rep").alias("component")).distinct()
+    label = common.stored(common.connected_components(links), "labels")
+    in_groups = members.join(of, "node").select("gid", "rep").distinct().join(label.toDF("rep", "component"), "rep", "left").select("gid", "rep", F.coalesce("component", "rep").alias("component"))
     in_groups = common.stored(in_groups, "groups")
     split = in_groups.groupBy("gid").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("gid")
     open_ = in_groups.join(split, "gid", "left_semi").select(F.col("rep").alias("doc_id"), "component").distinct()
     open_sets = stored_sets(open_, texts, width)
     more = common.stored(pairs_across(open_sets, threshold), "more")
     if not more.isEmpty():
-        label = common.connected_components(links.union(verified(more, open_sets, threshold)))
+        label = common.stored(common.connected_components(links.union(verified(more, open_sets, threshold))), "labels")
     return reps.join(label.toDF("rep", "component"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
