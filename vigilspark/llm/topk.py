@@ -1,12 +1,13 @@
 """Exact top-k inner-product search over an impact-ordered index, score at a time.
 
-Candidates form blocks of at most `BLOCK` vectors. A block's index holds, for each dimension, the postings of all its
-vectors with their values quantised to `LEVELS` levels; what quantising drops is bounded by the step. For a query the
-postings of a dimension are one segment, with the greatest impact that the query's weight can give to a quantised value
-as its key. Segments are processed by descending impact into one accumulator per vector. After each group of segments
-the k-th best lower bound is compared with every vector's upper bound (what it has, what the rest can add, what
-quantising dropped); processing stops only when at most `ENOUGH` vectors are still possible, or at the end. All possible
-members are then rescored exactly on whole vectors.
+Candidates form blocks of at most `BLOCK` vectors. A block's index holds posting segments: for each dimension and each
+of at most `LEVELS` quantised values the vectors that have it. What quantising drops is bounded by the step. The impact
+of a segment on a query is the query's weight times the quantised value, counted from the least impact of its dimension,
+so that accumulators only grow. The queries of a block are searched together: segments are processed by descending
+impact (the greatest on any of the queries) into one accumulator per vector and query. After each of `ROUNDS` groups of
+segments a query's k-th best lower bound is compared with every vector's upper bound (what it has, what the segments
+left can add, what quantising dropped). A query stops only when at most `ENOUGH` vectors are still possible, or at the
+end. All possible members are then rescored exactly on whole vectors.
 
 Query blocks meet every candidate block through an equi-join on block numbers; each pair returns at most k rows a query,
 and a window keeps the k best of all blocks.
@@ -33,7 +34,7 @@ from vigilspark.llm import common
 BLOCK = 4096
 QUERIES = 256
 LEVELS = 16
-GROUP = 8
+ROUNDS = 4
 ENOUGH = 200
 
 _BLOCKS = "block bigint, width int, ids array<bigint>, cells array<int>"
@@ -73,38 +74,57 @@ def _blocks(size: int):
 
 
 class Index:
-    """Quantised postings of one block, by dimension."""
+    """Posting segments of one block, by dimension and quantised value."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         self.ids, self.vectors = ids, vectors.astype(np.int64)
-        span = int(vectors.max()) - int(vectors.min()) + 1
-        self.step = max(1, -(-span // LEVELS))
-        self.postings = np.ascontiguousarray((self.vectors // self.step * self.step).T.astype(np.float64))
-        self.high, self.low = self.postings.max(axis=1), self.postings.min(axis=1)
-
-    def search(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and exact scores of the k best (all, if fewer), ties to smaller ids."""
-        q = query.astype(np.float64)
-        most, least = np.maximum(q * self.high, q * self.low), np.minimum(q * self.high, q * self.low)
-        order = np.argsort(-np.maximum(np.abs(most), np.abs(least)), kind="stable")
+        low = self.vectors.min(axis=0)
+        self.step = max(1, -(-(int((self.vectors - low).max()) + 1) // LEVELS))
+        levels = ((self.vectors - low) // self.step).T  # dimension x vector
+        self.postings = np.argsort(levels, axis=1, kind="stable")
+        held = np.take_along_axis(levels, self.postings, axis=1)
+        starts = np.concatenate([np.ones((len(held), 1), dtype=bool), held[:, 1:] != held[:, :-1]], axis=1)
+        self.dimension, self.start = np.nonzero(starts)  # one for each segment, by dimension and ascending value
+        self.value = held[self.dimension, self.start] * self.step
+        self.first = np.flatnonzero(np.concatenate([[True], self.dimension[1:] != self.dimension[:-1]]))
+        last = np.append(self.dimension[1:] != self.dimension[:-1], True)
+        self.stop = np.where(last, len(ids), np.append(self.start[1:], 0))
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the ids and exact scores of the k best (all, if fewer), ties to smaller ids."""
+        q = queries.astype(np.float64)
+        impact = q.T[self.dimension] * self.value[:, None]  # segment x query
+        impact -= np.minimum.reduceat(impact, self.first, axis=0)[np.searchsorted(self.first, np.arange(len(impact)), side="right") - 1]
         # what quantising dropped: between 0 and step - 1 for each component
-        drop_up, drop_down = float(np.maximum(q, 0).sum() * (self.step - 1)), float(np.minimum(q, 0).sum() * (self.step - 1))
-        score = np.zeros(len(self.ids))
-        alive = np.flatnonzero(self.ids != query_id)
-        for at in range(0, len(order), GROUP):
-            seg = order[at : at + GROUP]
-            score += q[seg] @ self.postings[seg]
-            rest = order[at + GROUP :]
-            if len(alive) > k and (not len(rest) or at * 2 >= len(order)):
-                up, down = most[rest].sum() + drop_up, least[rest].sum() + drop_down
-                now = score[alive]
-                kth = np.partition(now, len(now) - k)[len(now) - k]
-                alive = alive[now + up >= kth + down]
-                if len(alive) <= ENOUGH:
-                    break
-        exact = self.vectors[alive] @ query.astype(np.int64)
-        best = np.lexsort((self.ids[alive], -exact))[:k]
-        return self.ids[alive][best], exact[best]
+        slack = (np.abs(q).sum(axis=1)) * (self.step - 1)
+        order = np.argsort(-impact.max(axis=1), kind="stable")
+        score = np.zeros((len(self.ids), len(q)))
+        for j, own in enumerate(query_ids.tolist()):
+            score[self.ids == own, j] = -np.inf
+        left = impact.copy()
+        open_ = np.arange(len(q))
+        out: list[tuple[np.ndarray, np.ndarray]] = [(self.ids[:0], self.ids[:0])] * len(q)
+        for part in np.array_split(order, min(ROUNDS, len(order))):
+            for s in part.tolist():
+                score[self.postings[self.dimension[s], self.start[s] : self.stop[s]]] += impact[s]
+            left[part] = 0
+            rest = np.maximum.reduceat(left, self.first, axis=0).sum(axis=0)
+            final = part[-1] == order[-1]
+            kth = np.partition(score, len(score) - k, axis=0)[len(score) - k] if len(score) > k else np.full(len(open_), -np.inf)
+            possible = (score + rest >= kth - slack) & (score > -np.inf)
+            done = possible.sum(axis=0) <= ENOUGH
+            for j in np.flatnonzero(done | final).tolist():
+                out[open_[j]] = self._exact(np.flatnonzero(possible[:, j]), queries[open_[j]], k)
+            if final or done.all():
+                break
+            if done.any():
+                score, impact, left, slack, open_ = score[:, ~done], impact[:, ~done], left[:, ~done], slack[~done], open_[~done]
+        return out
+
+    def _exact(self, rows: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        exact = self.vectors[rows] @ query.astype(np.int64)
+        best = np.lexsort((self.ids[rows], -exact))[:k]
+        return self.ids[rows][best], exact[best]
 
 
 def _searched(k: int):
@@ -114,8 +134,8 @@ def _searched(k: int):
                 width = batch.column(0)[r].as_py()
                 q_ids, q_cells, ids, cells = (np.asarray(batch.column(c)[r].values) for c in (1, 2, 3, 4))
                 index = Index(ids, cells.reshape(-1, width))
-                out = [(q, *index.search(int(q), v, k)) for q, v in zip(q_ids, q_cells.reshape(-1, width), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, [len(i) for _, i, _ in out])), pa.array(np.concatenate([i for _, i, _ in out])), pa.array(np.concatenate([s for _, _, s in out]).astype(np.int64))], names=["query_id", "vec_id", "score"])
+                out = index.search(q_ids, q_cells.reshape(-1, width), k)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, [len(i) for i, _ in out])), pa.array(np.concatenate([i for i, _ in out])), pa.array(np.concatenate([s for _, s in out]).astype(np.int64))], names=["query_id", "vec_id", "score"])
 
     return run
 
