@@ -33,9 +33,11 @@ from vigilspark.llm import common
 
 BLOCK = 4096
 QUERIES = 256
-LEVELS = 16
+LEVELS = 128
 ROUNDS = 4
 ENOUGH = 200
+#: Impacts (of a segment on a query) held at once, in two arrays of 8 bytes each.
+CELLS = 1 << 22
 
 _BLOCKS = "block bigint, width int, ids array<bigint>, cells array<int>"
 _HITS = "query_id bigint, vec_id bigint, score bigint"
@@ -87,6 +89,8 @@ class Index:
         self.dimension, self.start = np.nonzero(starts)  # one for each segment, by dimension and ascending value
         self.value = held[self.dimension, self.start] * self.step
         self.first = np.flatnonzero(np.concatenate([[True], self.dimension[1:] != self.dimension[:-1]]))
+        # what quantising dropped, from the middle of its range: 0 where each value has a level of its own
+        self.dropped = np.sqrt(((((self.vectors - low) % self.step) - (self.step - 1) / 2) ** 2).sum(axis=1))
         last = np.append(self.dimension[1:] != self.dimension[:-1], True)
         self.stop = np.where(last, len(ids), np.append(self.start[1:], 0))
 
@@ -95,8 +99,7 @@ class Index:
         q = queries.astype(np.float64)
         impact = q.T[self.dimension] * self.value[:, None]  # segment x query
         impact -= np.minimum.reduceat(impact, self.first, axis=0)[np.searchsorted(self.first, np.arange(len(impact)), side="right") - 1]
-        # what quantising dropped: between 0 and step - 1 for each component
-        slack = (np.abs(q).sum(axis=1)) * (self.step - 1)
+        length = np.sqrt((q**2).sum(axis=1))
         order = np.argsort(-impact.max(axis=1), kind="stable")
         score = np.zeros((len(self.ids), len(q)))
         for j, own in enumerate(query_ids.tolist()):
@@ -110,15 +113,16 @@ class Index:
             left[part] = 0
             rest = np.maximum.reduceat(left, self.first, axis=0).sum(axis=0)
             final = part[-1] == order[-1]
-            kth = np.partition(score, len(score) - k, axis=0)[len(score) - k] if len(score) > k else np.full(len(open_), -np.inf)
-            possible = (score + rest >= kth - slack) & (score > -np.inf)
+            slack = np.outer(self.dropped, length) + 1e-6  # no dropped part weighs more, nor do roundings
+            kth = np.partition(score - slack, len(score) - k, axis=0)[len(score) - k] if len(score) > k else np.full(len(open_), -np.inf)
+            possible = (score + slack + rest >= kth) & (score > -np.inf)
             done = possible.sum(axis=0) <= ENOUGH
             for j in np.flatnonzero(done | final).tolist():
                 out[open_[j]] = self._exact(np.flatnonzero(possible[:, j]), queries[open_[j]], k)
             if final or done.all():
                 break
             if done.any():
-                score, impact, left, slack, open_ = score[:, ~done], impact[:, ~done], left[:, ~done], slack[~done], open_[~done]
+                score, impact, left, length, open_ = score[:, ~done], impact[:, ~done], left[:, ~done], length[~done], open_[~done]
         return out
 
     def _exact(self, rows: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -134,7 +138,8 @@ def _searched(k: int):
                 width = batch.column(0)[r].as_py()
                 q_ids, q_cells, ids, cells = (np.asarray(batch.column(c)[r].values) for c in (1, 2, 3, 4))
                 index = Index(ids, cells.reshape(-1, width))
-                out = index.search(q_ids, q_cells.reshape(-1, width), k)
+                queries, each = q_cells.reshape(-1, width), max(1, CELLS // len(index.start))
+                out = [x for i in range(0, len(q_ids), each) for x in index.search(q_ids[i : i + each], queries[i : i + each], k)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, [len(i) for i, _ in out])), pa.array(np.concatenate([i for i, _ in out])), pa.array(np.concatenate([s for _, s in out]).astype(np.int64))], names=["query_id", "vec_id", "score"])
 
     return run
