@@ -113,7 +113,7 @@ class Index:
             left[part] = 0
             rest = np.maximum.reduceat(left, self.first, axis=0).sum(axis=0)
             final = part[-1] == order[-1]
-            slack = np.outer(self.dropped, length) + 1e-6  # no dropped part weighs more, nor do roundings
+            slack = np.outer(self.dropped, length) * (1 + 1e-9) + 1e-6  # no dropped part weighs more, nor do roundings
             kth = np.partition(score - slack, len(score) - k, axis=0)[len(score) - k] if len(score) > k else np.full(len(open_), -np.inf)
             possible = (score + slack + rest >= kth) & (score > -np.inf)
             done = possible.sum(axis=0) <= ENOUGH
