@@ -153,8 +153,9 @@ def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
-def partitions(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+def partitions(spark: SparkSession, amount: int = 0, each: int = 1) -> int:
+    """Parts to deal `amount` over, `each` in a part; never fewer than the session's shuffle partitions."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-amount // each))
 
 
 def shared_dir(spark: SparkSession) -> str:

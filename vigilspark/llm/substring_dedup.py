@@ -7,7 +7,8 @@ is merge-joined with the runs, written as a run of its own, and runs are compact
 Fingerprints met before are then verified: the whole windows that they stand for, in all documents that have them, are
 compared by their window hash, and a word goes if such a window also starts in a document with a smaller doc_id.
 
-Window hashes travel in arrays, one row per map batch and target partition.
+Window hashes travel in arrays, one row per map batch and target part; the number of parts grows with the fingerprints.
+Within a map batch only the smallest document with a window asks for it, the others are known to repeat it.
 
 Defined cases: a null text has no words; windows never cross documents; repeats inside one document stay; a row without
 doc_id takes no part; rows that repeat a doc_id count as the same document; an empty table gives no rows; other columns
@@ -30,6 +31,8 @@ WINDOW = 50
 GRAM = 8
 BATCHES = 3
 FANOUT = 2
+#: Fingerprints of all documents for each part of the window index; a fingerprint stands for about 21 windows.
+PART_PRINTS = 100_000
 
 _U = np.uint64
 _CLEAN = "doc_id bigint, n_words bigint, n_removed bigint, kept_text string"
@@ -110,7 +113,7 @@ class Index:
         self.runs = [common.stored(merged.groupBy("print").agg(F.min("first").alias("first")).sortWithinPartitions("print"), "run")]
 
 
-_BLOB = "part int, docs array<bigint>, counts array<int>, hashes array<bigint>"
+_BLOB = "part int, known boolean, docs array<bigint>, counts array<int>, hashes array<bigint>, starts array<int>"
 
 
 def _live(prints: np.ndarray, at: np.ndarray, owner: np.ndarray, wanted: list[np.ndarray]) -> np.ndarray:
@@ -123,135 +126,133 @@ def _live(prints: np.ndarray, at: np.ndarray, owner: np.ndarray, wanted: list[np
     return live
 
 
-def _wanted(col: pa.Array) -> list[np.ndarray]:
-    flat = np.asarray(col.flatten()).view(_U) if len(col) else np.zeros(0, _U)
+def _listed(col: pa.Array, kind: type) -> list[np.ndarray]:
+    """Each row's list; a null one is empty."""
+    flat = np.asarray(col.flatten()).view(kind) if len(col) else np.zeros(0, kind)
     sizes = np.array([0 if v is None else v for v in pa.compute.list_value_length(col).to_pylist()], dtype=np.int64)
     ends = np.cumsum(sizes)
     return [flat[e - s : e] for s, e in zip(sizes, ends, strict=True)]
 
 
-def _live_windows(batch: pa.RecordBatch, window: int, gram: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each chunk of rows: its range, the rows' word offsets, and of its live windows start, row and hash."""
-    data, offs, _ = common.text_buffers(batch.column(1))
-    wanted = _wanted(batch.column(2))
-    for i, j in common.row_chunks(offs, 4 * common.CHUNK_BYTES):
-        words, prints, rows = _windows(data, offs[i : j + 1], window, gram)
-        at, owner = _owners(rows, window)
-        live = _live(prints, at, owner, wanted[i:j])
-        at, owner = at[live], owner[live]
-        yield i, j, rows, at, owner, common.window_hashes(words, window)[at]
+def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    offs = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(np.concatenate(values), kind))
 
 
-def _parts(hashes: np.ndarray, parts: int) -> np.ndarray:
-    return ((hashes >> _U(33)) % _U(parts)).astype(np.int32)
+def _lowest_doc(hashes: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """For each window the smallest document here that has it."""
+    order = np.argsort(hashes, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], hashes[order][1:] != hashes[order][:-1]]))
+    low = np.empty_like(docs)
+    low[order] = np.repeat(np.minimum.reduceat(docs[order], first), np.diff(np.append(first, len(order))))
+    return low
 
 
-def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
-    offs = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(np.concatenate(values), kind))
+def _routed(target: np.ndarray, docs: np.ndarray, *values: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """For each target its documents, their numbers of windows, and the windows' values in that order."""
+    order = np.lexsort((docs, target))
+    target, docs, values = target[order], docs[order], [v[order] for v in values]
+    for t in np.unique(target).tolist():
+        s, e = np.searchsorted(target, [t, t + 1])
+        who, n = np.unique(docs[s:e], return_counts=True)
+        yield t, who, n.astype(np.int32), [v[s:e] for v in values]
 
 
 def _dealt(parts: int, window: int, gram: int):
+    """The live windows, dealt by hash. Those that a smaller document of the same chunk has are known to go.
+
+    So a passage that very many documents share is asked for once a chunk, not once a document.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = np.asarray(batch.column(0))
-            for i, j, _, _, owner, hashes in _live_windows(batch, window, gram):
-                if not len(hashes):
+            data, offs, _ = common.text_buffers(batch.column(1))
+            wanted = _listed(batch.column(2), _U)
+            for i, j in common.row_chunks(offs, 4 * common.CHUNK_BYTES):
+                words, prints, rows = _windows(data, offs[i : j + 1], window, gram)
+                at, owner = _owners(rows, window)
+                live = _live(prints, at, owner, wanted[i:j])
+                at, owner = at[live], owner[live]
+                if not len(at):
                     continue
-                part = _parts(hashes, parts)
-                order = np.argsort(part, kind="stable")
-                owner, hashes = owner[order], hashes[order]
-                edges = np.searchsorted(part[order], np.arange(parts + 1))
-                which = np.flatnonzero(np.diff(edges))
-                docs, counts, values = [], [], []
-                for p in which.tolist():
-                    who, n = np.unique(owner[edges[p] : edges[p + 1]], return_counts=True)
-                    docs.append(ids[i:j][who])
-                    counts.append(n.astype(np.int32))
-                    values.append(common.signed(hashes[edges[p] : edges[p + 1]]))
-                yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), _lists(docs, pa.int64()), _lists(counts, pa.int32()), _lists(values, pa.int64())], names=["part", "docs", "counts", "hashes"])
+                hashes, docs, starts = common.window_hashes(words, window)[at], ids[i:j][owner], (at - rows[owner]).astype(np.int32)
+                gone = docs > _lowest_doc(hashes, docs)
+                ask = ~gone
+                asked = [(p, False, *x) for p, *x in _routed((hashes[ask] >> _U(33)) % _U(parts), docs[ask], common.signed(hashes[ask]), starts[ask])]
+                known = [(p, True, who, n, [np.zeros(0, np.int64), v[0]]) for p, who, n, v in _routed(_route(docs[gone], parts), docs[gone], starts[gone])]
+                part, kinds, who, n, values = zip(*asked, *known, strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(part, pa.int32()), pa.array(kinds), _lists(list(who), pa.int64()), _lists(list(n), pa.int32()), _lists([v[0] for v in values], pa.int64()), _lists([v[1] for v in values], pa.int32())],
+                    names=[c.split()[0] for c in _BLOB.split(", ")],
+                )
 
     return run
 
 
-_FOUND = "route int, docs array<bigint>, parts array<int>, counts array<int>, ordinals array<int>"
-_GONE = "doc_id bigint, gone array<struct<part:int,ordinals:array<int>>>"
+_FOUND = "route int, docs array<bigint>, counts array<int>, starts array<int>"
+_GONE = "doc_id bigint, gone array<int>"
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """The array columns of each routing number, joined over its rows."""
-    held: dict[int, list[tuple[np.ndarray, ...]]] = {}
-    for batch in batches:
-        for r in range(batch.num_rows):
-            row = batch.slice(r, 1)
-            held.setdefault(row.column(0)[0].as_py(), []).append(tuple(np.asarray(row.column(c).flatten()).copy() for c in range(1, columns + 1)))
-    for part in sorted(held):
-        yield part, [np.concatenate(c) for c in zip(*held.pop(part), strict=True)]
+def _route(docs: np.ndarray, routes: int) -> np.ndarray:
+    return common.mix(docs.view(_U)) % _U(routes)
 
 
 def _first_only(routes: int):
-    """Of each partition's windows, the ordinals (in their document and partition) of those that start earlier too."""
+    """Of each part's windows, where those start that a smaller document has too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, (docs, counts, hashes) in _gathered(batches, 3):
-            owner = np.repeat(np.arange(len(docs)), counts)
-            ordinal = (np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.int32)
-            order = np.argsort(hashes, kind="stable")
-            first = np.flatnonzero(np.concatenate([[True], hashes[order][1:] != hashes[order][:-1]]))
-            low = np.minimum.reduceat(docs[owner[order]], first)
-            repeated = np.empty(len(owner), dtype=bool)
-            repeated[order] = docs[owner[order]] > np.repeat(low, np.diff(np.append(first, len(order))))
-            rows, n = np.unique(owner[repeated], return_counts=True)
-            if not len(rows):
-                continue
-            found = np.split(ordinal[repeated], np.cumsum(n)[:-1])
-            route = (common.mix(docs[rows].view(_U)) % _U(routes)).astype(np.int32)
-            which = np.unique(route)
-            mine = [np.flatnonzero(route == r) for r in which]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(which), _lists([docs[rows][m] for m in mine], pa.int64()), _lists([np.full(len(m), part, np.int32) for m in mine], pa.int32()), _lists([n[m].astype(np.int32) for m in mine], pa.int32()), _lists([np.concatenate([found[k] for k in m]) for m in mine], pa.int32())],
-                names=[c.split()[0] for c in _FOUND.split(", ")],
-            )
+        held: dict[int, list[list[np.ndarray]]] = {}
+        for batch in batches:
+            known = np.asarray(batch.column(1).to_pylist(), dtype=bool)
+            passed = batch.filter(pa.array(known))
+            if passed.num_rows:
+                yield pa.RecordBatch.from_arrays([passed.column(c) for c in (0, 2, 3, 5)], names=[c.split()[0] for c in _FOUND.split(", ")])
+            for r in np.flatnonzero(~known).tolist():
+                docs, counts, hashes, starts = (np.asarray(batch.column(c)[r].values) for c in (2, 3, 4, 5))
+                held.setdefault(batch.column(0)[r].as_py(), []).append([np.repeat(docs, counts), hashes.copy(), starts.copy()])
+        for part in sorted(held):
+            docs, hashes, starts = (np.concatenate(c) for c in zip(*held.pop(part), strict=True))
+            gone = docs > _lowest_doc(hashes, docs)
+            found = list(_routed(_route(docs[gone], routes), docs[gone], starts[gone]))
+            if found:
+                which, who, n, values = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), _lists(list(who), pa.int64()), _lists(list(n), pa.int32()), _lists([v[0] for v in values], pa.int32())], names=[c.split()[0] for c in _FOUND.split(", ")])
 
     return run
 
 
 def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each document: its repeated windows by partition."""
-    for _, (docs, parts, counts, ordinals) in _gathered(batches, 4):
+    """One row for each document: where its repeated windows start."""
+    held: dict[int, list[list[np.ndarray]]] = {}
+    for batch in batches:
+        for r in range(batch.num_rows):
+            docs, counts, starts = (np.asarray(batch.column(c)[r].values) for c in (1, 2, 3))
+            held.setdefault(batch.column(0)[r].as_py(), []).append([np.repeat(docs, counts), starts.copy()])
+    for route in sorted(held):
+        docs, starts = (np.concatenate(c) for c in zip(*held.pop(route), strict=True))
         order = np.argsort(docs, kind="stable")
-        pieces = np.split(ordinals, np.cumsum(counts)[:-1])
-        ids, n = np.unique(docs[order], return_counts=True)
-        structs = pa.StructArray.from_arrays([pa.array(parts[order]), _lists([pieces[k] for k in order], pa.int32())], names=["part", "ordinals"])
-        offs = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(pa.array(offs, pa.int32()), structs)], names=["doc_id", "gone"])
+        ids, n = np.unique(docs, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), _lists(np.split(starts[order], np.cumsum(n)[:-1]), pa.int32())], names=["doc_id", "gone"])
 
 
-def _cleaned(parts: int, window: int, gram: int):
+def _cleaned(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs, _ = common.text_buffers(batch.column(1))
-            gone = batch.column(3).to_pylist()
-            for i, j, rows, at, owner, hashes in _live_windows(batch, window, gram):
-                part = _parts(hashes, parts)
-                edges = np.searchsorted(owner, np.arange(j - i + 1))
+            gone = _listed(batch.column(2), np.int32)
+            for i, j in common.row_chunks(offs, 4 * common.CHUNK_BYTES):
                 out = []
-                for k in range(j - i):
-                    words = data[offs[i + k] : offs[i + k + 1]].tobytes().split()
-                    removed = 0
-                    if gone[i + k]:
-                        s, e = int(edges[k]), int(edges[k + 1])
-                        cover = np.zeros(len(words) + 1, dtype=np.int64)
-                        for p, ordinals in ((g["part"], g["ordinals"]) for g in gone[i + k]):
-                            begin = at[s:e][part[s:e] == p][np.asarray(ordinals)] - rows[k]
-                            np.add.at(cover, begin, 1)
-                            np.add.at(cover, begin + window, -1)
-                        keep = np.cumsum(cover[:-1]) == 0
-                        removed = len(words) - int(keep.sum())
-                        kept = b" ".join(compress(words, keep.tolist()))
-                    else:
-                        kept = b" ".join(words)
-                    out.append((len(words), removed, kept.decode("utf-8", "replace")))
+                for k in range(i, j):
+                    words = data[offs[k] : offs[k + 1]].tobytes().split()
+                    total = len(words)
+                    if len(gone[k]):
+                        cover = np.zeros(total + 1, dtype=np.int64)
+                        begin = gone[k][gone[k] <= total - window]
+                        np.add.at(cover, begin, 1)
+                        np.add.at(cover, begin + window, -1)
+                        words = list(compress(words, (np.cumsum(cover[:-1]) == 0).tolist()))
+                    out.append((total, total - len(words), b" ".join(words).decode("utf-8", "replace")))
                 n, r, t = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(t, pa.string())], names=[c.split()[0] for c in _CLEAN.split(", ")])
 
@@ -261,11 +262,11 @@ def _cleaned(parts: int, window: int, gram: int):
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text): see the module's text."""
     spark = docs.sparkSession
-    parts = common.partitions(spark)
     texts = common.pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
     prints = common.stored(texts.mapInArrow(_fingerprints(window, gram), "print bigint, doc_id bigint"), "prints")
-    cuts = prints.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 1000)).first()[0] or []
-    edges = [None, *sorted(set(cuts)), None]
+    cuts, n_prints = prints.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 1000), F.count("*")).first()
+    parts = common.partitions(spark, n_prints, PART_PRINTS)
+    edges = [None, *sorted(set(cuts or [])), None]
     index, found = Index(spark), None
     for low, high in zip(edges[:-1], edges[1:], strict=True):
         batch = prints
@@ -277,9 +278,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batc
         found = got if found is None else found.unionByName(got)
     live = found.select("doc_id", "print").union(found.select("first", "print").distinct()).groupBy("doc_id").agg(F.collect_set("print").alias("prints"))
     live = common.stored(live, "live")
-    marked = texts.join(live, "doc_id", "left")
     blobs = texts.join(live, "doc_id").select("doc_id", "text", "prints").mapInArrow(_dealt(parts, window, gram), _BLOB)
     found = blobs.repartition(parts, "part").mapInArrow(_first_only(parts), _FOUND)
     gone = found.repartition(parts, "route").mapInArrow(_by_document, _GONE)
-    full = marked.join(gone, "doc_id", "left").select("doc_id", "text", "prints", "gone")
-    return full.mapInArrow(_cleaned(parts, window, gram), _CLEAN)
+    return texts.join(gone, "doc_id", "left").select("doc_id", "text", "gone").mapInArrow(_cleaned(window), _CLEAN)
