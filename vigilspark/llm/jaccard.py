@@ -8,8 +8,8 @@ many units as the bound asks. Units are allocated by cost: the fullest segments
 exactly; where those don't suffice, a segment is probed with its one-deletion neighbourhood (worth two units, indexed
 for bands of small sets) before segments of a single shingle are used. Candidates are verified on whole sets.
 
-Signatures travel in arrays, one row per map batch and target partition, so that neither the shuffle nor Python pays
-for single rows. Equal sets are met once per task and are linked by their set hash, not by pairs. In a large bucket the
+Signatures travel in arrays, one row per map batch and target part, so that neither the shuffle nor Python pays for
+single rows; the number of parts grows with the text. Equal sets are met once per task and are linked by their set hash, not by pairs. In a large bucket the
 members are first linked to one leader. Only members that the verified links leave in different components can still
 have links between them; those go through a prefix-filtered join on their rarest shingles, so that sets which share a
 frequent passage alone are never paired.
@@ -39,6 +39,9 @@ LOAD = 2.2
 DELETIONS_TO = 160
 #: A bucket of at most so many different sets compares them all; a larger one goes by its leader first.
 SMALL = 8
+#: Bytes of text whose signatures make one part of the index, and shingles in one part of the prefix join.
+PART_BYTES = 8 << 20
+PART_SHINGLES = 1 << 20
 
 #: Bounds of the cost model: documents sampled for frequent shingles, and how many of those are kept.
 SAMPLE = 4000
@@ -326,13 +329,12 @@ def _sets(width: int):
     return run
 
 
-def frequent_shingles(docs: DataFrame, width: int = WIDTH, sample: int = SAMPLE, most: int = FREQUENT) -> np.ndarray:
-    """Shingles of passages that many documents share, as seen in about `sample` documents; at most `most` of them.
+def frequent_shingles(docs: DataFrame, n: int, width: int = WIDTH, sample: int = SAMPLE, most: int = FREQUENT) -> np.ndarray:
+    """Shingles of passages that many of the `n` documents share, as seen in about `sample` of them; at most `most`.
 
     They only steer which segments are probed; candidates and links don't depend on them.
     """
-    n = max(1, docs.count())
-    some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(1_000_003 * min(1.0, sample / n)))
+    some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(1_000_003 * min(1.0, sample / max(1, n))))
     tokens = some.mapInArrow(common.released(_sets(width)), "node bigint, tokens array<bigint>").select(F.explode("tokens").alias("t"))
     rows = tokens.groupBy("t").count().filter("count >= 3").orderBy(F.desc("count"), "t").limit(most).collect()
     return np.sort(np.array([r["t"] for r in rows], dtype=np.int64).view(_U))
@@ -340,8 +342,9 @@ def frequent_shingles(docs: DataFrame, width: int = WIDTH, sample: int = SAMPLE,
 
 def candidates(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """Documents (size and set hash), candidate pairs and members of large buckets, stored (see _ROWS)."""
-    parts = common.partitions(docs.sparkSession)
-    blobs = docs.mapInArrow(common.released(_emit(parts, width, threshold, frequent_shingles(docs, width))), _BLOB)
+    n, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    parts = common.partitions(docs.sparkSession, size or 0, PART_BYTES)
+    blobs = docs.mapInArrow(common.released(_emit(parts, width, threshold, frequent_shingles(docs, n, width))), _BLOB)
     found = blobs.repartition(parts, "part").mapInArrow(common.released(_buckets(parts, threshold)), _FOUND)
     return common.stored(found.repartition(parts, "part").mapInArrow(common.released(_distinct), _ROWS), "candidates")
 
@@ -478,8 +481,9 @@ def pairs_across(sets: DataFrame, threshold: tuple[int, int] = THRESHOLD, hot: i
     Shingles are ordered from rare to frequent. Of two linked sets, the smaller one's index prefix and the larger one's
     probe prefix share a shingle, and after the first one shared enough of both must be left.
     """
-    parts = common.partitions(sets.sparkSession)
-    dealt = sets.select("node", "component", "tokens").mapInArrow(common.released(_prefixes(parts, threshold, shingle_counts(sets), hot)), _PREFIX)
+    seen = shingle_counts(sets)
+    parts = common.partitions(sets.sparkSession, int(seen.sum()), PART_SHINGLES)
+    dealt = sets.select("node", "component", "tokens").mapInArrow(common.released(_prefixes(parts, threshold, seen, hot)), _PREFIX)
     return dealt.repartition(parts, "part").mapInArrow(common.released(_across(threshold)), "a bigint, b bigint").distinct()
 
 
