@@ -8,6 +8,8 @@ Each stage works on all rows that its predecessor kept and, but for the last, re
 3. PII puts pseudonyms in the place of validated personal data, and n_chars follows the text;
 4. mixing samples documents by their calibrated probabilities;
 5. packing fills training windows.
+
+The rows that a stage keeps are stored in the shared folder, so that no stage runs again for the next one's passes.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilspark.llm import jaccard, langid, mixing, packing, pii
+from vigilspark.llm import common, jaccard, langid, mixing, packing, pii
 
 
 def _like(docs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -66,6 +68,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = common.stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
