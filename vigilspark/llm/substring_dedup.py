@@ -263,7 +263,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batc
     """(doc_id, n_words, n_removed, kept_text): see the module's text."""
     spark = docs.sparkSession
     texts = common.pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
-    prints = common.stored(texts.mapInArrow(_fingerprints(window, gram), "print bigint, doc_id bigint"), "prints")
+    prints = common.stored(texts.mapInArrow(common.released(_fingerprints(window, gram)), "print bigint, doc_id bigint"), "prints")
     cuts, n_prints = prints.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 1000), F.count("*")).first()
     parts = common.partitions(spark, n_prints, PART_PRINTS)
     edges = [None, *sorted(set(cuts or [])), None]
@@ -278,7 +278,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batc
         found = got if found is None else found.unionByName(got)
     live = found.select("doc_id", "print").union(found.select("first", "print").distinct()).groupBy("doc_id").agg(F.collect_set("print").alias("prints"))
     live = common.stored(live, "live")
-    blobs = texts.join(live, "doc_id").select("doc_id", "text", "prints").mapInArrow(_dealt(parts, window, gram), _BLOB)
-    found = blobs.repartition(parts, "part").mapInArrow(_first_only(parts), _FOUND)
-    gone = found.repartition(parts, "route").mapInArrow(_by_document, _GONE)
-    return texts.join(gone, "doc_id", "left").select("doc_id", "text", "gone").mapInArrow(_cleaned(window), _CLEAN)
+    blobs = texts.join(live, "doc_id").select("doc_id", "text", "prints").mapInArrow(common.released(_dealt(parts, window, gram)), _BLOB)
+    found = blobs.repartition(parts, "part").mapInArrow(common.released(_first_only(parts)), _FOUND)
+    gone = found.repartition(parts, "route").mapInArrow(common.released(_by_document), _GONE)
+    return texts.join(gone, "doc_id", "left").select("doc_id", "text", "gone").mapInArrow(common.released(_cleaned(window)), _CLEAN)
