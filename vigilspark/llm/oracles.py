@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vigilspark.llm import licenses, mixing
+from vigilspark.llm import licenses, merkle, mixing
 
 TOPK = """
 WITH v AS (
@@ -78,3 +78,41 @@ WITH t AS (SELECT * FROM (VALUES {rows}) v(k, license, tg)), b AS (SELECT DISTIN
 ), m AS (SELECT doc_id, license, dice, nk FROM bm UNION ALL SELECT doc_id, license, dice, nk FROM more
 ), d AS (SELECT doc_id, arg_max(license, (dice, nk)) AS license, max(dice) AS dice, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, count(*) AS n_matches FROM m GROUP BY doc_id)
 SELECT doc_id, d.license, coalesce(round(d.dice, 6), 0.0) AS dice, coalesce(d.licenses, '') AS licenses, coalesce(n_matches, 0) AS n_matches FROM documents LEFT JOIN d USING (doc_id)"""
+
+
+def merkle_sql(depth: int = 8) -> str:
+    """Trees of up to `depth` levels: a tree that is down to one node stays as it is."""
+    f = merkle.FANOUT
+    cell = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR) END"
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(cell.format(text if c == "text" else c) for c in merkle.FIELDS) + ")"
+
+    parts = [
+        "bits AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c FROM range(256) r(i)))",
+        f"d AS (SELECT *, {leaf('text')} AS leaf, {leaf(lowered)} AS low, coalesce('=' || source, '') AS tree, "
+        "xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda a, b: xor(a >> 8, bits.t[(xor(a, b) & 255) + 1])), 4294967295) % 5 = 0 AS bad FROM documents, bits)",
+        "l AS (SELECT doc_id, leaf, CASE WHEN bad THEN low ELSE leaf END AS given, tree, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i0 FROM d)",
+        "s0 AS (SELECT tree, i0 AS i, leaf AS node, count(*) OVER (PARTITION BY tree) AS n FROM l)",
+    ]
+
+    def climb(name: str) -> None:
+        for k in range(depth):
+            parts.append(f"{name}r{k} AS MATERIALIZED (SELECT tree, i // {f} AS run, n, list(node ORDER BY i) AS kids FROM {name}{k} GROUP BY tree, i // {f}, n)")
+            parts.append(f"{name}{k + 1} AS (SELECT tree, run AS i, CASE WHEN n > 1 THEN sha256(array_to_string(kids, '')) ELSE kids[1] END AS node, (n + {f - 1}) // {f} AS n FROM {name}r{k})")
+
+    climb("s")
+    parts.append(f"t0 AS (SELECT '' AS tree, tree AS source, row_number() OVER (ORDER BY tree) - 1 AS i, node, count(*) OVER () AS n FROM s{depth})")
+    climb("t")
+    steps = [("s", k, "l.tree", f"l.i0 // {f**k}") for k in range(depth)] + [("t", k, "''", f"t0.i // {f**k}") for k in range(depth)]
+    joins, lefts = [f"JOIN t0 ON t0.source = l.tree JOIN t{depth} top ON true"], []
+    for x, k, tree, at in steps:
+        joins.append(f"JOIN {x}r{k} ON {x}r{k}.tree = {tree} AND {x}r{k}.run = ({at}) // {f}")
+        lefts.append((f"array_to_string({x}r{k}.kids[1:({at}) % {f}], '')", f"array_to_string({x}r{k}.kids[({at}) % {f} + 2:], '')", f"{x}r{k}.n"))
+    cells = ", ".join(f"{a} AS a{j}, {b} AS b{j}, {n} AS n{j}" for j, (a, b, n) in enumerate(lefts))
+    parts.append(f"f0 AS (SELECT l.doc_id, l.leaf, t0.node AS subroot, top.node AS root, l.given AS g, {cells} FROM l {' '.join(joins)})")
+    for j in range(len(steps)):
+        parts.append(f"f{j + 1} AS (SELECT * REPLACE (CASE WHEN n{j} > 1 THEN sha256(a{j} || g || b{j}) ELSE g END AS g) FROM f{j})")
+    proof = " || ".join(f"a{j} || b{j}" for j in range(len(steps)))
+    return "WITH " + ",\n".join(parts) + f"\nSELECT doc_id, leaf, subroot, root, sha256({proof}) AS proof_sha256, g AS folded_root, g = root AS verified FROM f{len(steps)}"

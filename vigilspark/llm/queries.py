@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilspark.llm import html_extract, jaccard, langid, licenses, media, mixing, oracles, packing, pii, substring_dedup, topk
+from vigilspark.llm import html_extract, jaccard, langid, licenses, media, merkle, mixing, oracles, packing, pii, substring_dedup, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op10_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stream_digests(media.transport_streams(_table(spark, sf_dir, "documents")))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_table(spark, sf_dir, "documents")).drop("source_tree", "path")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_html_extraction": op2_html_extraction,
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_transport_streams": op10_transport_streams,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
-ORACLES: dict[str, str] = {"op3_license_scan": oracles.license_sql(), "op4_mixing": oracles.mixing_sql(), "op7_exact_topk": oracles.TOPK}
+ORACLES: dict[str, str] = {"op3_license_scan": oracles.license_sql(), "op4_mixing": oracles.mixing_sql(), "op7_exact_topk": oracles.TOPK, "op11_merkle_manifest": oracles.merkle_sql()}
