@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vigilspark.llm import licenses, merkle, mixing
+from vigilspark.llm import codes, licenses, merkle, mixing
 
 TOPK = """
 WITH v AS (
@@ -116,3 +116,24 @@ def merkle_sql(depth: int = 8) -> str:
         parts.append(f"f{j + 1} AS (SELECT * REPLACE (CASE WHEN n{j} > 1 THEN sha256(a{j} || g || b{j}) ELSE g END AS g) FROM f{j})")
     proof = " || ".join(f"a{j} || b{j}" for j in range(len(steps)))
     return "WITH " + ",\n".join(parts) + f"\nSELECT doc_id, leaf, subroot, root, sha256({proof}) AS proof_sha256, g AS folded_root, g = root AS verified FROM f{len(steps)}"
+
+
+def codes_sql() -> str:
+    """Every distance of every round, in whole numbers."""
+    n, finite = codes.PARTS, "len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(CAST(x AS DOUBLE))]) = 0"
+    parts = [
+        f"v AS (SELECT vec_id, label, [CAST(floor({codes.SCALE} * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e FROM embeddings WHERE embedding IS NOT NULL AND {finite})",
+        f"p AS MATERIALIZED (SELECT vec_id, label, part, e[part * len(e) // {n} + 1:(part + 1) * len(e) // {n}] AS s FROM v, (SELECT unnest(range({n})) AS part))",
+        f"c0 AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, s FROM p QUALIFY row_number() OVER (PARTITION BY part ORDER BY vec_id) <= {codes.ENTRIES})",
+    ]
+    for k in range(codes.ROUNDS + 1):
+        far = "list_sum([(p.s[i] - c.s[i]) * (p.s[i] - c.s[i]) FOR i IN range(1, len(p.s) + 1)])"
+        parts.append(f"a{k} AS MATERIALIZED (SELECT vec_id, label, part, any_value(p.s) AS s, min({{'far': CAST({far} AS BIGINT), 'entry': entry}}) AS best FROM p JOIN c{k} c USING (part) GROUP BY vec_id, label, part)")
+        if k < codes.ROUNDS:
+            parts.append(f"u{k} AS (SELECT part, best.entry AS entry, i, sum(s[i]) AS total, count(*) AS m FROM (SELECT part, best, s, unnest(range(1, len(s) + 1)) AS i FROM a{k}) GROUP BY ALL)")
+            parts.append(f"m{k} AS (SELECT part, entry, list(CAST((total - ((total % m) + m) % m) // m AS BIGINT) ORDER BY i) AS s FROM u{k} GROUP BY part, entry)")
+            parts.append(f"c{k + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m.s, c.s) AS s FROM c{k} c LEFT JOIN m{k} m USING (part, entry))")
+    last = f"a{codes.ROUNDS}"
+    parts.append(f"r AS (SELECT vec_id, label, string_agg(lower(printf('%02x', best.entry)), '' ORDER BY part) AS code, CAST(sum(best.far) AS BIGINT) AS error FROM {last} GROUP BY vec_id, label)")
+    parts.append(f"h AS (SELECT sha256(string_agg(array_to_string(s, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c{codes.ROUNDS})")
+    return "WITH " + ",\n".join(parts) + "\nSELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM r, h"
