@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilspark.llm import codes, html_extract, jaccard, langid, licenses, media, merkle, mixing, oracles, packing, pii, substring_dedup, topk
+from vigilspark.llm import bpe, codes, html_extract, jaccard, langid, licenses, media, merkle, mixing, oracles, packing, pii, substring_dedup, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(_table(spark, sf_dir, "documents")).drop("source_tree", "path")
 
 
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.token_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.compress(_table(spark, sf_dir, "embeddings")).drop("label")
 
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_transport_streams": op10_transport_streams,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_bpe": op12_bpe,
     "op13_vector_codes": op13_vector_codes,
 }
 
