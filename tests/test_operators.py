@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
 import json
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -137,3 +139,42 @@ def test_csv_and_json_sinks_read_back(spark, tmp_path):
     exports.write_json(rows, str(tmp_path / "json"))
     assert sorted(map(str, spark.read.schema(rows.schema).json(str(tmp_path / "json")).collect())) == sorted(map(str, rows.collect()))
     assert {json.loads(r["json"])["r"] for r in exports.json_rows(rows).collect()} == {None, "z"}
+
+
+def test_new_ids_are_dense_over_many_wide_rows(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    rows = spark.range(3_000_000).select((F.col("id") * 7919 % 3_000_000).alias("k"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 2).alias("wide"))
+    got = relational.with_new_ids(spark.createDataFrame([(10,)], "id long"), rows, ["k"])
+    assert tuple(got.agg(F.count("*"), F.count_distinct("id"), F.max("id"), F.count_if(F.col("id") != F.col("k") + 11)).first()) == (3_000_000, 3_000_000, 3_000_010, 0)
+
+
+def test_new_ids_of_equal_and_no_rows(spark):
+    target = spark.createDataFrame([], "id long")
+    same = spark.range(5000).select(F.lit(1).alias("k"))
+    assert sorted(r["id"] for r in relational.with_new_ids(target, same, ["k"]).collect()) == list(range(1, 5001))
+    assert relational.with_new_ids(target, same.limit(0), ["k"]).count() == 0
+
+
+def test_as_of_splits_a_hot_key(spark):
+    at = lambda s: F.timestamp_seconds(s)
+    ids = spark.range(20_000).select("id", F.when(F.col("id") % 10 < 9, 0).when(F.col("id") % 100 == 9, None).otherwise(F.col("id") % 7).alias("user"), (F.pmod(F.hash("id"), F.lit(400_000))).alias("s"))
+    rows, history = ids.filter("id % 2 = 0").withColumn("at", at("s")), ids.filter("id % 2 = 1 and id % 31 <> 5").select("user", at("s").alias("ts"), F.col("id").alias("v"), "s")
+    got = {r["id"]: r["asof_v"] for r in relational.as_of(rows, history, ["user"], "at", "ts", ["v"]).collect()}
+    held: dict = {}
+    for r in history.collect():
+        held.setdefault(r["user"], []).append((r["s"], r["v"]))
+    for v in held.values():
+        v.sort()
+    want = {}
+    for r in rows.collect():
+        mine = held.get(r["user"], []) if r["user"] is not None else []
+        k = bisect.bisect_right(mine, (r["s"], math.inf))
+        want[r["id"]] = mine[k - 1][1] if k else None
+    assert got == want and sum(v is None for v in want.values()) > 50
+    parts = relational.as_of(rows, history, ["user"], "at", "ts", ["v"])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = sorted(r["count"] for r in parts.groupBy(F.spark_partition_id()).count().collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sizes[-1] < 2 * sizes[len(sizes) // 2]

@@ -11,6 +11,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigilspark.sources import storage
+
 
 def first_wins(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
     """The first row of each key. The order should be total."""
@@ -64,21 +66,20 @@ def soft_delete(target: DataFrame, condition: Column, flag: str = "active") -> D
 
 
 def with_new_ids(target: DataFrame, rows: DataFrame, order: list[Column | str], name: str = "id") -> DataFrame:
-    """Rows numbered on from the target's greatest id.
+    """Rows numbered on from the target's greatest id, without a gap.
 
-    Ids come from a range partitioning and offsets of its partitions, so that no single task numbers all rows.
+    Rows are dealt by ranges of the order, sorted and written with their place; a row's number is its place in its
+    written part and the sizes of the parts before. Counting and numbering read the same files, so neither another
+    sample of the ranges nor adaptive execution can part them differently. Rows of equal order are spread.
     """
-    start = target.agg(F.coalesce(F.max(name), F.lit(0)).cast("bigint")).first()[0]
-    spark = rows.sparkSession
-    held = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
-    sizes = sorted((r["__p"], r["count"]) for r in held.groupBy("__p").count().collect())
-    offsets, total = [], start
-    for p, n in sizes:
-        offsets.append((p, total))
-        total += n
-    table = F.broadcast(spark.createDataFrame(offsets or [(0, start)], "__p int, __at bigint"))
-    within = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
-    return held.join(table, "__p").withColumn(name, F.col("__at") + within).drop("__p", "__at")
+    start = F.lit(target.agg(F.coalesce(F.max(name), F.lit(0)).cast("bigint")).first()[0])
+    spare = F.xxhash64(F.monotonically_increasing_id())
+    dealt = rows.withColumn("__spare", spare).repartitionByRange(*order, "__spare").sortWithinPartitions(*order, "__spare").drop("__spare")
+    held = storage.stored(dealt.withColumn("__place", F.monotonically_increasing_id()), "numbered").withColumn("__part", F.shiftright("__place", 33))
+    before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))  # one row a part
+    parts = held.groupBy("__part").agg(F.count("*").alias("__n"), F.min("__place").alias("__first"))
+    parts = storage.stored(parts.select("__part", (F.coalesce(before, F.lit(0)) - F.col("__first") + 1).alias("__shift")), "numbered-parts")
+    return held.join(parts, "__part").withColumn(name, start + F.col("__place") + F.col("__shift")).drop("__part", "__place", "__shift")
 
 
 def holders(rows: DataFrame, others: DataFrame, key: str, other_key: str) -> DataFrame:
@@ -126,18 +127,23 @@ def where_all(df: DataFrame, conditions: Iterable[Column | None]) -> DataFrame:
     return df
 
 
-def as_of(rows: DataFrame, history: DataFrame, keys: list[str], at: str, ts: str, values: list[str]) -> DataFrame:
+def as_of(rows: DataFrame, history: DataFrame, keys: list[str], at: str, ts: str, values: list[str], span: int = 3600) -> DataFrame:
     """Each row with the values of its key's last history row at or before `at` (of equal times, the greatest values).
 
-    Both sides are merged into one stream per key and the last history row is carried forward, which needs one shuffle
-    and no range join.
+    Time is cut into buckets of `span` seconds, so that a key with most of the rows is dealt over many tasks. Each key's
+    buckets are summed up to their last history row; what is last before a bucket is carried into it as a row at its
+    start, and inside a bucket the last history row is carried forward. A null key has no history.
     """
-    packed = F.struct(*values)
-    left = rows.withColumns({"__t": F.col(at), "__side": F.lit(1), "__row": F.struct(*rows.columns)})
-    right = history.withColumns({"__t": F.col(ts), "__side": F.lit(0), "__value": packed})
-    both = left.select(*keys, "__t", "__side", "__row").unionByName(right.select(*keys, "__t", "__side", "__value"), allowMissingColumns=True)
-    by = Window.partitionBy(*keys).orderBy("__t", "__side", *[F.col(f"__value.{v}") for v in values]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return both.withColumn("__last", F.last("__value", ignorenulls=True).over(by)).filter("__side = 1").select("__row.*", *[F.col(f"__last.{v}").alias(f"asof_{v}") for v in values])
+    bucket = lambda c: F.floor(F.col(c).cast("timestamp").cast("double") / span)
+    left = rows.withColumns({"__t": F.col(at), "__side": F.lit(2), "__row": F.struct(*rows.columns)})
+    right = where_all(history, [F.col(c).isNotNull() for c in [*keys, ts]]).withColumns({"__t": F.col(ts), "__side": F.lit(1), "__value": F.struct(*values)})
+    both = left.select(*keys, "__t", "__side", "__row").unionByName(right.select(*keys, "__t", "__side", "__value"), allowMissingColumns=True).withColumn("__bucket", bucket("__t"))
+    order = F.struct("__t", "__value")
+    ends = both.groupBy(*keys, "__bucket").agg(F.max_by("__value", F.when(F.col("__side") == 1, order)).alias("__value"))
+    carried = ends.withColumn("__value", F.last("__value", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1))).filter("__value is not null")
+    whole = both.unionByName(carried.withColumn("__side", F.lit(0)), allowMissingColumns=True)
+    by = Window.partitionBy(*keys, "__bucket").orderBy(F.col("__side") > 0, "__t", "__side", *[F.col(f"__value.{v}") for v in values]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return whole.withColumn("__last", F.last("__value", ignorenulls=True).over(by)).filter("__side = 2").select("__row.*", *[F.col(f"__last.{v}").alias(f"asof_{v}") for v in values])
 
 
 def bag_union(first_: DataFrame, *more: DataFrame) -> DataFrame:
