@@ -157,7 +157,7 @@ def test_new_ids_of_equal_and_no_rows(spark):
 
 def test_as_of_splits_a_hot_key(spark):
     at = lambda s: F.timestamp_seconds(s)
-    ids = spark.range(20_000).select("id", F.when(F.col("id") % 10 < 9, 0).when(F.col("id") % 100 == 9, None).otherwise(F.col("id") % 7).alias("user"), (F.pmod(F.hash("id"), F.lit(400_000))).alias("s"))
+    ids = spark.range(20_000).select("id", F.when(F.col("id") % 50 == 4, None).when(F.col("id") % 10 < 9, 0).otherwise(F.col("id") % 7).alias("user"), (F.pmod(F.hash("id"), F.lit(400_000))).alias("s"))
     rows, history = ids.filter("id % 2 = 0").withColumn("at", at("s")), ids.filter("id % 2 = 1 and id % 31 <> 5").select("user", at("s").alias("ts"), F.col("id").alias("v"), "s")
     got = {r["id"]: r["asof_v"] for r in relational.as_of(rows, history, ["user"], "at", "ts", ["v"]).collect()}
     held: dict = {}
