@@ -186,15 +186,31 @@ def test_mixing_meets_marginals_where_cells_are_capped(spark):
     got = mixing.marginals(docs, budget=0.5).collect()
     assert {r["marginal"] for r in got} == set(mixing.KEYS) and len(got) == 6
     for r in got:
-        assert r["largest_budget"] > 0.5 and r["reached"] == pytest.approx(r["target"], abs=1e-5), r
+        assert r["wanted"] == pytest.approx(r["target"]) and r["reached"] == pytest.approx(r["target"], abs=1e-5), r
 
 
-def test_a_short_category_lowers_the_budget(spark):
-    docs = spark.createDataFrame([(i, "w " * 10, "b" if i < 10 else "a", "en") for i in range(400)], "doc_id long, text string, source string, lang string")
+def test_a_short_category_keeps_the_budget(spark):
+    # 100 tokens of one source among a million: it gives all it has, the others fill the budget by their targets
+    rows = [(i, "w " * 1000, "abc"[i % 3], "en") for i in range(999)] + [(1000, "w " * 100, "stray", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
     report = {r["category"]: r for r in mixing.marginals(docs, budget=0.8).collect()}
-    assert report["b"]["largest_budget"] < 0.8 and all(r["reached"] == pytest.approx(r["target"], abs=1e-4) for r in report.values())
-    got = mixing.weighted(docs, budget=0.8).agg(F.sum(F.col("mix_tokens") * F.col("probability"))).first()[0]
-    assert got / 4000 == pytest.approx(mixing.MARGIN * report["b"]["largest_budget"], rel=1e-4)
+    assert report["stray"]["target"] > 50 * report["stray"]["wanted"]
+    assert all(r["reached"] == pytest.approx(r["wanted"], abs=1e-5) for r in report.values())
+    got = mixing.weighted(docs, budget=0.8)
+    assert got.agg(F.sum(F.col("mix_tokens") * F.col("probability"))).first()[0] == pytest.approx(0.8 * 999_100, rel=1e-4)
+    assert [r["probability"] for r in got.filter("source = 'stray'").collect()] == [pytest.approx(1.0, abs=1e-4)]
+
+
+def test_wanted_tokens_fill_the_budget(spark):
+    rng = random.Random(6)
+    for budget in (0.1, 0.5, 0.95, 1.0):
+        tokens = {c: rng.choice([1, 7, 100, 5000]) * rng.randrange(1, 9) for c in "abcdef"}
+        cells = spark.createDataFrame([(c, float(n)) for c, n in tokens.items()] + [("none", 0.0)], "k string, n double")
+        total = sum(tokens.values())
+        got = {r["category"]: r["want"] for r in mixing.wanted(cells, "k", 0.5, budget * total).collect()}
+        assert sum(got.values()) == pytest.approx(budget * total)
+        level = max(w / math.sqrt(tokens[c]) for c, w in got.items())
+        assert all(w == pytest.approx(min(tokens[c], level * math.sqrt(tokens[c]))) for c, w in got.items())
 
 
 def test_many_cells_are_raked_in_partitions(spark, monkeypatch, medium):

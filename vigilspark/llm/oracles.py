@@ -29,19 +29,19 @@ def mixing_sql() -> str:
   CAST(len(regexp_extract_all({text}, '[^ \\t-\\r]+')) AS BIGINT) AS n_tokens FROM documents)""",
         "c AS (SELECT mix_source, mix_lang, mix_topic, CAST(sum(n_tokens) AS DOUBLE) AS n FROM d GROUP BY ALL)",
     ]
+    parts.append("b AS (SELECT sum(n) AS total FROM c)")
     for k in mixing.KEYS:
-        parts.append(f"t_{k} AS (SELECT {k}, pow(sum(n), {mixing.TEMPERATURE}) AS m FROM c GROUP BY {k})")
-    joins = " ".join(f"JOIN t_{k} USING ({k})" for k in mixing.KEYS)
-    shares = ", ".join(f"t_{k}.m / (SELECT sum(m) FROM t_{k}) AS s_{k}" for k in mixing.KEYS)
-    parts.append(f"w0 AS (SELECT c.*, {shares} FROM c {joins})")
-    lows = ", ".join(f"(SELECT min(m2) FROM (SELECT sum(n) / (pow(sum(n), {mixing.TEMPERATURE}) / (SELECT sum(m) FROM t_{k})) AS m2 FROM c GROUP BY {k} HAVING sum(n) > 0))" for k in mixing.KEYS)
-    parts.append(f"b AS (SELECT least({mixing.BUDGET}, {mixing.MARGIN} * least({lows}) / sum(n)) AS share, sum(n) AS total FROM c)")
-    parts.append("r0 AS MATERIALIZED (SELECT w0.*, share AS ratio, share * total AS want FROM w0, b)")
+        order = f"ORDER BY m / t, {k} ROWS BETWEEN"
+        parts.append(f"t_{k} AS (SELECT {k}, sum(n) AS m, pow(sum(n), {mixing.TEMPERATURE}) AS t FROM c GROUP BY {k} HAVING sum(n) > 0)")
+        parts.append(f"l_{k} AS (SELECT *, ({mixing.BUDGET} * total - coalesce(sum(m) OVER ({order} UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(t) OVER ({order} CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM t_{k}, b)")
+        parts.append(f"w_{k} AS (SELECT {k}, least(m, t * coalesce((SELECT level FROM l_{k} WHERE m / t >= level ORDER BY m / t, {k} LIMIT 1), 'inf')) AS want_{k} FROM l_{k})")
+    joins = " ".join(f"LEFT JOIN w_{k} USING ({k})" for k in mixing.KEYS)
+    parts.append(f"r0 AS MATERIALIZED (SELECT *, CAST({mixing.BUDGET} AS DOUBLE) AS ratio FROM c {joins})")
     step = 0
     for _ in range(mixing.CYCLES):
         for k in mixing.KEYS:
             kept = f"sum(n * least(1.0, ratio)) OVER (PARTITION BY {k})"
-            parts.append(f"r{step + 1} AS MATERIALIZED (SELECT * REPLACE (coalesce(ratio * s_{k} * want / nullif({kept}, 0), ratio) AS ratio) FROM r{step})")
+            parts.append(f"r{step + 1} AS MATERIALIZED (SELECT * REPLACE (least({mixing.MOST}, coalesce(ratio * want_{k} / nullif({kept}, 0), ratio)) AS ratio) FROM r{step})")
             step += 1
     parts.append(f"p AS (SELECT mix_source, mix_lang, mix_topic, round(CASE WHEN n > 0 THEN least(1.0, ratio) ELSE 1.0 END, 6) AS probability FROM r{step})")
     return "WITH " + ",\n".join(parts) + """

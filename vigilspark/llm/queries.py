@@ -28,7 +28,7 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mixing.weighted(_table(spark, sf_dir, "documents"))
+    rows = mixing.weights(_table(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.col("mix_tokens").alias("n_tokens"), F.col("mix_topic").alias("topic"), "probability", "sampled")
 
 
