@@ -194,7 +194,7 @@ def test_a_short_category_keeps_the_budget(spark):
     rows = [(i, "w " * 1000, "abc"[i % 3], "en") for i in range(999)] + [(1000, "w " * 100, "stray", "en")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
     report = {r["category"]: r for r in mixing.marginals(docs, budget=0.8).collect()}
-    assert report["stray"]["target"] > 50 * report["stray"]["wanted"]
+    assert report["stray"]["target"] > 40 * report["stray"]["wanted"]
     assert all(r["reached"] == pytest.approx(r["wanted"], abs=1e-5) for r in report.values())
     got = mixing.weighted(docs, budget=0.8)
     assert got.agg(F.sum(F.col("mix_tokens") * F.col("probability"))).first()[0] == pytest.approx(0.8 * 999_100, rel=1e-4)
