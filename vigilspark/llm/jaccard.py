@@ -9,7 +9,8 @@ exactly; where those don't suffice, a segment is probed with its one-deletion ne
 for bands of small sets) before segments of a single shingle are used. Candidates are verified on whole sets.
 
 Signatures travel in arrays, one row per map batch and target part, so that neither the shuffle nor Python pays for
-single rows; the number of parts grows with the text. Equal sets are met once per task and are linked by their set hash, not by pairs. In a large bucket the
+single rows; the number of parts grows with the text, that of tasks is bounded, and a task holds one part at a time.
+Equal sets are met once per task and are linked by their set hash, not by pairs. In a large bucket the
 members are first linked to one leader. Only members that the verified links leave in different components can still
 have links between them; those go through a prefix-filtered join on their rarest shingles, so that sets which share a
 frequent passage alone are never paired.
@@ -42,6 +43,8 @@ SMALL = 8
 #: Bytes of text whose signatures make one part of the index, and shingles in one part of the prefix join.
 PART_BYTES = 8 << 20
 PART_SHINGLES = 1 << 20
+#: Parts beyond this number share tasks.
+MOST_TASKS = 8192
 
 #: Bounds of the cost model: documents sampled for frequent shingles, and how many of those are kept.
 SAMPLE = 4000
@@ -205,20 +208,20 @@ def _emit(parts: int, width: int, threshold: tuple[int, int], frequent: np.ndarr
                 home = ((h1 >> _U(7)) % _U(parts)).astype(np.int32) if len(h1) else np.zeros(0, np.int32)
                 order = np.argsort(part, kind="stable")  # owners stay sorted inside a part
                 sig, owner, part = sig[order], owner[order], part[order]
-                edges = np.searchsorted(part, np.arange(parts + 1))
+                homes = np.argsort(home, kind="stable")
+                # only the parts that occur here, however many there are
+                which = np.union1d(part, home)
+                edges, ends = np.searchsorted(part, which, side="left"), np.searchsorted(part, which, side="right")
+                h_edges, h_ends = np.searchsorted(home[homes], which, side="left"), np.searchsorted(home[homes], which, side="right")
                 rows: list[list[np.ndarray]] = []
-                which = []
-                for p in range(parts):
-                    own = owner[edges[p] : edges[p + 1]]
-                    at_home = np.flatnonzero(home == p)
-                    here = np.union1d(own, at_home).astype(np.int64)
-                    if len(here):
-                        which.append(p)
-                        counts = np.bincount(np.searchsorted(here, own), minlength=len(here)).astype(np.int32)
-                        rows.append([docs[here], sizes[here], common.signed(h1[here]), common.signed(np.where(home[here] == p, h2[here], _U(0))), home[here] == p, counts, common.signed(sig[edges[p] : edges[p + 1]])])
+                for k, p in enumerate(which.tolist()):
+                    own = owner[edges[k] : ends[k]]
+                    here = np.union1d(own, homes[h_edges[k] : h_ends[k]]).astype(np.int64)
+                    counts = np.bincount(np.searchsorted(here, own), minlength=len(here)).astype(np.int32)
+                    rows.append([docs[here], sizes[here], common.signed(h1[here]), common.signed(np.where(home[here] == p, h2[here], _U(0))), home[here] == p, counts, common.signed(sig[edges[k] : ends[k]])])
                 if rows:
                     kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), *[_lists(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]], names=[c.split()[0] for c in _BLOB.split(", ")])
+                    yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), *[_lists(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]], names=[c.split()[0] for c in _BLOB.split(", ")])
 
     return run
 
@@ -227,17 +230,33 @@ def _flat(col: pa.Array) -> np.ndarray:
     return np.asarray(col.flatten()) if len(col) else np.zeros(0, np.int64)
 
 
+def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[np.ndarray, ...]]]:
+    """The arrays of each part in turn; rows come sorted by part, so that a task holds one part at a time."""
+    now, held = None, []
+    for batch in batches:
+        for r in range(batch.num_rows):
+            row = batch.slice(r, 1)
+            part = row.column(0)[0].as_py()
+            if held and part != now:
+                yield held
+                held = []
+            now = part
+            held.append(tuple(_flat(row.column(c)).copy() for c in range(1, batch.num_columns)))
+    if held:
+        yield held
+
+
+def _dealt(rows: DataFrame, parts: int) -> DataFrame:
+    """Rows by part, sorted. There are never more than MOST_TASKS tasks: beyond, each takes several parts, one by one."""
+    return rows.repartition(min(parts, max(MOST_TASKS, common.partitions(rows.sparkSession))), "part").sortWithinPartitions("part")
+
+
 def _buckets(parts: int, threshold: tuple[int, int]):
     num, den = threshold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[np.ndarray, ...]]] = {}
-        for batch in batches:
-            for r in range(batch.num_rows):
-                row = batch.slice(r, 1)
-                held.setdefault(row.column(0)[0].as_py(), []).append(tuple(_flat(row.column(c)).copy() for c in range(1, 8)))
-        for part in sorted(held):
-            yield from _bucket(held.pop(part))
+        for got in _by_part(batches):
+            yield from _bucket(got)
 
     def _bucket(got: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         docs, sizes, h1, h2, home, counts, sigs = (np.concatenate(c) for c in zip(*got, strict=True))
@@ -301,22 +320,20 @@ def _buckets(parts: int, threshold: tuple[int, int]):
 
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of documents, distinct candidate pairs and bucket members from the partitions' arrays."""
-    pairs, members = [], []
     names = [c.split()[0] for c in _ROWS.split(", ")]
 
     def rows(kind: int, *cols: np.ndarray) -> pa.RecordBatch:
         cols = [np.asarray(c, dtype=np.int64) for c in cols] + [np.zeros(len(cols[0]), np.int64)] * (4 - len(cols))
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(cols[0]), kind, np.int32)), *[pa.array(c) for c in cols]], names=names)
 
-    for batch in batches:
-        if len(doc := _flat(batch.column(1))):
-            yield rows(DOC, doc, *[_flat(batch.column(c)) for c in (2, 3, 4)])
-        pairs.append(np.stack([_flat(batch.column(5)), _flat(batch.column(6))], axis=1))
-        members.append(np.stack([_flat(batch.column(7)), _flat(batch.column(8))], axis=1))
-    if pairs and len(p := np.unique(np.concatenate(pairs), axis=0)):
-        yield rows(PAIR, p[:, 0], p[:, 1])
-    if members and len(m := np.unique(np.concatenate(members), axis=0)):
-        yield rows(MEMBER, m[:, 0], m[:, 1])
+    for got in _by_part(batches):
+        doc, n, h1, h2, a, b, gid, node = (np.concatenate(c) for c in zip(*got, strict=True))
+        if len(doc):
+            yield rows(DOC, doc, n, h1, h2)
+        for kind, x, y in ((PAIR, a, b), (MEMBER, gid, node)):
+            if len(x):
+                found = np.unique(np.stack([x, y], axis=1), axis=0)
+                yield rows(kind, found[:, 0], found[:, 1])
 
 
 def _sets(width: int):
@@ -345,8 +362,8 @@ def candidates(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int] =
     n, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     parts = common.partitions(docs.sparkSession, size or 0, PART_BYTES)
     blobs = docs.mapInArrow(common.released(_emit(parts, width, threshold, frequent_shingles(docs, n, width))), _BLOB)
-    found = blobs.repartition(parts, "part").mapInArrow(common.released(_buckets(parts, threshold)), _FOUND)
-    return common.stored(found.repartition(parts, "part").mapInArrow(common.released(_distinct), _ROWS), "candidates")
+    found = _dealt(blobs, parts).mapInArrow(common.released(_buckets(parts, threshold)), _FOUND)
+    return common.stored(_dealt(found, parts).mapInArrow(common.released(_distinct), _ROWS), "candidates")
 
 
 def stored_sets(nodes: DataFrame, texts: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -425,11 +442,11 @@ def _prefixes(parts: int, threshold: tuple[int, int], seen: np.ndarray, hot: int
             part = (common.mix(key + salt * _U(0x9E3779B97F4A7C15)) >> _U(9)) % _U(parts)
             order = np.argsort(part, kind="stable")
             key, place, owner, part = key[order], place[order], owner[order], part[order]
-            edges = np.searchsorted(part, np.arange(parts + 1).astype(_U))
-            size, rows, which = np.array(sizes, np.int32), [], np.flatnonzero(np.diff(edges))
-            for p in which.tolist():
-                who, counts = np.unique(owner[edges[p] : edges[p + 1]], return_counts=True)
-                rows.append([nodes[who], comps[who], size[who], counts.astype(np.int32), common.signed(key[edges[p] : edges[p + 1]]), place[edges[p] : edges[p + 1]]])
+            which, edges = np.unique(part, return_index=True)
+            size, rows = np.array(sizes, np.int32), []
+            for s, e in zip(edges.tolist(), np.append(edges[1:], len(part)).tolist(), strict=True):
+                who, counts = np.unique(owner[s:e], return_counts=True)
+                rows.append([nodes[who], comps[who], size[who], counts.astype(np.int32), common.signed(key[s:e]), place[s:e]])
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), *[_lists(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]], names=[c.split()[0] for c in _PREFIX.split(", ")])
 
@@ -441,13 +458,8 @@ def _across(threshold: tuple[int, int]):
     num, den = threshold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[np.ndarray, ...]]] = {}
-        for batch in batches:
-            for r in range(batch.num_rows):
-                row = batch.slice(r, 1)
-                held.setdefault(row.column(0)[0].as_py(), []).append(tuple(_flat(row.column(c)).copy() for c in range(1, 7)))
-        for part in sorted(held):
-            nodes, comps, sizes, counts, keys, places = (np.concatenate(c) for c in zip(*held.pop(part), strict=True))
+        for got in _by_part(batches):
+            nodes, comps, sizes, counts, keys, places = (np.concatenate(c) for c in zip(*got, strict=True))
             owner = np.repeat(np.arange(len(nodes)), counts)
             order = np.argsort(keys, kind="stable")
             key, owner, place = keys[order], owner[order], places[order].astype(np.int64)
@@ -484,7 +496,7 @@ def pairs_across(sets: DataFrame, threshold: tuple[int, int] = THRESHOLD, hot: i
     seen = shingle_counts(sets)
     parts = common.partitions(sets.sparkSession, int(seen.sum()), PART_SHINGLES)
     dealt = sets.select("node", "component", "tokens").mapInArrow(common.released(_prefixes(parts, threshold, seen, hot)), _PREFIX)
-    return dealt.repartition(parts, "part").mapInArrow(common.released(_across(threshold)), "a bigint, b bigint").distinct()
+    return _dealt(dealt, parts).mapInArrow(common.released(_across(threshold)), "a bigint, b bigint").distinct()
 
 
 def similar_components(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
