@@ -257,3 +257,19 @@ def test_topk_of_few_rows(spark):
     assert topk.search(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0).count() == 0
     few = spark.createDataFrame([(0, [1.0, -1.0]), (1, [1.0, -1.0]), (2, [1.0, -1.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk.search(few, F.col("vec_id") % 20 == 0).orderBy("rank").collect()] == [(0, 1, 1, 8192), (0, 2, 2, 8192)]
+
+
+def test_topk_of_large_components(spark, monkeypatch):
+    rng = random.Random(12)
+    size = lambda: rng.choice([1e9, -1e9, 3e4, 0.5, -0.25, 7e12])
+    rows = [(i, [size() if rng.random() < 0.2 else rng.gauss(0, 1) for _ in range(8)]) for i in range(300)] + [(1000 + i, [rng.gauss(0, 1) * 1e9 for _ in range(6)]) for i in range(200)]
+    rows += [(2000, [1e30, 1.0, 0.0]), (2001, [1.0, 1.0, 1.0]), (2002, [-1.0, 1.0, 1.0])]
+    monkeypatch.setattr(topk, "BLOCK", 32)
+    monkeypatch.setattr(topk, "QUERIES", 8)
+    monkeypatch.setattr(topk, "ENOUGH", 25)
+    most = (1 << 63) - 1
+    for group in (1, 16):
+        monkeypatch.setattr(topk, "GROUP", group)
+        got = {tuple(r) for r in topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2), F.col("vec_id") % 20 == 0).select("query_id", "rank", "vec_id", "score").collect()}
+        assert {g for g in got if g[0] < 2000 and abs(g[3]) < most} == {w for w in brute_topk(rows[:500]) if abs(w[3]) < most}
+        assert {g for g in got if g[0] == 2000} == {(2000, 1, 2001, most), (2000, 2, 2002, -most)}

@@ -9,18 +9,19 @@ segments a query's k-th best lower bound is compared with every vector's upper b
 left can add, what quantising dropped). A query stops only when at most `ENOUGH` vectors are still possible, or at the
 end. All possible members are then rescored exactly on whole vectors.
 
-Query blocks meet every candidate block through an equi-join on block numbers; each pair returns at most k rows a query,
-and a window keeps the k best of all blocks.
+Candidate blocks form groups of at most `GROUP` blocks. A group stays in its task: each of its blocks is shuffled once,
+and the query blocks, a small share of the rows, travel to every group. A task merges what its blocks return to the k
+best of each query, and a window keeps the k best of all groups.
 
 Defined cases: a vector that is null, empty or holds a null or non-finite component takes no part; vectors of different
 lengths never meet; ties go to the smaller id; rows with the query's own id are no candidates; repeated rows of another
 id count as rows of their own; fewer candidates than k give all; an empty table gives no rows; other columns are ignored.
-Components may reach 2**23 in size.
+Components of any finite size take part: scores are exact whole numbers, and beyond 2**63 - 1 in size they stay there;
+a component beyond 2**61 after scaling counts as that.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,15 +39,20 @@ ROUNDS = 4
 ENOUGH = 200
 #: Impacts (of a segment on a query) held at once, in two arrays of 8 bytes each.
 CELLS = 1 << 22
+#: Candidate blocks that one task holds, and bytes of their components.
+GROUP = 16
+GROUP_BYTES = 64 << 20
+MOST = 1 << 61
+_LONG = (1 << 63) - 1
 
-_BLOCKS = "block bigint, width int, ids array<bigint>, cells array<int>"
+_BLOCKS = "block bigint, width int, ids array<bigint>, cells array<bigint>"
 _HITS = "query_id bigint, vec_id bigint, score bigint"
 
 
 def whole_numbers(vector: Column, scale: int) -> Column:
     """floor(scale * x) of each component; null where the vector takes no part."""
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
-    return F.when((F.size(vector) > 0) & ~bad, F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("int")))
+    return F.when((F.size(vector) > 0) & ~bad, F.transform(vector, lambda x: F.floor(F.greatest(F.lit(-float(MOST)), F.least(F.lit(float(MOST)), x.cast("double") * scale)))))
 
 
 def _blocks(size: int):
@@ -59,11 +65,11 @@ def _blocks(size: int):
             nonlocal number
             ids, cells = held.pop(width)
             number += 1
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([width], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([np.concatenate(cells)], pa.list_(pa.int32()))], names=["block", "width", "ids", "cells"])
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([width], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([np.concatenate(cells)], pa.list_(pa.int64()))], names=["block", "width", "ids", "cells"])
 
         for batch in batches:
             for vec_id, cells in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                values = np.asarray(cells.values, dtype=np.int32)
+                values = np.asarray(cells.values, dtype=np.int64)
                 ids, rows = held.setdefault(len(values), ([], []))
                 ids.append(vec_id)
                 rows.append(values)
@@ -105,6 +111,8 @@ class Index:
         for j, own in enumerate(query_ids.tolist()):
             score[self.ids == own, j] = -np.inf
         left = impact.copy()
+        # roundings of all additions to a score
+        least = np.maximum.reduceat(np.abs(impact), self.first, axis=0).sum(axis=0) * (len(self.first) + 8) * 2.0**-51 + 1e-6
         open_ = np.arange(len(q))
         out: list[tuple[np.ndarray, np.ndarray]] = [(self.ids[:0], self.ids[:0])] * len(q)
         for part in np.array_split(order, min(ROUNDS, len(order))):
@@ -113,7 +121,7 @@ class Index:
             left[part] = 0
             rest = np.maximum.reduceat(left, self.first, axis=0).sum(axis=0)
             final = part[-1] == order[-1]
-            slack = np.outer(self.dropped, length) * (1 + 1e-9) + 1e-6  # no dropped part weighs more, nor do roundings
+            slack = np.outer(self.dropped, length) * (1 + 1e-9) + least  # no dropped part weighs more, nor do roundings
             kth = np.partition(score - slack, len(score) - k, axis=0)[len(score) - k] if len(score) > k else np.full(len(open_), -np.inf)
             possible = (score + slack + rest >= kth) & (score > -np.inf)
             done = possible.sum(axis=0) <= ENOUGH
@@ -122,25 +130,50 @@ class Index:
             if final or done.all():
                 break
             if done.any():
-                score, impact, left, length, open_ = score[:, ~done], impact[:, ~done], left[:, ~done], length[~done], open_[~done]
+                score, impact, left, length, least, open_ = score[:, ~done], impact[:, ~done], left[:, ~done], length[~done], least[~done], open_[~done]
         return out
 
     def _exact(self, rows: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        exact = self.vectors[rows] @ query.astype(np.int64)
+        held, query = self.vectors[rows], query.astype(np.int64)
+        if not len(rows) or int(np.abs(held).max()) * int(np.abs(query).max()) * len(query) < _LONG:
+            exact = held @ query
+        else:  # beyond 64 bits
+            exact = np.array([max(-_LONG, min(_LONG, x)) for x in (held.astype(object) @ query.astype(object)).tolist()], dtype=np.int64)
         best = np.lexsort((self.ids[rows], -exact))[:k]
         return self.ids[rows][best], exact[best]
 
 
+def merged(found: list[list[tuple[np.ndarray, np.ndarray]]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query the k best of what several blocks return."""
+    out = []
+    for parts in zip(*found, strict=True):
+        ids, scores = (np.concatenate(c) for c in zip(*parts, strict=True))
+        best = np.lexsort((ids, -scores))[:k]
+        out.append((ids[best], scores[best]))
+    return out
+
+
+_DEALT = "grp int, kind int, width int, ids array<bigint>, cells array<bigint>"
+
+
 def _searched(k: int):
+    """The rows of a group come with its candidate blocks first, then all query blocks of its width."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
         for batch in batches:
             for r in range(batch.num_rows):
-                width = batch.column(0)[r].as_py()
-                q_ids, q_cells, ids, cells = (np.asarray(batch.column(c)[r].values) for c in (1, 2, 3, 4))
-                index = Index(ids, cells.reshape(-1, width))
-                queries, each = q_cells.reshape(-1, width), max(1, CELLS // len(index.start))
-                out = [x for i in range(0, len(q_ids), each) for x in index.search(q_ids[i : i + each], queries[i : i + each], k)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, [len(i) for i, _ in out])), pa.array(np.concatenate([i for i, _ in out])), pa.array(np.concatenate([s for _, s in out]).astype(np.int64))], names=["query_id", "vec_id", "score"])
+                group, kind, width = (batch.column(c)[r].as_py() for c in range(3))
+                ids, cells = (np.array(batch.column(c)[r].values) for c in (3, 4))
+                if group != now:
+                    now, held = group, []
+                if kind == 0:
+                    held.append(Index(ids, cells.reshape(-1, width)))
+                    continue
+                queries = cells.reshape(-1, width)
+                for i in range(0, len(ids), each := max(1, CELLS // max(len(x.start) for x in held))):
+                    out = merged([index.search(ids[i : i + each], queries[i : i + each], k) for index in held], k)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[i : i + each], [len(x) for x, _ in out])), pa.array(np.concatenate([x for x, _ in out])), pa.array(np.concatenate([s for _, s in out]).astype(np.int64))], names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -151,11 +184,19 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64) -
     rows = rows.withColumn("cells", whole_numbers(F.col("embedding"), scale)).filter("cells is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "cells")
     candidates = common.stored(rows.mapInArrow(_blocks(BLOCK), _BLOCKS), "blocks")
     queries = common.stored(rows.filter(is_query).mapInArrow(_blocks(QUERIES), _BLOCKS), "queries")
-    number = F.row_number().over(Window.partitionBy("width").orderBy("block"))
-    candidates = candidates.join(candidates.select("block", "width").withColumn("number", number), ["block", "width"])
-    counts = candidates.groupBy("width").agg(F.max("number").alias("last"))
-    asked = queries.toDF("q_block", "width", "q_ids", "q_cells").join(counts, "width").withColumn("number", F.explode(F.sequence(F.lit(1), "last")))
     spark = vectors.sparkSession
-    pairs = asked.join(candidates, ["width", "number"]).select("width", "q_ids", "q_cells", "ids", "cells").repartition(max(common.partitions(spark), math.ceil(spark.sparkContext.defaultParallelism)))
+    number = F.row_number().over(Window.orderBy("width", "block"))  # of blocks, by their names alone
+    names = candidates.select("block", "width").withColumn("number", number)
+    shape = names.agg(F.count("*").alias("n"), F.max("width").alias("width")).first()
+    # as many groups as tasks can run at once, at the least; as large as fits
+    fits = max(1, GROUP_BYTES // (8 * BLOCK * (shape["width"] or 1)))
+    size = max(1, min(GROUP, fits, -(-shape["n"] // (4 * spark.sparkContext.defaultParallelism))))
+    within = F.floor((F.row_number().over(Window.partitionBy("width").orderBy("number")) - 1) / size)
+    groups = names.withColumn("grp", (F.dense_rank().over(Window.orderBy("width", within)) - 1).cast("int")).select("block", "width", "grp")
+    groups = common.stored(groups, "groups")
+    placed = candidates.join(groups, ["block", "width"]).select("grp", F.lit(0).alias("kind"), "width", "ids", "cells")
+    asked = queries.join(groups.select("width", "grp").distinct(), "width").select("grp", F.lit(1).alias("kind"), "width", "ids", "cells")
+    last = groups.agg(F.max("grp")).first()[0]
+    dealt = placed.unionByName(asked).repartitionById((last or 0) + 1, "grp").sortWithinPartitions("grp", "kind")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return pairs.mapInArrow(_searched(k), _HITS).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return dealt.mapInArrow(_searched(k), _HITS).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
