@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -135,13 +136,103 @@ def test_every_region_of_an_unmarked_page_is_kept(gap):
     assert [x for x in lines if x.startswith(LONG)] == [f"{LONG} {k}" for k in (1, 2, 3)]
 
 
-def test_link_lists_in_a_marked_article_are_gaps():
+def test_links_before_the_text_of_an_article_are_a_menu_and_later_ones_stay():
     links = "".join(f"<li><a href={k}>Teaser {k}</a> |" for k in range(4))
-    page = f"<main><h1><a href=x>Linked title</a></h1><p>Short.</p><ul>{links}</ul><p><a href=y>One link</a></p><div>}}</div><div>}}</div><div>}}</div><p>{LONG}</p><p><a href=z>End</a></p></main>"
-    assert html_extract.main_text(page).split("\n") == ["Linked title", "Short.", "}", "}", "}", LONG, "End"]
+    text = f"<h1><a href=x>Linked title</a></h1><p>Short.</p>{{}}<p><a href=y>One link</a></p><p>{LONG}</p><p><a href=z>End</a></p>"
+    teasers = [f"Teaser {k} |" for k in range(4)]
+    assert html_extract.main_text(f"<main>{text.format(f'<ul>{links}</ul>')}</main>").split("\n") == ["Linked title", "Short.", *teasers, "One link", LONG, "End"]
+    assert html_extract.main_text(f"<main><ul>{links}</ul>{text.format('')}</main>").split("\n")[-5:] == ["Short.", "One link", LONG, "End"][-5:]
+    assert "Teaser" not in html_extract.main_text(f"<main><ul>{links}</ul>{text.format('')}</main>")
     assert html_extract.main_text(f"<main><ul>{links}</ul></main>").count("Teaser") == 4
 
 
+@pytest.mark.parametrize("own", ["<h2 id=related-work>Related work</h2>", "<section id=search><p>How to search.</p></section>", "<p class=notice-period>A month.</p>", "<blockquote class=share>To share is to care.</blockquote>", "<table><tr><td class=header>Name</td></tr></table>", "<h3 class=notice>Mind the gap</h3>", "<div class=related-work>Others did so.</div>"])
+def test_an_article_keeps_what_is_named_like_furniture(own):
+    text = re.sub("<[^>]*>", "", own)
+    assert html_extract.main_text(f"<body><article><p>{LONG}</p>{own}<p>{LONG} 2</p></article></body>") == f"{LONG}\n{text}\n{LONG} 2"
+
+
+@pytest.mark.parametrize("gone", ["<div class=share-buttons>Share</div>", "<div class='post-box ad'>Buy</div>", "<section class=related>More</section>", "<section id=comments><p>Nice</p></section>", "<aside>Aside</aside>", "<div class=newsletter-signup>Join</div>", "<div id=cookie-notice>Cookies</div>", "<form>Ask</form>"])
+def test_an_article_loses_its_furniture(gone):
+    assert html_extract.main_text(f"<body><article><p>{LONG}</p>{gone}<p>{LONG} 2</p></article></body>") == f"{LONG}\n{LONG} 2"
+
+
+def test_a_reference_list_of_links_stays():
+    refs = "".join(f"<li><a href={k}>Reference {k}</a></li>" for k in range(3))
+    assert html_extract.main_text(f"<article><p>{LONG}</p><ol>{refs}</ol></article>").split("\n") == [LONG, "Reference 0", "Reference 1", "Reference 2"]
+
+
+def test_much_text_before_a_marked_article_stays():
+    before = "".join(f"<p>{LONG} {k}</p>" for k in range(10))
+    lines = html_extract.main_text(f"<body><nav>Home</nav><div>{before}</div><article><h1>T</h1><p>Short.</p></article><div>Follow us, we have cookies.</div></body>").split("\n")
+    assert lines == [*[f"{LONG} {k}" for k in range(10)], "T", "Short."]
+
+
+def brute_lines(lines, marked):
+    """Line by line, from the definition: what windows a line stands in, and where it stands to the marks."""
+    n, w = len(lines), [0 if x.furniture else x.weight for x in lines]
+    window = [sum(w[i : i + html_extract.LINES]) for i in range(n)]
+    least = html_extract.SURGE if any(x > html_extract.SURGE for x in window) else 0
+
+    def region(k):
+        """The region of a line: runs of windows that carry something, from their first surge on, with what weighs right before it."""
+        for i in range(n):
+            if window[i] <= least or any(window[j] > least and all(window[j : i + 1]) for j in range(i)):
+                continue
+            stop = next((j for j in range(i, n) if not window[j]), n)
+            start = i
+            while start and w[start - 1]:
+                start -= 1
+            if start <= k < stop:
+                return start, stop
+        return None
+
+    out = []
+    for k, x in enumerate(lines):
+        if x.furniture:
+            continue
+        found = region(k)
+        if not marked:
+            if found:
+                out.append(x.text)
+            continue
+        if x.article:
+            own = [j for j in range(n) if lines[j].article and not lines[j].furniture]
+            surges = any(w[j] for j in own)
+            ahead = surges and not any(w[j] for j in own if j <= k)
+            at, lo, hi = own.index(k), own.index(k), own.index(k)
+            while lo > 0 and lines[own[lo - 1]].links:
+                lo -= 1
+            while hi + 1 < len(own) and lines[own[hi + 1]].links and not w[own[hi + 1]]:
+                hi += 1
+            if not (ahead and x.links and hi - lo + 1 >= html_extract.LINES and at >= lo):
+                out.append(x.text)
+        elif found:
+            lo = hi = k
+            while lo > found[0] and not lines[lo - 1].article:
+                lo -= 1
+            while hi + 1 < found[1] and not lines[hi + 1].article:
+                hi += 1
+            if sum(w[lo : hi + 1]) >= html_extract.OUTSIDE:
+                out.append(x.text)
+    return out
+
+
+def test_regions_equal_brute_force(spark, small):
+    rng = random.Random(4)
+    for trial in range(1500):
+        marked = trial % 2 == 0
+        lines, article = [], False
+        for k in range(rng.randrange(1, 25)):
+            article = marked and (article if rng.random() < 0.7 else not article)
+            links = rng.random() < 0.35
+            lines.append(html_extract.Line(f"{k}", 0 if links or rng.random() < 0.3 else rng.choice([1, 20, 90, 300]), rng.random() < 0.15, article, links))
+        assert html_extract.main_lines(lines, marked) == brute_lines(lines, marked), lines
+    for r in spark.read.parquet(f"{small}/pages.parquet").collect():
+        lines, marked = html_extract.blocks(r["html"]) if r["html"] else ([], False)
+        assert html_extract.main_lines(lines, marked) == brute_lines(lines, marked)
+
+
 def test_formulas_and_fallbacks_are_text():
     page = f"<article><p>So <math><semantics><mi>x</mi><mo>=</mo><mn>1</mn><annotation encoding=tex>x=1</annotation></semantics></math> holds.</p><object data=a>The picture shows a cat.</object></article>"
     assert html_extract.main_text(page) == "So x=1 holds.\nThe picture shows a cat."

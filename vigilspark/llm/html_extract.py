@@ -8,10 +8,13 @@ don't count, and readers' comments are no wrapper unless one article has that ha
 of `LINES` lines. A surge point is where the window first carries more than the threshold, a dive point where it falls
 to nothing; the text between the surge and the dive is kept, without furniture.
 
-Where the page marks its article (article, main, or role=main), the marks stand for surge and dive at the article's ends,
-so that short lines there stay; inside, each window of `LINES` lines of links alone is a gap and is left out (an article
-of nothing but links stays whole). Otherwise the threshold is `SURGE` characters, and every region is kept in
-page order, with its short first lines (a heading before the surge belongs to it).
+A surge needs more than `SURGE` characters, and every region is kept in page order, with its short first lines (a heading
+before the surge belongs to it). Where the page marks its article (article, main, or role=main), the marks only widen a
+region to their ends, so that short lines there stay; of the lines before the first surge inside them, runs of at least
+`LINES` lines of links alone (a menu) are left out, while links that follow text (references) stay. Text outside the marks
+is a region of its own from `OUTSIDE` characters on. Inside the marks, a class or id makes an element furniture only if
+one whole token of it says so (`comments`, `share-buttons`, not `notice-period` or `related-work`), and never a heading, a
+paragraph, a quote, a cell or an item; a section only by its class or as readers' comments.
 
 Defined cases: a null or empty page gives the empty string; unclosed elements end with their parents, an unfinished tag
 at the end is dropped; character references are decoded; white space inside a block becomes one space; line breaks are
@@ -33,6 +36,8 @@ from vigilspark.llm import common
 
 LINES = 3
 SURGE = 80
+#: Characters from which text outside a marked article is a region of its own.
+OUTSIDE = 400
 
 # Fixed values of HTML: elements without content, with raw content, that break lines, and that are furniture.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -45,6 +50,9 @@ FURNITURE_NAMES = frozenset(
     "comment comments commentlist respond disqus replies reply cookie cookies consent gdpr notice notices alert popup modal overlay toast newsletter subscribe subscription signup login share sharing social related recommended "
     "widget pagination pager search form disclaimer copyright toc skip".split()
 )
+# Nouns that tell nothing of an element's content beside a furniture name, and elements that hold an article's own text.
+GENERIC = frozenset("area bar block blocks box button buttons container content group holder inner item items link links list outer panel placeholder post posts row section slot stories unit wrap wrapper".split())
+CONTENT = frozenset("h1 h2 h3 h4 h5 h6 p blockquote q pre li dt dd td th tr caption figure figcaption table thead tbody tfoot summary details code".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*\"|'[^']*'|[\"'])*+)(>|\Z)", re.S)
@@ -90,6 +98,17 @@ def _names(value: str) -> set[str]:
     return found & FURNITURE_NAMES
 
 
+def _whole_names(value: str) -> set[str]:
+    """The furniture names of those tokens of a class or id that are made of such names and generic nouns alone."""
+    found = set()
+    for token in _TOKENS.findall(value):
+        words = set(_WORDS.findall(token))
+        names = words & FURNITURE_NAMES
+        if names and words <= FURNITURE_NAMES | GENERIC:
+            found |= names
+    return found
+
+
 def _furniture(tag: str, attrs: str, inside: bool) -> tuple[bool, Wrap | None]:
     """Whether an element is page furniture for good, and else the wrapper that its names or its being a form make of it.
 
@@ -108,7 +127,9 @@ def _furniture(tag: str, attrs: str, inside: bool) -> tuple[bool, Wrap | None]:
         if name == "role" and value in FURNITURE_ROLES:
             return True, None
         if name in ("class", "id"):
-            names = _names(value)
+            names = _whole_names(value) if inside else _names(value)
+            if inside and (tag in CONTENT or tag == "section" and name == "id" and names.isdisjoint(COMMENTS)):
+                continue
             if names and not (inside and names <= {"header"}):
                 wrap = Wrap(not names.isdisjoint(COMMENTS) or wrap is not None and wrap.comments)
     return False, wrap
@@ -227,11 +248,6 @@ def _judged(lines: list[tuple[str, int, bool, int, tuple[Wrap, ...], bool]], art
 
 def main_lines(lines: list[Line], marked: bool, width: int = LINES, surge: int = SURGE) -> list[str]:
     """The lines between the surge and the dive of the distribution."""
-    if marked:
-        held = [x for x in lines if x.article and not x.furniture]
-        sums = [sum(not x.links for x in held[i : i + width]) for i in range(len(held) - width + 1)]
-        empty = {k for i, n in enumerate(sums) if not n for k in range(i, i + width)}
-        return [x.text for k, x in enumerate(held) if k not in empty or len(empty) == len(held)]
     weights = [0 if x.furniture else x.weight for x in lines]
     sums = [sum(weights[i : i + width]) for i in range(len(weights))]
     threshold = surge if max(sums, default=0) > surge else 0
@@ -247,7 +263,36 @@ def main_lines(lines: list[Line], marked: bool, width: int = LINES, surge: int =
             i -= 1
         regions.append((i, dive))
         i = dive
-    return [x.text for start, stop in regions for x in lines[start:stop] if not x.furniture]
+    if not marked:
+        return [x.text for start, stop in regions for x in lines[start:stop] if not x.furniture]
+    return _widened(lines, weights, regions, width)
+
+
+def _widened(lines: list[Line], weights: list[int], regions: list[tuple[int, int]], width: int) -> list[str]:
+    """Regions widened to the ends of the marked article, and those outside that hold enough."""
+    own = [k for k, x in enumerate(lines) if x.article and not x.furniture]
+    kept = set(own)
+    # before the first line of the article that weighs, runs of links are a menu
+    head = own[: next((n for n, k in enumerate(own) if weights[k]), 0)]
+    run: list[int] = []
+    for k in [*head, None]:
+        if k is not None and lines[k].links:
+            run.append(k)
+            continue
+        if len(run) >= width:
+            kept.difference_update(run)
+        run = []
+    for start, stop in regions:
+        # the parts of a region before, between and after marked lines
+        part: list[int] = []
+        for k in [*range(start, stop), None]:
+            if k is not None and not lines[k].article:
+                part.append(k)
+                continue
+            if sum(weights[j] for j in part) >= OUTSIDE:
+                kept.update(j for j in part if not lines[j].furniture)
+            part = []
+    return [lines[k].text for k in sorted(kept)]
 
 
 def main_text(html: str | None) -> str:
