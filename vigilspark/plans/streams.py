@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilspark.plans.catalog import query, table
+from vigilspark.sources import endpoints, storage
 from vigilspark.streaming import live
 
 
 def _folders(spark: SparkSession, name: str) -> tuple[str, str]:
     """A folder for results and one for progress, where the cluster shares files."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    root = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    root = storage.fresh_folder(spark, name)
     return f"{root}/rows", f"{root}/progress"
 
 
@@ -31,22 +29,59 @@ def stream_dedupe_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     The run is bounded and its files may come in any order of time, so all ids are held and no row is late.
     """
     rows, progress = _folders(spark, "windows")
-    counted = live.counts_by_window(_events(spark, sf_dir).dropDuplicates(["event_id"]), "ts", ["event_type"], "1 day", None)
-    schema = counted.schema
-    counted.writeStream.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(rows)).outputMode("complete").option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
+    with live.state_on_disk(spark):
+        counted = live.counts_by_window(_events(spark, sf_dir).dropDuplicates(["event_id"]), "ts", ["event_type"], "1 day", None)
+        schema = counted.schema
+        counted.writeStream.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(rows)).outputMode("complete").option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(schema).parquet(rows).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
 @query("SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 30")
 def stream_live_top30(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest 30 rows after each micro-batch, kept in a folder."""
+    """The newest 30 rows after each micro-batch, kept in a folder by batch."""
     rows, progress = _folders(spark, "newest")
-
-    def keep(batch: DataFrame, _: int) -> None:
-        batch.select("event_id", "event_type").orderBy(F.desc("event_id")).limit(30).write.mode("append").parquet(rows)
-
-    _events(spark, sf_dir).writeStream.foreachBatch(keep).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("event_id bigint, event_type string").parquet(rows).orderBy(F.desc("event_id")).limit(30)
+    newest = live.latest_of(rows, ["event_id"], 30)
+    query_ = _events(spark, sf_dir).select("event_id", "event_type").writeStream.foreachBatch(newest).option("checkpointLocation", progress).trigger(availableNow=True).start()
+    query_.awaitTermination()
+    last = live.last_batch(query_)
+    return spark.read.schema("event_id bigint, event_type string").parquet(f"{rows}/batch={last or 0}")
+
+
+@query("""WITH s AS (SELECT event_type, event_id, ts, value FROM events QUALIFY row_number() OVER (PARTITION BY event_type, time_bucket(INTERVAL 10 MINUTES, ts) ORDER BY ts, event_id) = 1),
+g AS (SELECT *, greatest(0, value - coalesce(lag(value) OVER (PARTITION BY event_type ORDER BY ts, event_id), 0)) AS grown FROM s)
+SELECT event_type, event_id, round(sum(grown) OVER (PARTITION BY event_type ORDER BY ts, event_id), 4) AS locked FROM g""")
+def snapshots_guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as snapshots of their type: one in ten minutes passes, with the growth locked so far, from state."""
+    rows, progress = _folders(spark, "guarded")
+    with live.state_on_disk(spark):
+        passed = live.guarded_snapshots(_events(spark, sf_dir).select("event_type", "event_id", "ts", "value"), ["event_type"], "ts", "value", 10)
+        schema = passed.schema
+        passed.writeStream.foreachBatch(live.to_batch_folders(rows)).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(schema).parquet(f"{rows}/batch=*").select("event_type", "event_id", F.round("locked", 4).alias("locked"))
+
+
+@query("SELECT event_type AS address, CAST(event_id // 1000 AS INTEGER) AS page, CAST(row_number() OVER (PARTITION BY event_type, event_id // 1000 ORDER BY event_id) - 1 AS INTEGER) AS pos, event_id, value FROM events")
+def paged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each type's events, served as pages of an endpoint of their own and read back as a stream that follows cursors."""
+    events = table(spark, sf_dir, "events")
+    folder, progress = _folders(spark, "pages")
+    page = F.floor(F.col("event_id") / 1000)
+    last = events.agg(F.max(page)).first()[0] or 0
+    kinds = [r[0] for r in events.select("event_type").distinct().orderBy("event_type").collect()]  # a handful of types
+    items = events.groupBy(F.col("event_type").alias("address"), page.alias("page")).agg(F.sort_array(F.collect_list(F.struct("event_id", "value"))).alias("items"))
+    every = spark.createDataFrame([(k,) for k in kinds], "address string").select("address", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(int(last)).cast("bigint"))).alias("page"))
+    following = F.when(F.col("page") < last, (F.col("page") + 1).cast("string"))
+    body = F.to_json(F.struct(F.coalesce("items", F.array().cast("array<struct<event_id:bigint,value:double>>")).alias("items"), following.alias("next")))
+    pages = every.join(items, ["address", "page"], "left").select("address", F.col("page").cast("string").alias("cursor"), body.alias("body"))
+    endpoints.write_pages(pages.repartition("address", "cursor"), folder)
+    got = endpoints.stream(spark, kinds, progress, folder=folder, pages=50)
+    query_ = got.writeStream.foreachBatch(live.to_batch_folders(f"{folder}-read")).option("checkpointLocation", f"{progress}-query").start()
+    try:
+        query_.processAllAvailable()
+    finally:
+        query_.stop()
+    read = spark.read.schema(endpoints.SCHEMA).parquet(f"{folder}-read/batch=*").withColumn("i", F.from_json("item", "event_id bigint, value double"))
+    return read.select("address", "page", "pos", "i.event_id", "i.value")
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') ORDER BY c_custkey LIMIT 100")

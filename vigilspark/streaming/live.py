@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 
 def file_stream(spark: SparkSession, folder: str, schema: StructType, ts: str = "ts", files: int = 10) -> DataFrame:
@@ -69,11 +71,97 @@ def with_progress(rows: DataFrame, name: str, **counters: Column) -> tuple[DataF
     return rows.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.count_if(c).alias(k) for k, c in counters.items()]), seen
 
 
-def guarded_snapshots(stream: DataFrame, ts: str, minutes: int, checkpoint: str, sink: Callable[[DataFrame], None]) -> StreamingQuery:
-    """At most one snapshot an interval: the first of each interval of a micro-batch goes to the sink."""
-
-    def each(batch: DataFrame, _: int) -> None:
-        w = F.window(ts, f"{minutes} minutes")["start"]
-        sink(batch.groupBy(w.alias("__w")).agg(F.min_by(F.struct(*batch.columns), ts).alias("s")).select("s.*"))
-
-    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+#: Keeps state on the executors' disks and in the checkpoint instead of in their memory.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """Queries started within hold their state in RocksDB, with changes alone going to the checkpoint."""
+    names = {"spark.sql.streaming.stateStore.providerClass": ROCKS, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def to_batch_folders(folder: str, made: Callable[[DataFrame], DataFrame] = lambda batch: batch) -> Callable[[DataFrame, int], None]:
+    """A sink for foreachBatch: batch n replaces folder/batch=n, so that a batch that runs again leaves its rows once."""
+    return lambda batch, n: made(batch).write.mode("overwrite").parquet(f"{folder}/batch={n}")
+
+
+def latest_of(folder: str, order: list[str], keep: int) -> Callable[[DataFrame, int], None]:
+    """A sink for foreachBatch: folder/batch=n holds the newest rows of all batches up to n.
+
+    A batch adds its newest rows to those that the batch before left and replaces its own folder, so the folder of the
+    last batch is the answer, whatever ran twice; older folders may go.
+    """
+
+    def write(batch: DataFrame, n: int) -> None:
+        rows = batch
+        if n:
+            rows = batch.unionByName(batch.sparkSession.read.schema(batch.schema).parquet(f"{folder}/batch={n - 1}"))
+        rows.orderBy(*[F.desc(c) for c in order]).limit(keep).write.mode("overwrite").parquet(f"{folder}/batch={n}")
+
+    return write
+
+
+def last_batch(query: StreamingQuery) -> int | None:
+    """The number of the last batch that a query's progress tells."""
+    done = [p["batchId"] for p in query.recentProgress]
+    return max(done) if done else None
+
+
+class SnapshotGuard(StatefulProcessor):
+    """Lets the first snapshot of each interval of a subject pass, whichever batch or run it comes in, with the total that
+    its amount has grown by since the first one (`locked`, which never falls)."""
+
+    def __init__(self, ts: str, amount: str, seconds: int, keep_ms: int | None, columns: list[str]) -> None:
+        self.ts, self.amount, self.seconds, self.keep_ms, self.columns = ts, amount, seconds, keep_ms, columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.taken = handle.getMapState("taken", "interval long", "at timestamp", self.keep_ms)
+        self.total = handle.getValueState("total", "amount double, locked double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        # one row for each interval is held, however many come
+        first: dict[int, pd.Series] = {}
+        for part in rows:
+            part = part.assign(__interval=part[self.ts].astype("datetime64[us]").astype("int64") // (1_000_000 * self.seconds))
+            for interval, row in part.sort_values(self.ts, kind="stable").drop_duplicates("__interval").set_index("__interval").iterrows():
+                if interval not in first or row[self.ts] < first[interval][self.ts]:
+                    first[interval] = row
+        before = self.total.get() if self.total.exists() else None
+        amount, locked = (before[0], before[1]) if before is not None else (0.0, 0.0)
+        out = []
+        for interval in sorted(first):
+            if self.taken.containsKey((int(interval),)):
+                continue
+            row = first[interval]
+            now = float(row[self.amount]) if pd.notna(row[self.amount]) else amount
+            locked += max(0.0, now - amount)
+            amount = now
+            self.taken.updateValue((int(interval),), (row[self.ts],))
+            out.append([*[row[c] for c in self.columns], locked])
+        self.total.update((amount, locked))
+        if out:
+            yield pd.DataFrame(out, columns=[*self.columns, "locked"])
+
+    def close(self) -> None:
+        pass
+
+
+def guarded_snapshots(stream: DataFrame, subject: list[str], ts: str, amount: str, minutes: int = 10, keep_days: int | None = None) -> DataFrame:
+    """At most one snapshot an interval and subject, across batches and runs, with `locked`: the growth of the amount from
+    one such snapshot to the next, added up. Start the query within `state_on_disk`.
+
+    keep_days: after so long (of the clock) an interval is forgotten, which bounds the state; None keeps all.
+    """
+    columns = stream.columns
+    schema = StructType([*stream.schema.fields, StructField("locked", DoubleType())])
+    guard = SnapshotGuard(ts, amount, 60 * minutes, None if keep_days is None else keep_days * 86_400_000, columns)
+    return stream.groupBy(*subject).transformWithStateInPandas(guard, schema, "Append", "None" if keep_days is None else "ProcessingTime")
