@@ -36,7 +36,7 @@ def decoded(contract: Column) -> Column:
 
     Reads a struct with contractType, funds and attributes.
     """
-    mapped = nested.lookup(_map(dims.contract_types()), contract["contractType"])
+    mapped = nested.lookup(_map(dims.CONTRACT_TYPES), contract["contractType"])
     kind = F.coalesce(mapped, F.lit("contract"))
     attrs = contract["attributes"]
     attr = lambda k: _truthy(nested.lookup(attrs, F.lit(k)))
@@ -156,7 +156,7 @@ def fill_siblings(rows: DataFrame, group: str = "txID", order: str = "seq", kind
 
 def with_priority(rows: DataFrame, user: Column | None, contracts: DataFrame | None = None) -> DataFrame:
     """Rows with `priority`: the type's, raised by 100 for a recipient, 200 for strangers, 300 between contracts."""
-    base = F.coalesce(nested.lookup(_map(dims.priorities()), F.col("type")), F.lit(dims.OTHER_PRIORITY))
+    base = F.coalesce(nested.lookup(_map(dims.PRIORITIES), F.col("type")), F.lit(dims.OTHER_PRIORITY))
     if user is None:
         return rows.withColumn("priority", base)
     known = (contracts.select("address").distinct() if contracts is not None else rows.select(F.col("from").alias("address")).limit(0)).withColumn("__is", F.lit(True))
@@ -233,16 +233,16 @@ def in_dates(rows: DataFrame, date: str, start: Column, end: Column | None) -> D
 
 def category_counts(rows: DataFrame, kind: str = "type", mapping: dict[str, str] | None = None) -> DataFrame:
     """Rows by category; types of no category aren't counted."""
-    return rows.select(nested.lookup(_map(mapping or dims.categories()), F.col(kind)).alias("category")).filter("category is not null").groupBy("category").agg(F.count("*").alias("n"))
+    return rows.select(nested.lookup(_map(mapping or dims.CATEGORIES), F.col(kind)).alias("category")).filter("category is not null").groupBy("category").agg(F.count("*").alias("n"))
 
 
 def subtype_counts(rows: DataFrame, category: str, kind: str = "type", mapping: dict[str, str] | None = None) -> DataFrame:
-    kinds = [t for t, c in (mapping or dims.categories()).items() if c == category]
+    kinds = [t for t, c in (mapping or dims.CATEGORIES).items() if c == category]
     return rows.filter(F.col(kind).isin(*kinds)).groupBy(kind).agg(F.count("*").alias("n"))
 
 
 def tax_label(kind: Column, mapping: dict[str, str] | None = None) -> Column:
-    return nested.lookup(_map(mapping or dims.tax_labels()), kind, F.lit(""))
+    return nested.lookup(_map(mapping or dims.TAX_LABELS), kind, F.lit(""))
 
 
 def type_label(kind: Column) -> Column:
