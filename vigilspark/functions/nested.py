@@ -56,3 +56,21 @@ def report_payload(text: Column, tx: str) -> Column:
     whole = F.from_json(text, f"struct<transactions:array<{tx}>,groups:array<struct<primary:{tx},subActions:array<{tx}>,internalCount:int,txID:string>>>")
     bare = F.struct(F.from_json(text, f"array<{tx}>").alias("transactions"), F.lit(None).cast(f"array<struct<primary:{tx},subActions:array<{tx}>,internalCount:int,txID:string>>").alias("groups"))
     return F.when(F.ltrim(text).startswith("["), bare).otherwise(whole)
+
+
+def payload(text: Column) -> Column:
+    """A JSON text as a variant, whatever its shape; null where it is no JSON."""
+    return F.try_parse_json(text)
+
+
+def at(value: Column, path: str, kind: str) -> Column:
+    """What a variant holds at a path; null where there is nothing or something that isn't of the kind."""
+    return F.try_variant_get(value, path, kind)
+
+
+def report_parts(value: Column) -> Column:
+    """struct<transactions, groups, balances> (arrays of variants) of a report of either format, an object or a bare array
+    of transactions, without a schema of what they hold."""
+    bare = F.schema_of_variant(value).startswith("ARRAY")
+    part = lambda name: at(value, f"$.{name}", "array<variant>")
+    return F.struct(F.when(bare, at(value, "$", "array<variant>")).otherwise(part("transactions")).alias("transactions"), part("groups").alias("groups"), part("balances").alias("balances"))

@@ -24,12 +24,17 @@ def _version_sql(where: str, last: bool) -> str:
     return f"SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag, l_suppkey AS entity FROM lineitem WHERE {where} QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {order}) = 1"
 
 
+def entry_versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Entries as they are listed, and as a later sync has them."""
+    return _versions(spark, sf_dir, f"l_shipdate < TIMESTAMP '{_DAY}'", True), _versions(spark, sf_dir, f"l_shipdate >= TIMESTAMP '{_DAY}'", True)
+
+
 @query(f"""WITH o AS ({_version_sql(f"l_shipdate < TIMESTAMP '{_DAY}'", True)}), n AS ({_version_sql(f"l_shipdate >= TIMESTAMP '{_DAY}'", True)})
 SELECT coalesce(o.l_orderkey, n.l_orderkey) AS l_orderkey, coalesce(o.l_linenumber, n.l_linenumber) AS l_linenumber, coalesce(n.l_quantity, o.l_quantity) AS l_quantity,
   coalesce(o.l_returnflag, n.l_returnflag) AS l_returnflag, coalesce(n.entity, o.entity) AS entity
 FROM o FULL JOIN n ON o.l_orderkey = n.l_orderkey AND o.l_linenumber = n.l_linenumber""")
 def upsert_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old, new = _versions(spark, sf_dir, f"l_shipdate < TIMESTAMP '{_DAY}'", True), _versions(spark, sf_dir, f"l_shipdate >= TIMESTAMP '{_DAY}'", True)
+    old, new = entry_versions(spark, sf_dir)
     return R.upsert(old, new, ["l_orderkey", "l_linenumber"], ["l_quantity", "entity"])
 
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import UTC, datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from vigilspark.functions import text, times
 
@@ -71,17 +73,51 @@ def public_id(*parts: Column, size: int = 10, prefix: str = "") -> Column:
     return F.concat(F.lit(prefix), *symbols)
 
 
-def audited(name: str, job: Callable[[], tuple[DataFrame, int]], now: Callable[[], object], spark) -> tuple[DataFrame | None, DataFrame]:
-    """Runs a sync job and returns its rows with its audit row; a failing job gives no rows and an error row."""
-    started = now()
-    schema = "type string, status string, records_processed int, flags_found int, error string, duration bigint, created_at timestamp"
+AUDIT = "type string, status string, records_processed bigint, flags_found bigint, error string, duration bigint, created_at timestamp"
 
-    def row(status: str, records: int | None, flags: int | None, error: str | None) -> DataFrame:
-        ended = now()
-        return spark.createDataFrame([(name, status, records, flags, error, int((ended - started).total_seconds() * 1000), ended)], schema)
 
+def audited(name: str, rows: DataFrame, write: Callable[[DataFrame], None], now: Callable[[], datetime], flagged: Column | None = None) -> DataFrame:
+    """Writes `rows` and returns the audit row of the write; where it fails, an error row with the message.
+
+    Rows and flags are counted as they pass to the sink, so the plan runs once and a sink that fails is seen.
+    """
+    spark, seen, started = rows.sparkSession, Observation(), now()
+    counted = rows.observe(seen, F.count(F.lit(1)).alias("records"), F.count_if(F.lit(False) if flagged is None else flagged).alias("flags"))
+    status, records, flags, error = "success", None, None, None
     try:
-        rows, flags = job()
-        return rows, row("success", rows.count(), flags, None)
+        write(counted)
+        records, flags = seen.get["records"], None if flagged is None else seen.get["flags"]
     except Exception as e:  # noqa: BLE001  (the audit row carries it)
-        return None, row("error", None, None, str(e)[:500])
+        status, error = "error", str(e)[:500]
+    ended = now()
+    return spark.createDataFrame([(name, status, records, flags, error, int((ended - started).total_seconds() * 1000), ended)], AUDIT)
+
+
+class StreamAudit(StreamingQueryListener):
+    """Appends an audit row for each micro-batch of the session's queries that are named in `names`, and one for each that
+    ends with an error. Counters are those that `live.with_progress` observes as `flags`."""
+
+    def __init__(self, spark: SparkSession, folder: str, names: tuple[str, ...]) -> None:
+        self.spark, self.folder, self.names = spark, folder, names
+        self.held: dict[str, str] = {}
+
+    def _put(self, *row: object) -> None:
+        self.spark.createDataFrame([row], AUDIT).coalesce(1).write.mode("append").parquet(self.folder)
+
+    def onQueryStarted(self, event) -> None:
+        if event.name in self.names:
+            self.held[str(event.id)] = event.name
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        if p.name in self.names:
+            flags = next((m["flags"] for m in p.observedMetrics.values() if "flags" in m.asDict()), None)
+            self._put(p.name, "success", p.numInputRows, flags, None, p.batchDuration, datetime.fromisoformat(p.timestamp.replace("Z", "+00:00")))
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        name = self.held.pop(str(event.id), None)
+        if name and event.exception:
+            self._put(name, "error", None, None, event.exception[:500], 0, datetime.now(UTC))

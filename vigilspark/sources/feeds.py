@@ -30,6 +30,16 @@ def read_sanctions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("xml").option("rowTag", "DistinctParty").schema(PARTY).load(path)
 
 
+def parse_parties(texts: DataFrame, column: str = "xml") -> DataFrame:
+    """Parties from a column of XML texts, one party each, with the table's other columns; a text that is no party gives nulls."""
+    return texts.withColumn("party", F.from_xml(F.col(column), PARTY, {"mode": "PERMISSIVE"})).select("*", "party.*").drop("party")
+
+
+def party_texts(parties: DataFrame) -> DataFrame:
+    """(xml) of parties: the inverse of parse_parties."""
+    return parties.select(F.to_xml(F.struct("Profile"), {"rowTag": "DistinctParty", "declaration": ""}).alias("xml"))
+
+
 def sanctioned_addresses(parties: DataFrame, feature_chains: dict[str, str] | None = None, source: str = "OFAC", reason: str = "OFAC SDN List", unknown: str = "Unknown OFAC Entity") -> DataFrame:
     """(address, chain, source, entity_name, reason) of parties' digital-currency features.
 

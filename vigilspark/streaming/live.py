@@ -65,10 +65,16 @@ def reset(users: DataFrame, key: str, done_at: str, prefix: str) -> DataFrame:
     return users.withColumn(done_at, F.when(F.col(key).startswith(prefix), F.lit(None)).otherwise(F.col(done_at)))
 
 
-def with_progress(rows: DataFrame, name: str, **counters: Column) -> tuple[DataFrame, Observation]:
-    """The rows, and counters that Spark fills as they pass, without a pass of their own (rows counts them all)."""
+def with_progress(rows: DataFrame, name: str, **counters: Column) -> tuple[DataFrame, Observation | None]:
+    """The rows, and counters that Spark fills as they pass, without a pass of their own (rows counts them all).
+
+    A stream has no Observation: its counters come with each batch's progress, under `name` in observedMetrics.
+    """
+    counts = [F.count(F.lit(1)).alias("rows"), *[F.count_if(c).alias(k) for k, c in counters.items()]]
+    if rows.isStreaming:
+        return rows.observe(name, *counts), None
     seen = Observation(name)
-    return rows.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.count_if(c).alias(k) for k, c in counters.items()]), seen
+    return rows.observe(seen, *counts), seen
 
 
 #: Keeps state on the executors' disks and in the checkpoint instead of in their memory.
