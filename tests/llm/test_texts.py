@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -272,6 +274,82 @@ def test_language_mixtures_and_letterless_texts():
     assert langid.predict(["text"], langid.Model([], np.zeros((langid.BUCKETS, 0)))) == (["und"], [0.0])
 
 
+def small_model(seed: int = 1):
+    rng = random.Random(seed)
+    words = {"de": ["straße", "und", "nicht", "haus", "schnell"], "en": ["street", "and", "not", "house", "quickly"], "fr": ["rue", "et", "pas", "maison", "vite"]}
+    counts = np.zeros((langid.BUCKETS, 3))
+    for k, lang in enumerate(sorted(words)):
+        data, _ = langid._prepared([" ".join(rng.choice(words[lang]) for _ in range(4000))])
+        counts[:, k] = np.bincount(langid._trigrams(data), minlength=langid.BUCKETS)
+    return words, langid.Model(sorted(words), np.log((counts + 0.1) / (counts.sum(axis=0) + 100)).astype(np.float32))
+
+
+def plain_prediction(text, model):
+    """Mixture proportions by the definition: word by word, language by language."""
+    low = re.sub(r"[\x00-\x60\x7b-\x7f]", " ", text.lower())
+    logs = []
+    for word in low.split(" "):
+        if word:
+            grams = langid._trigrams(np.frombuffer(f" {word} ".encode(), np.uint8))
+            logs.append([sum(float(model.log_p[g, k]) for g in grams) for k in range(len(model.languages))])
+    if not logs or not any(c.isalpha() for c in text):
+        return "und", 0.0
+    like = [[math.exp(max(x - max(row), -50.0)) for x in row] for row in logs]
+
+    def fit(share):
+        for _ in range(langid.PASSES):
+            total = [0.0] * len(share)
+            for row in like:
+                z = sum(s * x for s, x in zip(share, row, strict=True))
+                for k, (s, x) in enumerate(zip(share, row, strict=True)):
+                    total[k] += s * x / z
+            share = [t / len(like) for t in total]
+        return share, sum(math.log(max(1e-300, sum(s * x for s, x in zip(share, row, strict=True)))) for row in like)
+
+    n = len(model.languages)
+    share, _ = fit([1.0 / n] * n)
+    order = sorted(range(n), key=lambda k: -share[k])
+    best = [float(k == order[0]) for k in range(n)]
+    value = sum(math.log(max(1e-300, row[order[0]])) for row in like)
+    for m in range(2, n + 1):
+        if share[order[m - 1]] < langid.LEAST_SHARE:
+            break
+        start = [max(share[k], 1e-3) if k in order[:m] else 0.0 for k in range(n)]
+        got, log_like = fit([x / sum(start) for x in start])
+        log_like -= langid.PENALTY * 0.5 * math.log(len(like) + 1.0)
+        if log_like <= value:
+            break
+        best, value = got, log_like
+    k = max(range(n), key=lambda k: best[k])
+    return model.languages[k], min(1.0, best[k])
+
+
+def test_predictions_equal_plain_expectation_maximisation():
+    words, model = small_model()
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(words[rng.choice(list(words)[: 1 + i % 3])]) + rng.choice(["", ",", " 12", ". X"]) for _ in range(rng.randrange(1, 80))) for i in range(60)] + ["日本語 und", "ÀÉ", "12 34", "x"]
+    langs, scores = langid.predict(texts, model)
+    for text, lang, score in zip(texts, langs, scores, strict=True):
+        want = plain_prediction(text, model)
+        assert (lang, score) == (want[0], pytest.approx(want[1], abs=1e-9))
+        for each in (40, 1 << 18):
+            got = langid.predict_long(text, model, each)
+            assert got == (want[0], pytest.approx(want[1], abs=1e-6))
+
+
+def test_a_very_long_text_is_taken_in_stretches(spark):
+    words, model = small_model()
+    text = " ".join(f"{w} {i % 5000}" for i, w in enumerate((words["de"] * 2 + words["fr"]) * 60_000))
+    tracemalloc.start()
+    got = langid.predict_long(text + "ß" * 3_000_000, model)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[0] == "de" and 0.6 < got[1] < 0.75 and peak < 300 << 20  # 1.3 GB in one pass
+    rows = spark.createDataFrame([(1, text), (2, "rue et pas"), (3, "x" * 600_000)], "doc_id long, text string")
+    found = {r["doc_id"]: r["lang_pred"] for r in langid.identify(rows, model).collect()}
+    assert found[1] == "de" and found[2] == "fr" and found[3] in model.languages
+
+
 def test_identify_without_labels_and_without_rows(spark):
     docs = spark.createDataFrame([(1, "some text", None), (2, None, "en"), (2, None, "en"), (None, "x", "en")], "doc_id long, text string, lang string").withColumn("found", F.lit(0)).withColumn("score", F.lit("s"))
     assert {r["lang_pred"] for r in langid.identify(docs).collect()} == {"und"}
