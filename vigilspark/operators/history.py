@@ -91,37 +91,60 @@ def fees(metadata: Column) -> Column:
     )
 
 
-def parse_actions(actions: DataFrame, contracts: DataFrame) -> DataFrame:
+#: Contracts up to this number go into the rows' task as one map; more are joined.
+FEW_CONTRACTS = 2000
+
+
+def contract_names(contracts: DataFrame) -> DataFrame:
+    """(address, who struct<name, category>): one row for each address, of several the smallest."""
+    return contracts.groupBy("address").agg(F.min(F.struct("name", "category")).alias("who"))
+
+
+def _with_contracts(actions: DataFrame, contracts: DataFrame) -> DataFrame:
+    """`actions` (with __from, __to and __legs, the addresses of all legs) with the contracts of sender and recipient
+    (__f, __t) and the first among the legs (__any)."""
+    names = contract_names(contracts)
+    if names.limit(FEW_CONTRACTS + 1).count() <= FEW_CONTRACTS:
+        # one row of at most FEW_CONTRACTS entries: the actions aren't shuffled, and each looks its addresses up in place
+        one = names.agg(F.map_from_entries(F.collect_list(F.struct("address", "who"))).alias("__names"))
+        met = actions.join(F.broadcast(one), F.lit(True), "left")
+        hit = F.get(F.filter(F.transform("__legs", lambda x: F.try_element_at("__names", x)), lambda x: x.isNotNull()), F.lit(0))
+        return met.withColumns({"__f": F.try_element_at("__names", "__from"), "__t": F.try_element_at("__names", "__to"), "__any": hit}).drop("__names")
+    any_contract = actions.select("seq", F.posexplode("__legs").alias("pos", "address")).join(names, "address").groupBy("seq").agg(F.min_by("who", "pos").alias("__any"))
+    named = actions
+    for key, who in (("__from", "__f"), ("__to", "__t")):
+        named = named.join(names.select(F.col("address").alias(key), F.col("who").alias(who)), key, "left")
+    return named.join(any_contract, "seq", "left")
+
+
+def parse_actions(actions: DataFrame, contracts: DataFrame, *carry: str) -> DataFrame:
     """History rows of actions (seq, and the fields of schemas.ACTIONS); contracts is the dimension of known contracts.
 
     Names come from the sender's contract, else the recipient's; where neither is known, the first known contract among
-    all senders and recipients completes a swap's missing output.
+    all senders and recipients completes a swap's missing output. `carry` names further columns to keep; seq must be
+    unique among all rows.
     """
-    names = contracts.groupBy("address").agg(F.first("name").alias("name"), F.first("category").alias("category"))
     legs = F.concat(F.coalesce(F.col("`in`"), F.array()), F.coalesce(F.col("`out`"), F.array()))
     base = actions.withColumns(
         {
             "__from": F.coalesce(nested.first(F.col("`in`"))["address"], F.lit("")),
             "__to": F.coalesce(nested.first(F.col("`out`"))["address"], F.lit("")),
+            "__legs": F.filter(F.transform(legs, lambda x: x["address"]), lambda x: x.isNotNull()),
             "__d": F.when(F.col("type") == "contract", decoded(F.col("metadata.contract"))),
         }
     )
-    any_contract = actions.select("seq", F.posexplode(F.transform(legs, lambda x: x["address"])).alias("pos", "address")).join(F.broadcast(names), "address").groupBy("seq").agg(F.min_by(F.struct("name", "category"), "pos").alias("__any"))
-
-    def named(df: DataFrame, key: str, prefix: str) -> DataFrame:
-        return df.join(F.broadcast(names.select(F.col("address").alias(key), F.col("name").alias(f"{prefix}_name"), F.col("category").alias(f"{prefix}_category"))), key, "left")
-
-    base = named(named(base, "__from", "__f"), "__to", "__t").join(any_contract, "seq", "left")
+    base = _with_contracts(base, contracts)
     c_in, c_out = nested.first(nested.first(F.col("`in`"))["coins"]), nested.first(nested.first(F.col("`out`"))["coins"])
     d = F.col("__d")
     is_contract = d.isNotNull()
-    pair = F.coalesce(F.when(F.col("__f_name").isNotNull(), F.col("__f_name")), F.col("__t_name"), F.col("__any.name"))
+    f_name, t_name = F.col("__f.name"), F.col("__t.name")
+    pair = F.coalesce(f_name, t_name, F.col("__any.name"))
     needs_pair = is_contract & (d["asset_out"] == "") & (d["asset_in"] != "")
     asset_out = F.when(needs_pair & pair.isNotNull(), text.or_default(text.other_side(d["asset_in"], pair), "")).otherwise(d["asset_out"])
     raw_in = F.when(is_contract, d["raw_in"]).otherwise(text.or_default(c_in["amount"], "0"))
     raw_out = F.when(is_contract, d["raw_out"]).otherwise(text.or_default(c_out["amount"], "0"))
-    name = F.coalesce(_truthy(F.col("__f_name")), _truthy(F.col("__t_name")), F.when(needs_pair, F.col("__any.name")), F.lit(""))
-    category = F.coalesce(_truthy(F.col("__f_category")), _truthy(F.col("__t_category")), F.when(needs_pair, F.col("__any.category")), F.lit(""))
+    name = F.coalesce(_truthy(f_name), _truthy(t_name), F.when(needs_pair, F.col("__any.name")), F.lit(""))
+    category = F.coalesce(_truthy(F.col("__f.category")), _truthy(F.col("__t.category")), F.when(needs_pair, F.col("__any.category")), F.lit(""))
     fee = fees(F.col("metadata"))
     blank = F.lit("")
     return base.select(
@@ -136,20 +159,23 @@ def parse_actions(actions: DataFrame, contracts: DataFrame) -> DataFrame:
         numbers.raw_amount(raw_out).alias("rawAmountOut"),
         F.col("__from").alias("from"),
         F.col("__to").alias("to"),
-        F.coalesce("__f_name", blank).alias("fromLabel"),
-        F.coalesce("__t_name", blank).alias("toLabel"),
+        F.coalesce(f_name, blank).alias("fromLabel"),
+        F.coalesce(t_name, blank).alias("toLabel"),
         F.coalesce(nested.first(F.col("`in`"))["txID"], blank).alias("txID"),
         text.or_default(F.col("status"), "unknown").alias("status"),
         fee["amount"].alias("feeAmount"),
         fee["currency"].alias("feeCurrency"),
         name.alias("contractName"),
         category.alias("contractCategory"),
+        *carry,
     )
 
 
-def fill_siblings(rows: DataFrame, group: str = "txID", order: str = "seq", kind: str = "type", asset: str = "assetOut") -> DataFrame:
+def fill_siblings(rows: DataFrame, group: str = "txID", order: str = "seq", kind: str = "type", asset: str = "assetOut", within: tuple[str, ...] = ()) -> DataFrame:
     """Trades without an output asset take that of the first swap of their group that has one."""
-    by = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # a row without a group is a group of its own, so that such rows are no hot key
+    keys = [*within, group, F.when(text.missing(F.col(group)), F.col(order))]
+    by = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     found = F.first(F.when(F.col(kind).isin("tc-swap", "bow-swap") & ~text.missing(F.col(asset)), F.col(asset)), ignorenulls=True).over(by)
     return rows.withColumn("__a", found).withColumn(asset, F.when((F.col(kind) == "fin-trade") & text.missing(F.col(asset)) & ~text.missing(F.col(group)), F.coalesce("__a", asset)).otherwise(F.col(asset))).drop("__a")
 
@@ -160,13 +186,13 @@ def with_priority(rows: DataFrame, user: Column | None, contracts: DataFrame | N
     if user is None:
         return rows.withColumn("priority", base)
     known = (contracts.select("address").distinct() if contracts is not None else rows.select(F.col("from").alias("address")).limit(0)).withColumn("__is", F.lit(True))
-    out = rows.join(F.broadcast(known.toDF("from", "__fc")), "from", "left").join(F.broadcast(known.toDF("to", "__tc")), "to", "left")
+    out = rows.join(known.toDF("from", "__fc"), "from", "left").join(known.toDF("to", "__tc"), "to", "left")
     mine, to_me = F.col("from") == user, F.col("to") == user
     tier = F.when(F.col("__fc") & F.col("__tc") & ~mine & ~to_me, 300).when(mine, 0).when(to_me, 100).otherwise(200)
     return out.withColumn("priority", base + tier).drop("__fc", "__tc")
 
 
-def group_order(rows: DataFrame, group: str, order: str, priority: str) -> DataFrame:
+def group_order(rows: DataFrame, group: str, order: str, priority: str, within: tuple[str, ...] = ()) -> DataFrame:
     """Rows of each group with `is_primary` and `sub_order`.
 
     The primary is the first of the rows with the lowest priority. A row that was primary for a while stands where the
@@ -174,7 +200,7 @@ def group_order(rows: DataFrame, group: str, order: str, priority: str) -> DataF
     while if no row before it is as low; it is displaced by the first later row that is lower, which is the next such
     row.
     """
-    by = Window.partitionBy(group).orderBy(order)
+    by = Window.partitionBy(*within, group).orderBy(order)
     before = F.min(priority).over(by.rowsBetween(Window.unboundedPreceding, -1))
     marked = rows.withColumn("__led", before.isNull() | (F.col(priority) < before))
     next_led = F.min(F.when(F.col("__led"), F.col(order))).over(by.rowsBetween(1, Window.unboundedFollowing))
@@ -182,17 +208,19 @@ def group_order(rows: DataFrame, group: str, order: str, priority: str) -> DataF
     return marked.withColumn("is_primary", F.col("__led") & F.col("__next").isNull()).withColumn("sub_order", F.when(F.col("__led"), F.col("__next")).otherwise(F.col(order))).drop("__led", "__next")
 
 
-def grouped(rows: DataFrame, user: Column | None = None, contracts: DataFrame | None = None) -> DataFrame:
-    """History groups (first_seq, txID, primary, subActions, internalCount) of history rows.
+def grouped(rows: DataFrame, user: Column | None = None, contracts: DataFrame | None = None, within: tuple[str, ...] = ()) -> DataFrame:
+    """History groups (first_seq, txID, primary, subActions, internalCount) of history rows; `within` names columns that
+    part the rows further (the user of each), which come first.
 
     Rows without a transaction id are groups of their own. The primary's missing output or input is taken from its
     first sub-action of a trading type that has one; internal sub-actions are counted, at most VISIBLE others shown and
     the rest counted too.
     """
     keyed = with_priority(rows, user, contracts).withColumn("__g", F.when(text.missing(F.col("txID")), F.concat(F.lit("#"), F.col("seq"))).otherwise(F.col("txID")))
-    ordered = group_order(keyed, "__g", "seq", "priority")
-    row = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
-    groups = ordered.groupBy("__g").agg(
+    ordered = group_order(keyed, "__g", "seq", "priority", within)
+    columns = [c for c in rows.columns if c not in within]
+    row = F.struct(*[F.col(f"`{c}`") for c in columns])
+    groups = ordered.groupBy(*within, "__g").agg(
         F.min("seq").alias("first_seq"),
         F.max_by(row, "is_primary").alias("primary"),
         F.transform(F.array_sort(F.collect_list(F.when(~F.col("is_primary"), F.struct("sub_order", row.alias("row"))))), lambda x: x["row"]).alias("subs"),
@@ -206,12 +234,13 @@ def grouped(rows: DataFrame, user: Column | None = None, contracts: DataFrame |
             need, got = text.missing(p[f"asset{side}"]) | (p[f"amount{side}"] == "0"), filler(side, kinds)
             take = need & got.isNotNull()
             values = {c: F.when(take, got[c]).otherwise(p[c]) for c in (f"asset{side}", f"amount{side}", f"rawAmount{side}")}
-            p = F.struct(*[(values.get(c, p[c])).alias(c) for c in rows.columns])
+            p = F.struct(*[(values.get(c, p[c])).alias(c) for c in columns])
         return p
 
     internal = F.filter("subs", lambda s: s["type"].isin(*dims.INTERNAL_TYPES))
     shown = F.filter("subs", lambda s: ~s["type"].isin(*dims.INTERNAL_TYPES))
     return groups.select(
+        *within,
         "first_seq",
         F.col("primary.txID").alias("txID"),
         filled(F.col("primary")).alias("primary"),
