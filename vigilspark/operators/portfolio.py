@@ -172,8 +172,10 @@ def thinned(snapshots: DataFrame, ts: str, minutes: int = 10) -> DataFrame:
     return snapshots.withColumn("__w", F.window(ts, f"{minutes} minutes")["start"]).groupBy("__w").agg(F.min_by(F.struct(*snapshots.columns), ts).alias("s")).select("s.*")
 
 
-def contract_state(models: DataFrame, schema: str, defaults: dict[str, Column]) -> DataFrame:
-    """One row of a contract's state: of base64 JSON models (pos, value) the first that decodes, with defaults."""
+def contract_state(models: DataFrame, schema: str, defaults: dict[str, Column], *contract: str) -> DataFrame:
+    """One row of a contract's state: of base64 JSON models (pos, value) the first that decodes, with defaults; one for each
+    contract where columns name it."""
     got = nested.base64_json(F.col("value"), schema)
-    first = models.select("pos", got.alias("s")).filter(F.col("s").isNotNull() & F.coalesce(*[F.col(f"s.{k}").cast("string") for k in defaults]).isNotNull()).agg(F.min_by("s", "pos").alias("s"))
-    return first.select(*[F.coalesce(F.col(f"s.{k}"), d).alias(k) for k, d in defaults.items()])
+    found = models.select(*contract, "pos", got.alias("s")).filter(F.col("s").isNotNull() & F.coalesce(*[F.col(f"s.{k}").cast("string") for k in defaults]).isNotNull())
+    first = found.groupBy(*contract).agg(F.min_by("s", "pos").alias("s"))
+    return first.select(*contract, *[F.coalesce(F.col(f"s.{k}"), d).alias(k) for k, d in defaults.items()])

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigilspark.plans import boards, catalog, formats, histories, relations, scalars, screening, services, stored, streams, values
+from vigilspark.plans import boards, catalog, feedback, formats, histories, relations, scalars, screening, services, stored, streams, values
 
-MODULES = (screening, relations, formats, boards, values, histories, scalars, services, stored, streams)
+MODULES = (screening, relations, feedback, formats, boards, values, histories, scalars, services, stored, streams)
 QUERIES, ORACLES = catalog.QUERIES, catalog.ORACLES
 
 
