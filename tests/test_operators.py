@@ -7,6 +7,7 @@ import json
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from vigilspark.functions import codecs, nested, numbers, text, times
@@ -127,7 +128,12 @@ def test_paged_source_follows_cursors(spark, tmp_path):
     (folder / "0.json").write_text(json.dumps({"items": [{"n": 1}, {"n": 2}], "next": "c"}))
     (folder / "c.json").write_text(json.dumps({"items": [{"n": 3}]}))
     rows = feeds.read_pages(spark, str(tmp_path), ["addr", "absent"], "n int", pagesize="2", partial="true").collect()
-    assert sorted((r["address"], r["page"], r["n"]) for r in rows) == [("addr", 0, 1), ("addr", 0, 2), ("addr", 1, 3)]
+    assert sorted((r["address"], r["page"], r["n"]) for r in rows if r["error"] is None) == [("addr", 0, 1), ("addr", 0, 2), ("addr", 1, 3)]
+    assert [(r["address"], r["page"], r["n"]) for r in rows if r["error"]] == [("absent", 0, None)]
+    short = feeds.read_pages(spark, str(tmp_path), ["addr"], "n int", pagesize="2", maxpages="1", partial="true").collect()
+    assert [r["n"] for r in short] == [1, 2, None] and "beyond the limit of 1" in short[-1]["error"]
+    with pytest.raises(Exception, match="beyond the limit of 1"):
+        feeds.read_pages(spark, str(tmp_path), ["addr"], "n int", pagesize="2", maxpages="1").collect()
 
 
 def test_csv_and_json_sinks_read_back(spark, tmp_path):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from vigilspark.functions import nested, numbers, text
 from vigilspark.operators import dashboards, dims, history, portfolio, relational, screening
-from vigilspark.sources import exports, feeds
+from vigilspark.sources import exports, feeds, storage
 
 #: What a sync changes in an entry that is listed already, by source.
 UPDATES = {"OFAC": ("last_seen", "entity_name", "chain"), "EU": ("last_seen",), "HACK": ("last_seen", "entity_name", "reason"), "TETHER": ("last_seen",)}
@@ -20,8 +20,10 @@ ENTRY = ("address", "chain", "source", "entity_name", "reason", "added_at", "las
 
 
 def merge_source(entries: DataFrame, rows: DataFrame, source: str, now: Column) -> DataFrame:
-    """The entries after a sync of one source; `rows` are (address, chain, entity_name, reason), the first of an address counts."""
-    fresh = rows.dropDuplicates(["address"]).select("address", "chain", F.lit(source).alias("source"), "entity_name", "reason", now.alias("added_at"), now.alias("last_seen"))
+    """The entries after a sync of one source; `rows` are (address, chain, entity_name, reason); of an address the first
+    by `pos` counts where there is one, else the smallest."""
+    order = F.col("pos") if "pos" in rows.columns else F.struct("chain", "entity_name", "reason")
+    fresh = relational.first_wins(rows, ["address"], [order]).select("address", "chain", F.lit(source).alias("source"), "entity_name", "reason", now.alias("added_at"), now.alias("last_seen"))
     return relational.upsert(entries.select(*ENTRY), fresh, ["address", "source"], UPDATES[source])
 
 
@@ -125,6 +127,38 @@ def history_report(actions: DataFrame, balances: DataFrame, contracts: DataFrame
     )
 
 
+#: Transactions or groups of one page of a report.
+PAGE = 500
+
+
+def history_reports(actions: DataFrame, contracts: DataFrame, user: str = "user", start: str | None = None, end: str | None = None, live: bool = False, reveal: bool = False, now: Column | None = None, size: int = PAGE) -> tuple[DataFrame, DataFrame]:
+    """Reports of all users at once, from actions with the column `user`: the reports (report_id, address, ..., tx_count,
+    group_count, pages) and their pages (address, kind, page, rows, data), data being JSON of at most `size` transactions or
+    groups in order. No task holds more of a history than a page, however long it is."""
+    now = now if now is not None else F.current_timestamp()
+    rows = history.fill_siblings(history.parse_actions(actions, contracts, user), within=(user,))
+    if start:
+        rows = history.in_dates(rows, "date", F.lit(start), None)
+    if end and not live:
+        rows = rows.filter(~text.missing(F.col("date")) & (F.col("date") <= end))
+    rows = storage.stored(rows, "report-rows")
+    groups = history.grouped(rows, F.col(user), contracts, (user,))
+    cells = [c for c in rows.columns if c not in ("seq", user)]
+    kinds = (("transactions", rows, "seq", F.struct(*[F.col(f"`{c}`") for c in cells])), ("groups", groups, "first_seq", F.struct("primary", "subActions", "internalCount", "txID")))
+    pages = None
+    for kind, part, order, cell in kinds:
+        made = relational.numbered(part.select(user, order, cell.alias("cell")), [order], (user,))
+        made = made.groupBy(F.col(user).alias("address"), F.floor(F.col("index") / size).cast("int").alias("page")).agg(F.count("*").alias("rows"), F.transform(F.sort_array(F.collect_list(F.struct(order, "cell"))), lambda x: x["cell"]).alias("cells"))
+        made = made.select("address", F.lit(kind).alias("kind"), "page", "rows", F.to_json("cells", {"ignoreNullFields": "false"}).alias("data"))
+        pages = made if pages is None else pages.unionByName(made)
+    pages = storage.stored(pages, "report-pages")
+    count = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("rows"))), F.lit(0))
+    when = lambda x: F.lit(x).cast("timestamp")
+    reports = pages.groupBy("address").agg(count("transactions").alias("tx_count"), count("groups").alias("group_count"), F.count("*").alias("pages"))
+    reports = reports.select(exports.public_id(F.col("address"), now.cast("string")).alias("report_id"), "address", when(start).alias("date_from"), when(end).alias("date_to"), F.lit(live).alias("include_new"), F.lit(reveal).alias("reveal_wallet"), "tx_count", "group_count", "pages", now.alias("created_at"))
+    return reports, pages
+
+
 def shown_report(reports: DataFrame, asked: str) -> DataFrame:
     """A stored report as it is shown: the address only where it may be, the transactions and groups of its JSON."""
     tx = "struct<type:string,date:string,assetIn:string,amountIn:string,assetOut:string,amountOut:string,txID:string>"

@@ -50,18 +50,23 @@ def total_usd(rows: DataFrame) -> DataFrame:
     return rows.agg(F.coalesce(F.sum("usd"), F.lit(0.0)).alias("usd"))
 
 
-def transfers(txs: DataFrame) -> DataFrame:
+def transfers(txs: DataFrame, recipient: str | None = None, sender: str | None = None) -> DataFrame:
     """(txhash, recipient, sender, amount, denom) of transfer events; each hash counts once.
 
     Events stand in `events`, or in `logs` where there are none there. Attribute keys and values may be base64; of a
-    repeated key the last value counts. One row for each coin.
+    repeated key the last value counts. One row for each coin. A recipient or sender filters before anything is shuffled:
+    what is left is a few strings an event, told apart by hash and place, so that a transaction that was read twice gives
+    its transfers once (copies of a hash are taken to hold the same events).
     """
-    one = txs.dropDuplicates(["txhash"])
     events = F.when(F.size(F.coalesce("events", F.array())) > 0, F.col("events")).otherwise(F.flatten(F.transform("logs", lambda x: x["events"])))
-    rows = one.select("txhash", F.explode(events).alias("e")).filter("e.type = 'transfer'")
+    rows = txs.select("txhash", F.posexplode(events).alias("place", "e")).filter("e.type = 'transfer'")
     attrs = F.transform("e.attributes", lambda a: F.struct(nested.maybe_base64(a["key"]).alias("key"), a["value"].alias("value")))
-    rows = rows.select("txhash", attrs.alias("a")).select("txhash", *[nested.maybe_base64(nested.attribute(F.col("a"), k)).alias(k) for k in ("recipient", "sender", "amount")])
-    return rows.select("txhash", "recipient", "sender", F.explode(text.coin_list(F.col("amount"), clean=False)).alias("c")).select("txhash", "recipient", "sender", F.col("c.amount").alias("amount"), F.col("c.asset").alias("denom"))
+    rows = rows.select("txhash", "place", attrs.alias("a")).select("txhash", "place", *[nested.maybe_base64(nested.attribute(F.col("a"), k)).alias(k) for k in ("recipient", "sender", "amount")])
+    for column, asked in (("recipient", recipient), ("sender", sender)):
+        if asked is not None:
+            rows = rows.filter(F.col(column) == asked)
+    one = rows.groupBy("txhash", "place").agg(F.min(F.struct("recipient", "sender", "amount")).alias("t"))
+    return one.select("txhash", "t.recipient", "t.sender", F.explode(text.coin_list(F.col("t.amount"), clean=False)).alias("c")).select("txhash", "recipient", "sender", F.col("c.amount").alias("amount"), F.col("c.asset").alias("denom"))
 
 
 def incoming(rows: DataFrame, recipient: str) -> DataFrame:

@@ -65,21 +65,32 @@ def soft_delete(target: DataFrame, condition: Column, flag: str = "active") -> D
     return update_where(target, condition, {flag: F.lit(False)})
 
 
-def with_new_ids(target: DataFrame, rows: DataFrame, order: list[Column | str], name: str = "id") -> DataFrame:
-    """Rows numbered on from the target's greatest id, without a gap.
+def numbered(rows: DataFrame, order: list[Column | str], keys: tuple[str, ...] = (), name: str = "index") -> DataFrame:
+    """Rows with their place (from 0) among those of their keys, without a gap.
 
-    Rows are dealt by ranges of the order, sorted and written with their place; a row's number is its place in its
-    written part and the sizes of the parts before. Counting and numbering read the same files, so neither another
-    sample of the ranges nor adaptive execution can part them differently. Rows of equal order are spread.
+    Rows are dealt by ranges of keys and order, sorted and written with their place in their part; a row's number is that
+    place and the sizes of its key's parts before. Counting and numbering read the same files, so neither another sample
+    of the ranges nor adaptive execution can part them differently. A hot key takes many parts, and so do equal rows.
     """
-    start = F.lit(target.agg(F.coalesce(F.max(name), F.lit(0)).cast("bigint")).first()[0])
     spare = F.xxhash64(F.monotonically_increasing_id())
-    dealt = rows.withColumn("__spare", spare).repartitionByRange(*order, "__spare").sortWithinPartitions(*order, "__spare").drop("__spare")
+    by = [*keys, *order, "__spare"]
+    dealt = rows.withColumn("__spare", spare).repartitionByRange(*by).sortWithinPartitions(*by).drop("__spare")
     held = storage.stored(dealt.withColumn("__place", F.monotonically_increasing_id()), "numbered").withColumn("__part", F.shiftright("__place", 33))
-    before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))  # one row a part
-    parts = held.groupBy("__part").agg(F.count("*").alias("__n"), F.min("__place").alias("__first"))
-    parts = storage.stored(parts.select("__part", (F.coalesce(before, F.lit(0)) - F.col("__first") + 1).alias("__shift")), "numbered-parts")
-    return held.join(parts, "__part").withColumn(name, start + F.col("__place") + F.col("__shift")).drop("__part", "__place", "__shift")
+    # one row for each part and key
+    before = F.sum("__n").over((Window.partitionBy(*keys) if keys else Window).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = held.groupBy(*keys, "__part").agg(F.count("*").alias("__n"), F.min("__place").alias("__first"))
+    parts = storage.stored(parts.select(*keys, "__part", (F.coalesce(before, F.lit(0)) - F.col("__first")).alias("__shift")), "numbered-parts")
+    on = F.col("l.__part") == F.col("r.__part")
+    for k in keys:
+        on = on & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
+    met = held.alias("l").join(parts.alias("r"), on)
+    return met.select(*[F.col(f"l.`{c}`") for c in rows.columns], (F.col("l.__place") + F.col("r.__shift")).alias(name))
+
+
+def with_new_ids(target: DataFrame, rows: DataFrame, order: list[Column | str], name: str = "id") -> DataFrame:
+    """Rows numbered on from the target's greatest id, without a gap."""
+    start = target.agg(F.coalesce(F.max(name), F.lit(0)).cast("bigint")).first()[0]
+    return numbered(rows, order, (), "__index").withColumn(name, F.col("__index") + F.lit(start + 1)).drop("__index")
 
 
 def holders(rows: DataFrame, others: DataFrame, key: str, other_key: str) -> DataFrame:

@@ -19,14 +19,14 @@ def one_entry_per_address(entries: DataFrame, address: str = "address", order: l
 def screen_edges(edges: DataFrame, entries: DataFrame, lower: tuple[str, ...] = text.LOWER_SCREENING, oracle: DataFrame | None = None) -> DataFrame:
     """Edges with their match: (user, address, chain, source, entity_name, reason).
 
-    One match for each edge. `oracle` (address, entity_name) is asked for edges on chains with one form of address that
+    One match for each edge. `oracle` (address, entity_name; of several names the first by `pos`, or the smallest) is asked for edges on chains with one form of address that
     have no listed match.
     """
     listed = one_entry_per_address(entries.withColumn("__key", text.normalize_address(F.col("address"), F.col("chain"), lower)), "__key")
     keyed = edges.withColumn("__key", text.normalize_address(F.col("l1_address"), F.col("chain"), lower))
     hits = keyed.join(listed.select("__key", "source", "entity_name", "reason"), "__key", "left" if oracle is not None else "inner")
     if oracle is not None:
-        asked = oracle.groupBy(F.lower("address").alias("__key")).agg(F.first("entity_name").alias("__name"))
+        asked = oracle.groupBy(F.lower("address").alias("__key")).agg((F.min_by("entity_name", "pos") if "pos" in oracle.columns else F.min("entity_name")).alias("__name"))
         hits = hits.join(asked, "__key", "left").withColumns(
             {
                 "entity_name": F.coalesce("entity_name", F.when(F.col("chain").isin(*lower), F.col("__name"))),
@@ -127,7 +127,7 @@ def merge_frozen(existing: DataFrame, baseline: DataFrame, *feeds: DataFrame, re
     frozen = R.first_wins(all_, ["chain", "__k"], ["__o", "address"])
     address = text.normalize_address(F.col("address"), F.col("chain"), text.LOWER_FEEDS)
     cells = {"address": address, "chain": F.col("chain"), "source": F.lit(source), "entity_name": F.lit("Tether Frozen"), "reason": F.concat(F.lit("USDT blacklisted address ("), "chain", F.lit(")")), "added_at": now, "last_seen": now}
-    fresh = frozen.select(*[cells[c].alias(c) for c in existing.columns]).dropDuplicates(["address", "source"])
+    fresh = R.first_wins(frozen.select(*[cells[c].alias(c) for c in existing.columns]), ["address", "source"], ["chain"])
     merged = R.upsert(existing, fresh, ["address", "source"], ["last_seen"])
     if removed is None:
         return merged

@@ -140,7 +140,7 @@ def _values(rows: list[tuple]) -> str:
     return ", ".join("(" + ", ".join(map(quoted, r)) + ")" for r in rows)
 
 
-def _contract_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def contract_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as actions of all contract events, with known contracts among senders, recipients and later legs."""
     k = F.col("o_orderkey")
     pick = lambda xs, at: F.get(F.array(*[F.lit(x) for x in xs]), at.cast("int"))
@@ -180,7 +180,7 @@ def _other_side_sql(asset: str, name: str) -> str:
 
 _N = len(fixed_lists.CONTRACTS)
 _KINDS = [(i, kind := dims.CONTRACT_TYPES.get(e, "contract"), "unknown" if e not in dims.CONTRACT_TYPES else _class_of(kind), dims.PRIORITIES.get(kind, dims.OTHER_PRIORITY), dims.CATEGORIES.get(kind, ""), dims.TAX_LABELS.get(kind, ""), int(kind in dims.INTERNAL_TYPES)) for i, e in enumerate(_EVENTS)]
-#: The history rows of `_contract_actions`, decoded by event class.
+#: The history rows of `contract_actions`, decoded by event class.
 _DECODED = f"""c AS (SELECT * FROM (VALUES {_values([(i, *r[:2], r[3]) for i, r in enumerate(fixed_lists.CONTRACTS)])}) v(i, address, category, name)),
 kinds AS (SELECT * FROM (VALUES {_values(_KINDS)}) v(i, type, cls, prio, group_name, label, internal)),
 o AS (SELECT o_orderkey AS k, o_custkey, 'thor' || o_custkey AS account, o_orderkey % 7 = 0 AS s_known, o_orderkey % 11 = 0 AS r_known, o_orderkey % 13 = 0 AS t_known FROM orders),
@@ -212,7 +212,7 @@ def _raw(column: str) -> F.Column:
 def history_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Actions of all contract events with the known contracts, from the view of one user: decoded, named, with priority, category and tax label."""
     known = fixed_lists.contracts(spark)
-    rows = H.with_priority(H.parse_actions(_contract_actions(spark, sf_dir), known), F.lit(_USER), known)
+    rows = H.with_priority(H.parse_actions(contract_actions(spark, sf_dir), known), F.lit(_USER), known)
     category = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in dims.CATEGORIES.items() for x in kv]), F.col("type")), F.lit(""))
     return rows.select("seq", "type", F.col("assetIn").alias("asset_in"), _raw("rawAmountIn").alias("raw_in"), F.col("assetOut").alias("asset_out"), _raw("rawAmountOut").alias("raw_out"), F.col("from").alias("sender"), F.col("to").alias("receiver"), F.col("fromLabel").alias("from_label"), F.col("toLabel").alias("to_label"), F.col("contractName").alias("contract_name"), F.col("contractCategory").alias("contract_category"), "priority", category.alias("category"), H.tax_label(F.col("type")).alias("label"))
 
@@ -220,7 +220,7 @@ def history_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_DECODED} SELECT group_name AS category, count(*) AS n FROM h WHERE group_name <> '' GROUP BY 1""")
 def history_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The decoded rows by category of the dimension."""
-    return H.category_counts(H.parse_actions(_contract_actions(spark, sf_dir), fixed_lists.contracts(spark)))
+    return H.category_counts(H.parse_actions(contract_actions(spark, sf_dir), fixed_lists.contracts(spark)))
 
 
 #: Groups of each account's transactions, their primary rows filled from sub-actions.
@@ -239,7 +239,7 @@ CAST(CASE WHEN need_out AND fill_out IS NOT NULL THEN fill_out.raw ELSE raw_out
 def history_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every customer's transactions, grouped from their own view, with primaries that are filled from sub-actions."""
     known = fixed_lists.contracts(spark)
-    rows = H.parse_actions(_contract_actions(spark, sf_dir), known, "user")
+    rows = H.parse_actions(contract_actions(spark, sf_dir), known, "user")
     groups = H.grouped(rows, F.col("user"), known, ("user",))
     p = lambda c: F.col(f"primary.{c}")
     return groups.select(F.col("user").alias("account"), F.col("txID").alias("tx"), "first_seq", p("type").alias("type"), p("assetIn").alias("asset_in"), p("assetOut").alias("asset_out"), _raw("primary.rawAmountOut").alias("raw_out"), F.size("subActions").alias("visible"), F.col("internalCount").alias("internal"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilspark.operators import fixed_lists, geo, history, jobs, portfolio
+from vigilspark.plans import histories
 from vigilspark.plans.catalog import query, table
 
 _NOW = "TIMESTAMP '2024-01-30 00:00:00'"
@@ -38,14 +39,23 @@ def overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("users", "flagged", "users_24h", "flagged_24h", "entries", "tether", "entries_24h", "links", "links_24h")
 
 
-@query(f"""WITH i AS (SELECT * FROM (VALUES {", ".join(str(tuple(r)) for r in fixed_lists.INCIDENTS)}) v(address, chain, incident, usd, day, who)), k AS (SELECT * FROM i WHERE day < '2023-01-01')
-SELECT CASE WHEN chain = 'ETH' THEN lower(address) ELSE address END AS address, chain, incident AS entity_name,
-  CASE WHEN day < '2023-01-01' THEN incident || ' (' || who || ')' ELSE incident || ' — est. $' || format('{{:,}}', usd) || ' (' || who || ')' END AS reason FROM i""")
+_INCIDENTS = ", ".join(str((k, *r)) for k, r in enumerate(fixed_lists.INCIDENTS))
+
+
+@query(f"""WITH i AS (SELECT *, CASE WHEN chain = 'ETH' THEN lower(address) ELSE address END AS a FROM (VALUES {_INCIDENTS}) v(k, address, chain, incident, usd, day, who)),
+l AS (SELECT event_id, event_type, CASE WHEN event_type = 'click' THEN event_id % 40 END AS k, CAST(event_id AS VARCHAR) AS own FROM events), known AS (SELECT DISTINCT k FROM l WHERE k < {len(fixed_lists.INCIDENTS)} AND event_id % 3 = 0),
+s AS (SELECT a AS address, chain, incident AS entity_name, CASE WHEN known.k IS NULL THEN incident || ' — est. $' || format('{{:,}}', usd) || ' (' || who || ')' ELSE incident || ' (' || who || ')' END AS reason, 'HACK' AS source FROM i LEFT JOIN known USING (k))
+SELECT address, chain, entity_name, reason, source FROM s UNION ALL SELECT own, 'BTC', 'e', 'r', 'EU' FROM l WHERE event_type = 'view'""")
 def incident_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The curated incidents synced twice: those before 2023 are listed already."""
-    known, now = fixed_lists.incidents(spark), F.expr(_NOW)
-    listed = jobs.sync_incidents(_entries(spark, sf_dir).limit(0), known.filter("date < '2023-01-01'"), now)
-    return jobs.sync_incidents(listed, known, now).select("address", "chain", "entity_name", "reason")
+    """The curated incidents synced into entries made of events: clicks name some incidents that are listed already, views are entries of another list."""
+    now = F.expr(_NOW)
+    known = fixed_lists.incidents(spark).withColumn("address", F.when(F.col("chain") == "ETH", F.lower("address")).otherwise(F.col("address")))
+    order = {r[0].lower() if r[1] == "ETH" else r[0]: k for k, r in enumerate(fixed_lists.INCIDENTS)}
+    number = F.try_element_at(F.create_map(*[F.lit(x) for kv in order.items() for x in kv]), F.col("address"))
+    named = table(spark, sf_dir, "events").filter("event_type = 'click' AND event_id % 3 = 0").select((F.col("event_id") % 40).cast("int").alias("k")).distinct()
+    listed = known.withColumn("k", number).join(named, "k", "left_semi").select("address", "chain", F.lit("HACK").alias("source"), F.lit("old").alias("entity_name"), F.lit("old").alias("reason"), now.alias("added_at"), now.alias("last_seen"))
+    entries = _entries(spark, sf_dir).filter("source = 'EU'").select(*listed.columns).unionByName(listed)
+    return jobs.sync_incidents(entries, fixed_lists.incidents(spark), now).select("address", "chain", "entity_name", "reason", "source")
 
 
 @query(f"""WITH b AS (SELECT * FROM (VALUES {", ".join(str(r) for r in fixed_lists.FROZEN)}) v(address, chain)), s AS (SELECT 'T' || s_suppkey AS address, 'TRX' AS chain, s_suppkey AS k FROM supplier)
@@ -59,15 +69,21 @@ def frozen_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("address", "chain", "reason")
 
 
-@query("""SELECT event_type AS kind, coalesce(CASE event_type WHEN 'view' THEN 'view' END, event_type) AS label FROM events GROUP BY event_type UNION ALL SELECT * FROM (VALUES ('swap', 'Swap'), ('calc-internal', 'DCA (step)')) v(kind, label)""")
+@query(f"""WITH {histories._DECODED}, t AS (SELECT * FROM (VALUES {", ".join(str(kv) for kv in fixed_lists.TYPE_LABELS.items())}) v(kind, label)) SELECT type AS kind, coalesce(t.label, type) AS label, count(*) AS n FROM h LEFT JOIN t ON t.kind = type GROUP BY ALL""")
 def type_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kinds = table(spark, sf_dir, "events").select(F.col("event_type").alias("kind")).distinct()
-    return kinds.unionByName(spark.createDataFrame([("swap",), ("calc-internal",)], ["kind"])).select("kind", history.type_label(F.col("kind")).alias("label"))
+    """The display names of the types that actions have."""
+    rows = history.parse_actions(histories.contract_actions(spark, sf_dir), fixed_lists.contracts(spark))
+    return rows.groupBy(F.col("type").alias("kind"), history.type_label(F.col("type")).alias("label")).agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH c AS (SELECT * FROM (VALUES {", ".join(str(r) for r in fixed_lists.CONTRACTS)}) v(address, category, product, name, role)) SELECT category, count(*) AS n, min(name) AS first_name FROM c GROUP BY category""")
+@query(f"""WITH {histories._DECODED}, l AS (SELECT k, f.address AS a FROM o JOIN c f ON s_known AND f.i = k % {histories._N} UNION SELECT k, t.address FROM o JOIN c t ON r_known AND t.i = k // 11 % {histories._N} UNION SELECT k, x.address FROM o JOIN c x ON t_known AND x.i = k * 3 % {histories._N})
+SELECT category, count(*) AS actions, count(DISTINCT a) AS contracts, min(name) AS first_name FROM l JOIN c ON c.address = a GROUP BY category""")
 def known_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixed_lists.contracts(spark).groupBy("category").agg(F.count("*").alias("n"), F.min("name").alias("first_name"))
+    """The known contracts that actions name among their senders and recipients, by category."""
+    actions = histories.contract_actions(spark, sf_dir)
+    legs = F.array_distinct(F.transform(F.concat("`in`", "`out`"), lambda x: x["address"]))
+    named = actions.select(F.explode(legs).alias("address")).join(fixed_lists.contracts(spark), "address")
+    return named.groupBy("category").agg(F.count("*").alias("actions"), F.count_distinct("address").alias("contracts"), F.min("name").alias("first_name"))
 
 
 @query("""WITH p AS (SELECT c_custkey, c_custkey * 37 % 3600 / 10.0 - 179.95 AS lon, c_custkey * 53 % 1800 / 10.0 - 89.95 AS lat FROM customer), n AS (SELECT n_nationkey, n_nationkey * 12 - 150.0 AS x, n_regionkey * 30 - 60.0 AS y FROM nation)

@@ -48,7 +48,7 @@ def balances_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.merged_balances(rows).withColumn("total", F.col("total").cast("bigint"))
 
 
-def _transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _transfers(spark: SparkSession, sf_dir: str, **asked: str) -> DataFrame:
     """Line items as transfer events: one hash each, an attribute list with a repeated key, coins as text."""
     line = table(spark, sf_dir, "lineitem")
     coins = F.concat((F.col("l_quantity") * 100_000_000).cast("bigint").cast("string"), F.lit("thor.a"), (F.col("l_partkey") % 5).cast("string"), F.lit(",7"))
@@ -56,7 +56,7 @@ def _transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
     attrs = F.array(attr("recipient", F.lit("nobody")), attr("recipient", F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))), attr("sender", F.concat(F.lit("o"), (F.col("l_orderkey") % 10).cast("string"))), attr("amount", coins))
     hash_ = F.sha1(F.concat_ws("|", *line.columns))
     events = F.array(F.struct(F.lit("transfer").alias("type"), attrs.alias("attributes")))
-    return P.transfers(line.select(hash_.alias("txhash"), events.alias("events"), F.array(F.struct(events.alias("events"))).alias("logs")))
+    return P.transfers(line.select(hash_.alias("txhash"), events.alias("events"), F.array(F.struct(events.alias("events"))).alias("logs")), **asked)
 
 
 _DISTINCT = "(SELECT DISTINCT * FROM lineitem)"
@@ -64,13 +64,13 @@ _DISTINCT = "(SELECT DISTINCT * FROM lineitem)"
 
 @query(f"SELECT 'a' || (l_partkey % 5) AS asset, sum(l_quantity) AS amount FROM {_DISTINCT} WHERE l_suppkey = 3 GROUP BY 1")
 def transfers_by_recipient(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.incoming(_transfers(spark, sf_dir), "s3")
+    return P.incoming(_transfers(spark, sf_dir, recipient="s3"), "s3")
 
 
 @query(f"SELECT 'a' || (l_partkey % 5) AS asset, sum(l_quantity) AS amount FROM {_DISTINCT} WHERE l_orderkey % 10 = 4 AND l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 2000) GROUP BY 1")
 def transfers_to_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     wallets = table(spark, sf_dir, "supplier").filter("s_acctbal < 2000").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("address"))
-    return P.sent_to_set(_transfers(spark, sf_dir), "o4", wallets)
+    return P.sent_to_set(_transfers(spark, sf_dir, sender="o4"), "o4", wallets)
 
 
 @query("""SELECT l_returnflag, round(sum(CASE WHEN l_discount > 0 THEN l_tax / (l_discount * 100 / 10000) END), 4) AS volume FROM lineitem GROUP BY 1""")

@@ -98,8 +98,9 @@ class _Address(InputPartition):
 class PagedReader(DataSourceReader):
     """Reads the pages of each address in turn; addresses are read in parallel.
 
-    A page is JSON with `items` and, where there is a next page, `next`. A short page or the page limit ends an address.
-    With `partial`, an address that can't be read gives no rows instead of failing the job.
+    A page is JSON with `items` and, where there is a next page, `next`. A short page ends an address. An address that can't
+    be read, or has pages beyond the limit, fails the job; with `partial` it ends with a row that says so in `error`.
+    See `endpoints` for a stream that resumes.
     """
 
     def __init__(self, options: dict[str, str]) -> None:
@@ -117,36 +118,41 @@ class PagedReader(DataSourceReader):
             try:
                 with open(f"{self.root}/{partition.name}/{cursor}.json", encoding="utf-8") as f:
                     got = json.loads(with_retry(f.read))
-            except OSError:
-                if self.partial:
-                    return
-                raise
+            except OSError as e:
+                if not self.partial:
+                    raise
+                yield partition.name, page, None, None, str(e)
+                return
             for i, item in enumerate(got["items"]):
-                yield partition.name, page, i, json.dumps(item)
+                yield partition.name, page, i, json.dumps(item), None
             cursor = got.get("next")
             if cursor is None or len(got["items"]) < self.size:
                 return
+        message = f"{partition.name} has pages beyond the limit of {self.limit}"
+        if not self.partial:
+            raise ValueError(message)
+        yield partition.name, self.limit, None, None, message
 
 
 class PagedSource(DataSource):
-    """spark.read.format("paged"): rows (address, page, pos, item) of cursor-paged endpoints."""
+    """spark.read.format("paged"): rows (address, page, pos, item, error) of cursor-paged endpoints."""
 
     @classmethod
     def name(cls) -> str:
         return "paged"
 
     def schema(self) -> str:
-        return "address string, page int, pos int, item string"
+        return "address string, page int, pos int, item string, error string"
 
     def reader(self, schema) -> PagedReader:
         return PagedReader(self.options)
 
 
 def read_pages(spark: SparkSession, path: str, addresses: list[str], schema: str, **options: str) -> DataFrame:
-    """Items of paged endpoints, parsed: (address, page, pos, and the item's fields)."""
+    """Items of paged endpoints, parsed: (address, page, pos, error, and the item's fields)."""
     spark.dataSource.register(PagedSource)
     rows = spark.read.format("paged").option("path", path).option("addresses", ",".join(addresses)).options(**options).load()
-    return rows.select("address", "page", "pos", F.from_json("item", schema).alias("i")).select("address", "page", "pos", "i.*")
+    return rows.select("address", "page", "pos", "error", F.from_json("item", schema).alias("i")).select("address", "page", "pos", "error", "i.*")
 
 
 def read_actions(spark: SparkSession, path: str, schema) -> DataFrame:
