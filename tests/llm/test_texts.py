@@ -372,6 +372,113 @@ def test_damaged_streams_are_told():
             media.demux(broken)
 
 
+def plain_crc(data):
+    """Bit by bit over the whole message."""
+    crc = [1] * 32
+    for byte in data:
+        for k in range(7, -1, -1):
+            top = crc[0] ^ (byte >> k & 1)
+            crc = crc[1:] + [0]
+            if top:
+                crc = [a ^ (0x04C11DB7 >> (31 - i) & 1) for i, a in enumerate(crc)]
+    return int("".join(map(str, crc)), 2).to_bytes(4, "big")
+
+
+def plain_stream(payload):
+    """Packet by packet, as bits of text: tables before each eighth unit, units of 4096 bytes 3600 ticks apart."""
+    def packed(*fields):
+        bits = "".join(f"{v:0{n}b}" for v, n in fields)
+        return int(bits, 2).to_bytes(len(bits) // 8, "big")
+
+    def table(pid, counter, ident, body):
+        section = packed((ident, 8), (0b1011, 4), (len(body) + 9, 12), (1, 16), (0b11, 2), (0, 5), (1, 1), (0, 8), (0, 8)) + body
+        packet = packed((0x47, 8), (0, 1), (1, 1), (0, 1), (pid, 13), (0, 2), (1, 2), (counter % 16, 4)) + b"\0" + section + plain_crc(section)
+        return packet + b"\xff" * (188 - len(packet))
+
+    out, counter, tables = b"", 0, 0
+    for n in range(0, len(payload), 4096):
+        number, unit = n // 4096, payload[n : n + 4096]
+        ticks = 3600 * number
+        if number % 8 == 0:
+            out += table(0, tables, 0, packed((1, 16), (7, 3), (256, 13)))
+            out += table(256, tables, 2, packed((7, 3), (257, 13), (15, 4), (0, 12), (6, 8), (7, 3), (257, 13), (15, 4), (0, 12)))
+            tables += 1
+        stamp = packed((2, 4), (ticks >> 30, 3), (1, 1), (ticks >> 15 & 0x7FFF, 15), (1, 1), (ticks & 0x7FFF, 15), (1, 1))
+        left = packed((1, 24), (0xBD, 8), (len(unit) + 8, 16), (0b10, 2), (0, 3), (1, 1), (0, 2), (0b10, 2), (0, 6), (5, 8)) + stamp + unit
+        first = True
+        while left:
+            clock = b"\x50" + packed((ticks, 33), (63, 6), (0, 9)) if first and number % 8 == 0 else b""
+            room = 184 - (len(clock) + 1 if clock else 0)
+            part, left = left[:room], left[room:]
+            stuffing = 184 - len(part)
+            adapted = stuffing > 0
+            head = packed((0x47, 8), (0, 1), (int(first), 1), (0, 1), (257, 13), (0, 2), (int(adapted), 1), (1, 1), (counter % 16, 4))
+            if adapted:
+                size = stuffing - 1
+                head += bytes([size]) + (((clock or b"\0") + b"\xff" * size)[:size])
+            out += head + part
+            counter, first = counter + 1, False
+    return out
+
+
+@pytest.mark.parametrize("size", [64, 128, 4032, 4096, 4160, 40_000, 70_016])
+def test_streams_equal_plain_ones(size):
+    payload = random.Random(size).randbytes(size)
+    assert media.mux(payload) == plain_stream(payload)
+
+
+def test_what_the_format_allows_and_what_it_does_not():
+    payload = media.padded(b"word " * 3000)
+    raw = media.mux(payload)
+    cut = [raw[i : i + 188] for i in range(0, len(raw), 188)]
+    at = next(i for i, p in enumerate(cut) if p[1] & 0x1F == 1 and p[2] == 1 and not p[1] & 0x40 and not p[3] & 0x20)
+    joined = lambda *parts: b"".join(x for p in parts for x in p)
+    whole = lambda media_: next(iter(media.demux(media_).values())).payload
+    assert whole(joined(cut[: at + 1], [cut[at]], cut[at + 1 :])) == payload  # a packet twice in a row
+    jumped = []
+    for p in cut:
+        if p[1] & 0x1F == 1 and p[2] == 1:
+            p = p[:3] + bytes([p[3] & 0xF0 | (p[3] + 5 & 15 if jumped and any(j[2] == 1 and j[1] & 0x1F == 1 for j in jumped) else p[3] & 15)]) + p[4:]
+        jumped.append(p)
+    second = [i for i, p in enumerate(jumped) if p[1] & 0x1F == 1 and p[2] == 1][1]
+    with pytest.raises(ValueError, match=f"packet {second}: continuity"):
+        media.demux(joined(jumped))
+    starts = [i for i, p in enumerate(cut) if p[1] & 0x5F == 0x41 and p[2] == 1]
+    flagged = [p[:5] + bytes([p[5] | 0x80]) + p[6:] if i == starts[0] else p for i, p in enumerate(cut)]
+    assert whole(joined(flagged)) == payload
+    for broken, message in (
+        (joined(cut[at + 1 :]), "continuity|missing|no stream"),
+        (joined([p for i, p in enumerate(cut) if i != starts[0]]), "missing|continuity"),
+        (joined(cut[:2]), "no stream"),
+        (b"", "whole number"),
+        (joined(cut[: at + 1], [cut[at]] * 2, cut[at + 1 :]), "continuity"),
+        (joined(cut[:1], [cut[1][:3] + b"\x30" + b"\xff" + cut[1][5:]], cut[2:]), "adaptation"),
+        (joined([cut[0][:4] + b"\xff" + cut[0][5:]], cut[1:]), "damaged program table"),
+    ):
+        with pytest.raises(ValueError, match=message):
+            media.demux(broken)
+    rng = random.Random(2)
+    for _ in range(400):
+        noise = bytearray(raw)
+        for _ in range(rng.randrange(1, 4)):
+            noise[rng.randrange(len(noise))] = rng.randrange(256)
+        try:
+            media.demux(bytes(noise[: rng.randrange(0, len(noise) + 1)]))
+        except ValueError as e:
+            assert str(e).startswith("packet ")
+
+
+def test_stream_digests_of_stored_streams(spark):
+    texts = ["abc", "ä" * 40_000, None, "x" * 3_000_000]
+    got = {r["doc_id"]: r for r in media.stream_digests(media.stored_streams(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()}
+    for k, t in enumerate(texts):
+        payload = media.padded((t or "").encode())
+        raw, units = plain_stream(payload), -(-len(payload) // 4096)
+        assert (got[k]["media_bytes"], got[k]["media_sha256"]) == (len(raw), hashlib.sha256(raw).hexdigest())
+        assert got[k]["pts"] == [3600 * i for i in range(units)] and got[k]["random_access"] == [3600 * i for i in range(0, units, 8)]
+        assert got[k]["feature"] == f"units={units};access={-(-units // 8)};pts=0-{3600 * (units - 1)};sum={sum(payload)};high={sum(b > 127 for b in payload)}"
+
+
 def test_stream_digests(spark):
     texts = [None, "", "abc", "ä" * 5000, "abc"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("media", F.lit("clash"))

@@ -3,16 +3,18 @@
 A payload is stored as one program of 188-byte packets: program tables (PAT and PMT with their checksums) before each
 random-access point, and elementary packets with presentation timestamps. Reading parses the tables, checks the
 continuity counters, reassembles the elementary packets of every stream that the tables list, and gives timestamps with
-the random-access points.
+the random-access points. A packet may come twice in a row, and a counter may jump where the stream says so (the
+discontinuity flag), as the format allows.
 
 Defined cases: a null text is an empty payload; the payload is padded with bytes 0 to a positive multiple of 64; equal
-payloads give equal streams; a damaged stream raises ValueError naming the packet; an empty table gives no rows; other
-columns are ignored.
+payloads give equal streams; a damaged, empty or incomplete stream raises ValueError naming the packet; an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -123,8 +125,9 @@ class Stream:
 
 
 def _checked(section: bytes, table: int, at: int) -> bytes:
+    """The body of a program table in one packet."""
     size = 3 + (int.from_bytes(section[1:3], "big") & 0xFFF)
-    if section[0] != table or psi_crc(section[: size - 4]) != int.from_bytes(section[size - 4 : size], "big"):
+    if size < 12 or size > len(section) or section[0] != table or psi_crc(section[: size - 4]) != int.from_bytes(section[size - 4 : size], "big"):
         raise ValueError(f"packet {at}: damaged program table")
     return section[8 : size - 4]
 
@@ -136,54 +139,74 @@ def _unit(parts: list[bytes], into: Stream, access: bool, at: int) -> None:
     size = int.from_bytes(pes[4:6], "big") + 6
     if len(pes) != size:
         raise ValueError(f"packet {at}: an elementary packet of {size} bytes has {len(pes)}")
+    head = 9 + pes[8]
+    if head > size or pes[7] & 0x80 and head < 14:
+        raise ValueError(f"packet {at}: the header of an elementary packet is cut off")
     p = pes[9:14]
     into.pts.append((p[0] & 0x0E) << 29 | p[1] << 22 | (p[2] & 0xFE) << 14 | p[3] << 7 | p[4] >> 1 if pes[7] & 0x80 else -1)
     into.random_access.append(access)
-    into.units.append(pes[9 + pes[8] :])
+    into.units.append(pes[head:])
 
 
-def demux(media: bytes) -> dict[int, Stream]:
-    """The elementary streams by packet identifier."""
-    if len(media) % PACKET:
-        raise ValueError("not a whole number of packets")
-    maps: set[int] = set()
-    streams: dict[int, Stream] = {}
-    counters: dict[int, int] = {}
-    open_: dict[int, tuple[list[bytes], bool, int]] = {}
+def _packets(media: bytes) -> Iterator[tuple[int, int, bool, bool, bytes]]:
+    """(number, identifier, starts a unit, random access, payload) of each packet that has a payload, once."""
+    counters: dict[int, tuple[int, bytes]] = {}
     for n, at in enumerate(range(0, len(media), PACKET)):
         sync, hi, lo, flags = media[at : at + 4]
         if sync != SYNC or hi & 0x80:
             raise ValueError(f"packet {n}: lost synchronisation")
-        pid = (hi & 0x1F) << 8 | lo
-        start, access = at + 4, False
+        pid, start, access, jump = (hi & 0x1F) << 8 | lo, at + 4, False, False
         if flags & 0x20:
             size = media[start]
-            access = bool(size) and bool(media[start + 1] & 0x40)
+            if size > PACKET - 5:
+                raise ValueError(f"packet {n}: an adaptation field of {size} bytes")
+            access, jump = (bool(media[start + 1] & 0x40), bool(media[start + 1] & 0x80)) if size else (False, False)
             start += 1 + size
         if not flags & 0x10:
             continue
-        if (was := counters.get(pid)) is not None and flags & 15 != (was + 1) & 15:
-            raise ValueError(f"packet {n}: continuity counter {flags & 15} after {was} on {pid:#x}")
-        counters[pid] = flags & 15
         body = media[start : at + PACKET]
+        was = counters.get(pid)
+        if was is not None and not jump and flags & 15 != (was[0] + 1) & 15:
+            if flags & 15 == was[0] and body == was[1]:
+                counters[pid] = (was[0], b"")  # the one repetition that is allowed
+                continue
+            raise ValueError(f"packet {n}: continuity counter {flags & 15} after {was[0]} on {pid:#x}")
+        counters[pid] = (flags & 15, body)
+        yield n, pid, bool(hi & 0x40), access, body
+
+
+def demux(media: bytes) -> dict[int, Stream]:
+    """The elementary streams by packet identifier."""
+    if not media or len(media) % PACKET:
+        raise ValueError(f"packet {len(media) // PACKET}: not a whole number of packets")
+    maps: set[int] = set()
+    streams: dict[int, Stream] = {}
+    open_: dict[int, tuple[list[bytes], bool, int]] = {}
+    for n, pid, first, access, body in _packets(media):
         if pid in streams:
-            if hi & 0x40:
+            if first:
                 if pid in open_:
                     _unit(open_[pid][0], streams[pid], *open_[pid][1:])
                 open_[pid] = ([body], access, n)
-            else:
+            elif pid in open_:
                 open_[pid][0].append(body)
-        elif pid == PAT_PID:
-            rows = _checked(body[1 + body[0] :], 0, n)
-            maps |= {int.from_bytes(rows[i + 2 : i + 4], "big") & 0x1FFF for i in range(0, len(rows), 4) if rows[i : i + 2] != b"\x00\x00"}
-        elif pid in maps:
-            rows = _checked(body[1 + body[0] :], 2, n)
+            else:
+                raise ValueError(f"packet {n}: the start of an elementary packet is missing")
+        elif pid == PAT_PID or pid in maps:
+            if not body or 1 + body[0] >= len(body):
+                raise ValueError(f"packet {n}: damaged program table")
+            rows = _checked(body[1 + body[0] :], 0 if pid == PAT_PID else 2, n)
+            if pid == PAT_PID:
+                maps |= {int.from_bytes(rows[i + 2 : i + 4], "big") & 0x1FFF for i in range(0, len(rows), 4) if rows[i : i + 2] != b"\x00\x00"}
+                continue
             i = 4 + (int.from_bytes(rows[2:4], "big") & 0xFFF)
-            while i < len(rows):
+            while i + 5 <= len(rows):
                 streams.setdefault(int.from_bytes(rows[i + 1 : i + 3], "big") & 0x1FFF, Stream())
                 i += 5 + (int.from_bytes(rows[i + 3 : i + 5], "big") & 0xFFF)
     for pid, held in open_.items():
         _unit(held[0], streams[pid], *held[1:])
+    if not any(s.units for s in streams.values()):
+        raise ValueError(f"packet {len(media) // PACKET}: the program tables list no stream with a packet")
     return streams
 
 
@@ -208,7 +231,7 @@ def transport_streams(docs: DataFrame) -> DataFrame:
 def _parsed(batch: pa.RecordBatch) -> Iterator[tuple[bytes, Stream]]:
     for media in batch.column(2):
         raw = media.as_py()
-        yield raw, next(iter(demux(raw).values()))
+        yield raw, next(s for s in demux(raw).values() if s.units)
 
 
 def parse_streams(media: DataFrame) -> DataFrame:
@@ -227,11 +250,20 @@ def parse_streams(media: DataFrame) -> DataFrame:
     return common.pick(media, "doc_id", "n_bytes", "media").mapInArrow(run, PARSED)
 
 
-DIGEST = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+DIGEST = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, pts array<bigint>, random_access array<bigint>"
+
+
+def stored_streams(docs: DataFrame) -> DataFrame:
+    """The media table of `docs`, written in the shared folder and read back."""
+    media = transport_streams(docs)
+    path = f"{common.shared_dir(docs.sparkSession)}/media-{uuid.uuid4().hex}"
+    media.write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema(media.schema).parquet(path)
 
 
 def stream_digests(media: DataFrame) -> DataFrame:
-    """Parses stored streams in the tasks and returns only digests and a feature of each (see DIGEST)."""
+    """Parses stored streams in the tasks and returns digests, a feature, all timestamps, and the timestamps of the
+    random-access points of each (see DIGEST)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in DIGEST.split(", ")]
@@ -240,9 +272,9 @@ def stream_digests(media: DataFrame) -> DataFrame:
             for doc, n, (raw, s) in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _parsed(batch), strict=True):
                 p = s.payload
                 samples = np.frombuffer(p, np.uint8)
-                rows.append((doc, n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-BLOCK:]), len(raw), hashlib.sha256(raw).hexdigest(), f"units={len(s.units)};access={sum(s.random_access)};pts={s.pts[0]}-{s.pts[-1]};sum={int(samples.sum(dtype=np.int64))};high={int((samples > 127).sum())}"))
+                rows.append((doc, n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-BLOCK:]), len(raw), hashlib.sha256(raw).hexdigest(), f"units={len(s.units)};access={sum(s.random_access)};pts={s.pts[0]}-{s.pts[-1]};sum={int(samples.sum(dtype=np.int64))};high={int((samples > 127).sum())}", s.pts, [t for t, a in zip(s.pts, s.random_access, strict=True) if a]))
             if rows:
                 cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k in (3, 6, 7) else pa.int64()) for k, c in enumerate(cols)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k in (3, 6, 7) else pa.list_(pa.int64()) if k > 7 else pa.int64()) for k, c in enumerate(cols)], names=names)
 
     return common.pick(media, "doc_id", "n_bytes", "media").mapInArrow(run, DIGEST)

@@ -55,7 +55,7 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.stream_digests(media.transport_streams(_table(spark, sf_dir, "documents")))
+    return media.stream_digests(media.stored_streams(_table(spark, sf_dir, "documents")))
 
 
 def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
