@@ -67,6 +67,17 @@ def test_licenses_in_comments_and_running_text(spark):
     assert got == {1: "GPL-2.0", 2: "GPL-2.0,MIT", 3: "AGPL-3.0", 4: "Apache-2.0"}
 
 
+def test_two_and_three_clauses_are_told_apart(spark):
+    two, three, clause = (t for n, t in licenses.TEMPLATES if n.startswith("BSD-"))
+    lined = lambda t: "/*\n" + "".join(f" * {' '.join(t.split()[k : k + 10])}\n" for k in range(0, len(t.split()), 10)) + " */\nint x;"
+    zlib = next(t for n, t in licenses.TEMPLATES if n == "Zlib")
+    rows = [(1, two), (2, three), (3, "Intro.\n\n" + two.replace("COPYRIGHT HOLDER OR CONTRIBUTORS", "AUTHOR") + "\n\nEnd."), (4, lined(three.replace("copyright holder nor", "University nor"))), (5, next(t for n, t in licenses.TEMPLATES if n == "BSD")), (6, zlib), (7, clause)]
+    got = {r["doc_id"]: (r["license"], r["licenses"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1][0] == "BSD-2-Clause" and "BSD-3-Clause" not in got[1][1]
+    assert got[2][0] == "BSD-3-Clause" and "BSD-3-Clause" not in got[3][1] and "BSD-2-Clause" in got[3][1]
+    assert "BSD-3-Clause" in got[4][1] and got[5] == ("BSD", "BSD") and got[6][0] == "Zlib" and got[7][0] == "BSD-3-Clause"
+
+
 def test_license_sql_takes_the_same_blocks(spark, tmp_path):
     rng, made = random.Random(3), [(1000, None), (1001, "")]
     for i in range(80):
