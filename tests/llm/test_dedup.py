@@ -130,6 +130,36 @@ def test_runs_of_the_index_are_compacted(spark):
     assert len(index.runs) <= 2
 
 
+def test_runs_are_joined_without_shuffle_or_sort(spark):
+    index = substring_dedup.Index(spark, fanout=9)
+    for k in range(3):
+        index.add(spark.createDataFrame([(p, k) for p in range(100 * k, 100 * k + 300)], "print long, doc_id long"))
+    with index._ordered():
+        plan = index.firsts(index._put_run(index._run(index.runs[0])))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 3 and "Exchange" not in plan and "Sort [" not in plan
+    index.compact()
+    assert len(index.runs) == 1 and index._run(index.runs[0]).agg(F.count("*"), F.sum("first")).first() == (500, 0 * 300 + 1 * 100 + 2 * 100)
+    index.close()
+
+
+@pytest.mark.parametrize("cuts", [[80], [20, 90, 120, 130, 131]])
+def test_a_stored_index_takes_further_batches(spark, tmp_path, cuts):
+    """Batches that are added by jobs of their own give what one run over all gives, through compactions."""
+    rows = [(d, t) for d, t in planted(8, 160) if d is not None]
+    rows = sorted({d: t for d, t in rows}.items())
+    folder, got, want = f"file://{tmp_path}/index", {}, removed(rows, 8)
+    edges = [0, *cuts, len(rows)]
+    for n, (low, high) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        index = substring_dedup.Index.open(spark, folder) if n else substring_dedup.Index(spark, folder)
+        docs = spark.createDataFrame(rows[low:high], "doc_id long, text string")
+        for r in substring_dedup.remove_repeats(docs, window=8, gram=8, batches=1, index=index).collect():
+            got[r["doc_id"]] = (r["n_words"], r["n_removed"], hashlib.sha256(r["kept_text"].encode()).hexdigest())
+        assert len(index.runs) <= substring_dedup.FANOUT
+    assert got == want
+    with pytest.raises(ValueError, match="the index holds ids up to"):
+        substring_dedup.remove_repeats(spark.createDataFrame(rows[:3], "doc_id long, text string"), window=8, gram=8, index=substring_dedup.Index.open(spark, folder))
+
+
 @pytest.mark.parametrize("operator", [jaccard.similar_components, substring_dedup.remove_repeats])
 def test_empty_table_nulls_repeats_and_clashing_columns(spark, operator):
     empty = spark.createDataFrame([], "doc_id long, text string")

@@ -2,13 +2,19 @@
 
 A window is `WINDOW` consecutive words of one document. Its fingerprint is the smallest hash of the `GRAM`-word runs in
 it, so equal windows have equal fingerprints and neighbours mostly share one. The index holds, for each fingerprint, the
-first document that has it, in sorted immutable runs in the shared folder. Each new batch of documents (in doc_id order)
-is merge-joined with the runs, written as a run of its own, and runs are compacted when there are more than `FANOUT`.
+first document that has it, in immutable runs in a shared folder. A run is bucketed and sorted by fingerprint, so a new
+batch of documents (in doc_id order), written as a run of its own, is merge-joined with the others without a shuffle or a
+sort of them. When there are more than `FANOUT` runs they are compacted into one, which later batches read instead.
 Fingerprints met before are then verified: the whole windows that they stand for, in all documents that have them, are
 compared by their window hash, and a word goes if such a window also starts in a document with a smaller doc_id.
 
-Window hashes travel in arrays, one row per map batch and target part; the number of parts grows with the fingerprints.
-Within a map batch only the smallest document with a window asks for it, the others are known to repeat it.
+An index in a folder of its own outlives the job: opened again, it takes further batches of greater ids, and each batch is
+cleaned as if all documents so far had come at once. It keeps the texts and, for fingerprints that several documents have,
+all of these, since a window of a later document may repeat that of any.
+
+Window hashes travel in arrays, one row per map batch and target part; the number of parts grows with the fingerprints,
+that of tasks is bounded, and a task holds one part at a time. Within a map batch only the smallest document with a window
+asks for it, the others are known to repeat it.
 
 Defined cases: a null text has no words; windows never cross documents; repeats inside one document stay; a row without
 doc_id takes no part; rows that repeat a doc_id count as the same document; an empty table gives no rows; other columns
@@ -17,7 +23,9 @@ are ignored. Words are compared by 64-bit hashes.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import compress
 
 import numpy as np
@@ -29,10 +37,13 @@ from vigilspark.llm import common
 
 WINDOW = 50
 GRAM = 8
-BATCHES = 3
+#: Batches that one call makes of its documents: the last of them reads a compacted run.
+BATCHES = 4
 FANOUT = 2
 #: Fingerprints of all documents for each part of the window index; a fingerprint stands for about 21 windows.
 PART_PRINTS = 100_000
+#: Parts beyond this number share tasks, and runs have no more buckets.
+MOST_TASKS = 8192
 
 _U = np.uint64
 _CLEAN = "doc_id bigint, n_words bigint, n_removed bigint, kept_text string"
@@ -81,12 +92,85 @@ def _fingerprints(window: int, gram: int):
     return run
 
 
+_ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+
+
 class Index:
-    """First documents by fingerprint, in sorted immutable runs in the shared folder."""
+    """Documents by fingerprint, in runs that are never changed; a manifest names those that count.
 
-    def __init__(self, spark: SparkSession, fanout: int = FANOUT) -> None:
-        self.spark, self.fanout = spark, fanout
-        self.runs: list[DataFrame] = []
+    `folder` lasts as long as its owner wants; without one the index is of use to one call. `last` is the greatest id so far.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str | None = None, fanout: int = FANOUT) -> None:
+        self.spark, self.fanout, self.lasting = spark, fanout, folder is not None
+        self.folder = (folder or f"{common.shared_dir(spark)}/index-{uuid.uuid4().hex}").rstrip("/")
+        self.version, self.buckets, self.last = 0, 0, None
+        self.paths: dict[str, list[str]] = {"run": [], "member": [], "text": []}
+        self.tables: dict[str, str] = {}
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str, fanout: int = FANOUT) -> Index:
+        """The index that an earlier job left in the folder."""
+        self = cls(spark, folder, fanout)
+        rows = spark.read.schema("version int, kind string, path string, buckets int, last bigint").parquet(f"{self.folder}/manifest/*").collect()
+        self.version = max(r["version"] for r in rows)
+        for r in sorted((r for r in rows if r["version"] == self.version), key=lambda r: r["path"] or ""):
+            self.buckets, self.last = r["buckets"], r["last"]
+            if r["kind"]:
+                self.paths[r["kind"]].append(r["path"])
+        return self
+
+    @property
+    def runs(self) -> list[str]:
+        return list(self.paths["run"])
+
+    def save(self) -> None:
+        """Makes what was added so far the state that `open` finds; until then it finds the one before."""
+        self.version += 1
+        rows = [(self.version, kind, path, self.buckets, self.last) for kind, paths in self.paths.items() for path in paths] or [(self.version, None, None, self.buckets, self.last)]
+        self.spark.createDataFrame(rows, "version int, kind string, path string, buckets int, last bigint").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/manifest/{self.version:08d}")
+
+    def close(self) -> None:
+        """Takes the runs' names out of the catalog; files stay."""
+        for name in self.tables.values():
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.tables.clear()
+
+    def _new(self, kind: str, number: int = 0) -> str:
+        return f"{self.folder}/{kind}-{self.version:08d}-{number:04d}-{uuid.uuid4().hex}"
+
+    def _put_run(self, rows: DataFrame) -> str:
+        """Rows (print, first) as a run with one sorted file for each bucket."""
+        path = self._new("run", len(self.paths["run"]))
+        name = f"run_{uuid.uuid4().hex}"
+        rows.repartition(self.buckets, "print").write.bucketBy(self.buckets, "print").sortBy("print").option("path", path).saveAsTable(name)
+        self.tables[path] = name
+        return path
+
+    def _run(self, path: str) -> DataFrame:
+        if path not in self.tables:
+            self.tables[path] = f"run_{uuid.uuid4().hex}"
+            self.spark.sql(f"CREATE TABLE {self.tables[path]} (print BIGINT, first BIGINT) USING parquet CLUSTERED BY (print) SORTED BY (print) INTO {self.buckets} BUCKETS LOCATION '{path}'")
+        return self.spark.table(self.tables[path])
+
+    def _rows(self, kind: str, schema: str) -> DataFrame:
+        paths = self.paths[kind]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def members(self) -> DataFrame:
+        """(print, doc_id): documents after the first one of a fingerprint."""
+        return self._rows("member", "print bigint, doc_id bigint")
+
+    def texts(self) -> DataFrame:
+        return self._rows("text", "doc_id bigint, text string")
+
+    def firsts(self, own: str) -> DataFrame:
+        """(print, first) of a run's fingerprints: the first document of all runs."""
+        first = self._run(own)
+        for path in self.paths["run"]:
+            past = self._run(path).withColumnRenamed("first", "past").hint("merge")
+            first = first.join(past, "print", "left").select("print", F.least("first", F.coalesce("past", "first")).alias("first"))
+        return first
 
     def add(self, batch: DataFrame) -> DataFrame:
         """Merge-joins a batch (print, doc_id) with the runs, adds it as a run, and returns its repeated fingerprints.
@@ -94,23 +178,34 @@ class Index:
         Returned: (print, doc_id, first), one for each document of the batch with a fingerprint that an earlier
         document has.
         """
-        batch = batch.distinct()
-        own = common.stored(batch.groupBy("print").agg(F.min("doc_id").alias("first")).sortWithinPartitions("print"), "run")
-        first = own
-        for run in self.runs:
-            first = first.join(run.withColumnRenamed("first", "past"), "print", "left").select("print", F.least("first", F.coalesce("past", "first")).alias("first"))
-        repeated = common.stored(batch.join(first, "print").filter("first < doc_id"), "repeated")
-        self.runs.append(own)
-        if len(self.runs) > self.fanout:
+        self.buckets = self.buckets or min(common.partitions(self.spark), MOST_TASKS)
+        batch = common.stored(batch.distinct(), "batch")
+        own = self._put_run(batch.groupBy("print").agg(F.min("doc_id").alias("first")))
+        with self._ordered():
+            first = common.stored(self.firsts(own), "first")
+        repeated = batch.join(first, "print").filter("first < doc_id")
+        path = self._new("member", len(self.paths["member"]))
+        repeated.select("print", "doc_id", "first").write.parquet(path)
+        self.paths["member"].append(path)
+        self.paths["run"].append(own)
+        if len(self.paths["run"]) > self.fanout:
             self.compact()
-        return repeated
+        return self.spark.read.schema("print bigint, doc_id bigint, first bigint").parquet(path)
+
+    @contextmanager
+    def _ordered(self) -> Iterator[None]:
+        """Within, Spark takes the order of a bucket's one file as given and doesn't sort it again."""
+        before = self.spark.conf.get(_ORDERED, "false")
+        self.spark.conf.set(_ORDERED, "true")
+        try:
+            yield
+        finally:
+            self.spark.conf.set(_ORDERED, before)
 
     def compact(self) -> None:
-        """Merges the runs into one."""
-        merged = self.runs[0]
-        for run in self.runs[1:]:
-            merged = merged.unionByName(run)
-        self.runs = [common.stored(merged.groupBy("print").agg(F.min("first").alias("first")).sortWithinPartitions("print"), "run")]
+        """Merges the runs into one. Here alone they are read as plain files: grouped, their union is shuffled once."""
+        merged = self.spark.read.schema("print bigint, first bigint").parquet(*self.paths["run"])
+        self.paths["run"] = [self._put_run(merged.groupBy("print").agg(F.min("first").alias("first")))]
 
 
 _BLOB = "part int, known boolean, docs array<bigint>, counts array<int>, hashes array<bigint>, starts array<int>"
@@ -202,38 +297,57 @@ def _first_only(routes: int):
     """Of each part's windows, where those start that a smaller document has too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[list[np.ndarray]]] = {}
+        now, held = None, []
+        names = [c.split()[0] for c in _FOUND.split(", ")]
+
+        def settled() -> Iterator[pa.RecordBatch]:
+            docs, hashes, starts = (np.concatenate(c) for c in zip(*held, strict=True))
+            held.clear()
+            gone = docs > _lowest_doc(hashes, docs)
+            found = list(_routed(_route(docs[gone], routes), docs[gone], starts[gone]))
+            if found:
+                which, who, n, values = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), _lists(list(who), pa.int64()), _lists(list(n), pa.int32()), _lists([v[0] for v in values], pa.int32())], names=names)
+
         for batch in batches:
             known = np.asarray(batch.column(1).to_pylist(), dtype=bool)
             passed = batch.filter(pa.array(known))
             if passed.num_rows:
-                yield pa.RecordBatch.from_arrays([passed.column(c) for c in (0, 2, 3, 5)], names=[c.split()[0] for c in _FOUND.split(", ")])
+                yield pa.RecordBatch.from_arrays([passed.column(c) for c in (0, 2, 3, 5)], names=names)
             for r in np.flatnonzero(~known).tolist():
+                part = batch.column(0)[r].as_py()
+                if held and part != now:
+                    yield from settled()
+                now = part
                 docs, counts, hashes, starts = (np.asarray(batch.column(c)[r].values) for c in (2, 3, 4, 5))
-                held.setdefault(batch.column(0)[r].as_py(), []).append([np.repeat(docs, counts), hashes.copy(), starts.copy()])
-        for part in sorted(held):
-            docs, hashes, starts = (np.concatenate(c) for c in zip(*held.pop(part), strict=True))
-            gone = docs > _lowest_doc(hashes, docs)
-            found = list(_routed(_route(docs[gone], routes), docs[gone], starts[gone]))
-            if found:
-                which, who, n, values = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), _lists(list(who), pa.int64()), _lists(list(n), pa.int32()), _lists([v[0] for v in values], pa.int32())], names=[c.split()[0] for c in _FOUND.split(", ")])
+                held.append([np.repeat(docs, counts), hashes.copy(), starts.copy()])
+        if held:
+            yield from settled()
 
     return run
 
 
 def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each document: where its repeated windows start."""
-    held: dict[int, list[list[np.ndarray]]] = {}
+    """One row for each document: where its repeated windows start. Rows come sorted by route."""
+    now, held = None, []
+
+    def settled() -> pa.RecordBatch:
+        docs, starts = (np.concatenate(c) for c in zip(*held, strict=True))
+        held.clear()
+        order = np.argsort(docs, kind="stable")
+        ids, n = np.unique(docs, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(ids), _lists(np.split(starts[order], np.cumsum(n)[:-1]), pa.int32())], names=["doc_id", "gone"])
+
     for batch in batches:
         for r in range(batch.num_rows):
+            route = batch.column(0)[r].as_py()
+            if held and route != now:
+                yield settled()
+            now = route
             docs, counts, starts = (np.asarray(batch.column(c)[r].values) for c in (1, 2, 3))
-            held.setdefault(batch.column(0)[r].as_py(), []).append([np.repeat(docs, counts), starts.copy()])
-    for route in sorted(held):
-        docs, starts = (np.concatenate(c) for c in zip(*held.pop(route), strict=True))
-        order = np.argsort(docs, kind="stable")
-        ids, n = np.unique(docs, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), _lists(np.split(starts[order], np.cumsum(n)[:-1]), pa.int32())], names=["doc_id", "gone"])
+            held.append([np.repeat(docs, counts), starts.copy()])
+    if held:
+        yield settled()
 
 
 def _cleaned(window: int):
@@ -259,15 +373,25 @@ def _cleaned(window: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_text): see the module's text."""
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES, index: Index | None = None) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_text): see the module's text.
+
+    With an index, `docs` are a further batch: their ids must be greater than those it holds (ValueError if not). They
+    are cleaned against all documents so far, and the index is saved with them.
+    """
     spark = docs.sparkSession
     texts = common.pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
+    index = index or Index(spark)
+    past, history = index.members(), index.texts()
     prints = common.stored(texts.mapInArrow(common.released(_fingerprints(window, gram)), "print bigint, doc_id bigint"), "prints")
-    cuts, n_prints = prints.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 1000), F.count("*")).first()
+    cuts, n_prints = prints.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)] or [0.5], 1000), F.count("*")).first()
+    low_id, high_id = texts.agg(F.min("doc_id"), F.max("doc_id")).first() if index.lasting else (None, None)
+    if index.last is not None and low_id is not None and low_id <= index.last:
+        raise ValueError(f"the index holds ids up to {index.last}; a further batch can't begin at {low_id}")
     parts = common.partitions(spark, n_prints, PART_PRINTS)
-    edges = [None, *sorted(set(cuts or [])), None]
-    index, found = Index(spark), None
+    index.buckets = index.buckets or min(parts, MOST_TASKS)
+    edges = [None, *(sorted(set(cuts or [])) if batches > 1 else []), None]
+    found = None
     for low, high in zip(edges[:-1], edges[1:], strict=True):
         batch = prints
         if low is not None:
@@ -276,9 +400,20 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batc
             batch = batch.filter(F.col("doc_id") <= high)
         got = index.add(batch)
         found = got if found is None else found.unionByName(got)
-    live = found.select("doc_id", "print").union(found.select("first", "print").distinct()).groupBy("doc_id").agg(F.collect_set("print").alias("prints"))
-    live = common.stored(live, "live")
-    blobs = texts.join(live, "doc_id").select("doc_id", "text", "prints").mapInArrow(common.released(_dealt(parts, window, gram)), _BLOB)
-    found = blobs.repartition(parts, "part").mapInArrow(common.released(_first_only(parts)), _FOUND)
-    gone = found.repartition(parts, "route").mapInArrow(common.released(_by_document), _GONE)
+    index.close()
+    if index.lasting:
+        path = index._new("text", len(index.paths["text"]))
+        texts.write.parquet(path)
+        index.paths["text"].append(path)
+        index.last = max((x for x in (index.last, high_id) if x is not None), default=None)
+        index.save()
+    live = found.select("doc_id", "print").union(found.select("first", "print").distinct())
+    if history is not None and index.lasting:
+        live = live.union(past.join(found.select("print").distinct(), "print", "left_semi").select("doc_id", "print")).distinct()
+    live = common.stored(live.groupBy("doc_id").agg(F.collect_set("print").alias("prints")), "live")
+    every = texts.unionByName(history) if index.lasting else texts
+    tasks = min(parts, max(MOST_TASKS, common.partitions(spark)))
+    blobs = every.join(live, "doc_id").select("doc_id", "text", "prints").mapInArrow(common.released(_dealt(parts, window, gram)), _BLOB)
+    found = blobs.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(common.released(_first_only(parts)), _FOUND)
+    gone = found.repartition(tasks, "route").sortWithinPartitions("route").mapInArrow(common.released(_by_document), _GONE)
     return texts.join(gone, "doc_id", "left").select("doc_id", "text", "gone").mapInArrow(common.released(_cleaned(window)), _CLEAN)
