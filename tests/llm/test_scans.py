@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+import hashlib
 import math
 import random
 import re
@@ -284,3 +286,69 @@ def test_topk_of_large_components(spark, monkeypatch):
         got = {tuple(r) for r in topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2), F.col("vec_id") % 20 == 0).select("query_id", "rank", "vec_id", "score").collect()}
         assert {g for g in got if g[0] < 2000 and abs(g[3]) < most} == {w for w in brute_topk(rows[:500]) if abs(w[3]) < most}
         assert {g for g in got if g[0] == 2000} == {(2000, 1, 2001, most), (2000, 2, 2002, -most)}
+
+
+def plain_feistel(left: int, right: int, left_size: int, right_size: int, tweak: str, key: str) -> tuple[int, int]:
+    for i in range(pii.ROUNDS):
+        shift = int(hashlib.sha256(f"{key}|{tweak}|{i}|{left if i % 2 else right}".encode()).hexdigest()[:14], 16)
+        if i % 2:
+            right = (right + shift) % right_size
+        else:
+            left = (left + shift) % left_size
+    return left, right
+
+
+def plain_digits(digits: str, tweak: str, key: str) -> str:
+    n, a = len(digits), len(digits) // 2
+    x, y = plain_feistel(int(digits[:a]), int(digits[a:]), 10**a, 10 ** (n - a), f"{tweak}{n}", key)
+    return f"{x:0{a}d}{y:0{n - a}d}"
+
+
+def plain_pseudonym(kind: str, value: str, key: str) -> str:
+    """Each format by its definition, in Python's numbers and calendar."""
+    if kind == "ipv4":
+        o = list(map(int, value.split(".")))
+        x, y = plain_feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, "ipv4", key)
+        return f"{x // 256}.{x % 256}.{y // 256}.{y % 256}"
+    if kind == "social":
+        area, group, serial = map(int, value.split("-"))
+        areas = [a for a in range(1, 900) if a != 666]
+        x, y = plain_feistel(areas.index(area), (group - 1) * 9999 + serial - 1, len(areas), 99 * 9999, "social", key)
+        return f"{areas[x]:03d}-{y // 9999 + 1:02d}-{y % 9999 + 1:04d}"
+    if kind == "date":
+        day = datetime.date.fromisoformat(value)
+        start, end = datetime.date(day.year // 100 * 100, 1, 1), datetime.date(day.year // 100 * 100 + 100, 1, 1)
+        a, b = pii.CENTURY[(end - start).days]
+        x, y = plain_feistel((day - start).days // b, (day - start).days % b, a, b, f"date{start}", key)
+        return str(start + datetime.timedelta(days=x * b + y))
+    digits = re.sub("[^0-9]", "", value)
+    if kind == "phone":
+        new = digits[:-10] + plain_digits(digits[-10:], "phone", key)
+    else:
+        body = digits[0] + plain_digits(digits[1:-1], "card", key)
+        new = body + next(c for c in "0123456789" if luhn(body + c))
+    filled = iter(new)
+    return re.sub("[0-9]", lambda _: next(filled), value)
+
+
+@pytest.mark.parametrize("key", ["one key", "another key"])
+def test_pseudonyms_equal_a_plain_feistel_network(spark, key):
+    rng = random.Random(11)
+    made: list[tuple[str, str]] = []
+    for _ in range(40):
+        made.append(("ipv4", ".".join(str(rng.randrange(256)) for _ in range(4))))
+        made.append(("social", f"{rng.choice([a for a in range(1, 900) if a != 666]):03d}-{rng.randrange(1, 100):02d}-{rng.randrange(1, 10000):04d}"))
+        made.append(("date", str(datetime.date(rng.choice([1900, 1999, 2000, 2024]), 1, 1) + datetime.timedelta(days=rng.randrange(365)))))
+        made.append(("phone", rng.choice(["({}) {}-{}", "+49 {} {} {}", "{}-{}-{}"]).format(rng.randrange(100, 1000), rng.randrange(100, 1000), f"{rng.randrange(10000):04d}")))
+        body = "".join(rng.choice("0123456789") for _ in range(rng.choice([12, 15, 18])))
+        card = "4" + body[1:] + next(c for c in "0123456789" if luhn("4" + body[1:] + c))
+        made.append(("card", f"{card[:4]} {card[4:8]} {card[8:12]} {card[12:]}" if len(card) == 16 else card))
+    got = replaced(spark, [v for _, v in made], key)
+    assert [g[0] for g in got] == [plain_pseudonym(k, v, key) for k, v in made]
+
+
+def test_pseudonyms_of_a_very_long_text(spark):
+    text = "call 555-123-4567 or 10.1.2.3; " + "plain words and 12 numbers " * 120_000 + "born 1999-12-31."
+    new, n = replaced(spark, [text], "k")[0]
+    assert n == 3 and len(new) > 3_000_000 and new.startswith(f"call {plain_pseudonym('phone', '555-123-4567', 'k')} or {plain_pseudonym('ipv4', '10.1.2.3', 'k')}; ")
+    assert new.endswith(f"born {plain_pseudonym('date', '1999-12-31', 'k')}.") and new.count("plain words and 12 numbers ") == 120_000
