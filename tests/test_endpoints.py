@@ -109,3 +109,15 @@ def test_waits_double_and_the_last_answer_counts():
     assert endpoints.patient(fetch, "x", "0", tries=4, wait=1.0, sleep=waits.append) == (503, "c")
     assert waits == [1.0, 2.0]
     assert endpoints.patient(lambda a, c: (_ for _ in ()).throw(OSError("no route")), "x", "0", tries=2, sleep=waits.append) == (endpoints.NO_ANSWER, "no route")
+
+
+def test_a_second_endpoint_answers_where_the_first_does_not():
+    def one(address, cursor):
+        if cursor == "0":
+            return 200, "first"
+        if cursor == "1":
+            raise OSError("gone")
+        return 503, "busy"
+
+    both = endpoints.AnyOf(one, lambda a, c: (200, "second") if c != "3" else (404, "none"))
+    assert [both("x", c) for c in "0123"] == [(200, "first"), (200, "second"), (200, "second"), (404, "none")]

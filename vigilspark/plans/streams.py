@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigilspark import schemas
+from vigilspark.operators import fixed_lists, jobs
 from vigilspark.plans.catalog import query, table
-from vigilspark.sources import endpoints, storage
+from vigilspark.sources import endpoints, feeds, storage
 from vigilspark.streaming import live
 
 
@@ -60,30 +62,61 @@ def snapshots_guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{rows}/batch=*").select("event_type", "event_id", F.round("locked", 4).alias("locked"))
 
 
+def _pages(rows: DataFrame, number: Column, kinds: list[str], item: str) -> DataFrame:
+    """Pages (address, cursor, body) of rows (address, and what `item` names as a struct) by their page's number; each page
+    but the last names the next one, and one without rows is empty."""
+    last = rows.agg(F.max(number)).first()[0] or 0
+    items = rows.groupBy("address", number.alias("page")).agg(F.sort_array(F.collect_list(item)).alias("items"))
+    every = rows.sparkSession.createDataFrame([(k,) for k in kinds], "address string").select("address", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(int(last)).cast("bigint"))).alias("page"))
+    following = F.when(F.col("page") < last, (F.col("page") + 1).cast("string"))
+    met = every.join(items, ["address", "page"], "left")
+    body = F.to_json(F.struct(F.coalesce("items", F.array().cast(items.schema["items"].dataType)).alias("items"), following.alias("next")))
+    return met.select("address", F.col("page").cast("string").alias("cursor"), body.alias("body"))
+
+
+def _read_pages(spark: SparkSession, kinds: list[str], progress: str, **options: object) -> DataFrame:
+    """All that an endpoint has, by one query of its stream."""
+    query_ = endpoints.stream(spark, kinds, progress, **options).writeStream.foreachBatch(live.to_batch_folders(f"{progress}-read")).option("checkpointLocation", f"{progress}-query").start()
+    try:
+        query_.processAllAvailable()
+    finally:
+        query_.stop()
+    return spark.read.schema(endpoints.SCHEMA).parquet(f"{progress}-read/batch=*")
+
+
 @query("SELECT event_type AS address, CAST(event_id // 1000 AS INTEGER) AS page, CAST(row_number() OVER (PARTITION BY event_type, event_id // 1000 ORDER BY event_id) - 1 AS INTEGER) AS pos, event_id, value FROM events")
 def paged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each type's events, served as pages of an endpoint of their own and read back as a stream that follows cursors."""
-    events = table(spark, sf_dir, "events")
+    events = table(spark, sf_dir, "events").withColumn("item", F.struct("event_id", "value"))
     folder, progress = _folders(spark, "pages")
-    page = F.floor(F.col("event_id") / 1000)
-    last = events.agg(F.max(page)).first()[0] or 0
     kinds = [r[0] for r in events.select("event_type").distinct().orderBy("event_type").collect()]  # a handful of types
-    items = events.groupBy(F.col("event_type").alias("address"), page.alias("page")).agg(F.sort_array(F.collect_list(F.struct("event_id", "value"))).alias("items"))
-    every = spark.createDataFrame([(k,) for k in kinds], "address string").select("address", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(int(last)).cast("bigint"))).alias("page"))
-    following = F.when(F.col("page") < last, (F.col("page") + 1).cast("string"))
-    body = F.to_json(F.struct(F.coalesce("items", F.array().cast("array<struct<event_id:bigint,value:double>>")).alias("items"), following.alias("next")))
-    pages = every.join(items, ["address", "page"], "left").select("address", F.col("page").cast("string").alias("cursor"), body.alias("body"))
+    pages = _pages(events.withColumnRenamed("event_type", "address"), F.floor(F.col("event_id") / 1000), kinds, "item")
     endpoints.write_pages(pages.repartition("address", "cursor"), folder)
-    got = endpoints.stream(spark, kinds, progress, folder=folder, pages=50)
-    query_ = got.writeStream.foreachBatch(live.to_batch_folders(f"{folder}-read")).option("checkpointLocation", f"{progress}-query").start()
-    try:
-        query_.processAllAvailable()
-    finally:
-        query_.stop()
-    read = spark.read.schema(endpoints.SCHEMA).parquet(f"{folder}-read/batch=*").withColumn("i", F.from_json("item", "event_id bigint, value double"))
+    read = _read_pages(spark, kinds, progress, folder=folder, pages=50).withColumn("i", F.from_json("item", "event_id bigint, value double"))
     return read.select("address", "page", "pos", "i.event_id", "i.value")
 
 
+@query(f"""WITH b AS (SELECT * FROM (VALUES {", ".join(str(r) for r in fixed_lists.FROZEN)}) v(address, chain)), s AS (SELECT '0x' || md5(CAST(s_suppkey AS VARCHAR)) || md5(CAST(s_suppkey AS VARCHAR))[1:8] AS address, s_suppkey % 3 = 0 AS freed FROM supplier)
+SELECT address, chain, 'USDT blacklisted address (' || chain || ')' AS reason FROM b UNION ALL SELECT address, 'ETH', CASE WHEN freed THEN 'USDT address (unfrozen by Tether)' ELSE 'USDT blacklisted address (ETH)' END FROM s""")
+def frozen_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frozen list after a sync from event logs: suppliers as logs of two topics, in pages that one endpoint has in part
+    and a second one whole; every third supplier is in the logs of removals too."""
+    key = F.col("s_suppkey").cast("string")
+    data = F.concat(F.lit("0x" + "0" * 24), F.md5(key), F.left(F.md5(key), F.lit(8)))
+    logs = table(spark, sf_dir, "supplier").select("s_suppkey", F.struct("s_suppkey", data.alias("data")).alias("item"), F.lit("added").alias("address"))
+    logs = logs.unionByName(logs.filter("s_suppkey % 3 = 0").withColumn("address", F.lit("removed")))
+    folder, progress = _folders(spark, "logs")
+    pages = storage.stored(_pages(logs, F.floor(F.col("s_suppkey") / 20), ["added", "removed"], "item"), "log-pages")
+    endpoints.write_pages(pages.filter("cast(cursor as bigint) % 2 = 0"), f"{folder}/first")
+    endpoints.write_pages(pages, f"{folder}/second")
+    read = _read_pages(spark, ["added", "removed"], progress, folder=[f"{folder}/first", f"{folder}/second"], pages=7, wait=0)
+    found = read.select("address", F.from_json("item", "data string")["data"].alias("data"))
+    frozen, removed = (feeds.frozen_from_logs(found.filter(F.col("address") == topic)) for topic in ("added", "removed"))
+    entries = spark.createDataFrame([], schemas.COMPLIANCE_ENTRIES).select(*jobs.ENTRY)
+    got = jobs.sync_frozen(entries, fixed_lists.frozen_baseline(spark), [frozen], [removed], F.expr("TIMESTAMP '2024-01-30 00:00:00'"))
+    return got.select("address", "chain", "reason")
+
+
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') ORDER BY c_custkey LIMIT 100")
 def work_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The next users that were never fetched, after those with an order were marked as done."""

@@ -65,6 +65,24 @@ class HttpFetch:
             return e.code, e.read().decode(errors="replace")
 
 
+class AnyOf:
+    """The first good answer of several endpoints that serve the same pages, asked in order; else the last answer."""
+
+    def __init__(self, *fetches: Fetch) -> None:
+        self.fetches = fetches
+
+    def __call__(self, address: str, cursor: str) -> tuple[int, str]:
+        status, body = NO_ANSWER, "no endpoint"
+        for fetch in self.fetches:
+            try:
+                status, body = fetch(address, cursor)
+            except OSError as e:
+                status, body = NO_ANSWER, str(e)
+            if 200 <= status < 300:
+                break
+        return status, body
+
+
 def patient(fetch: Fetch, address: str, cursor: str, tries: int = 3, wait: float = 1.0, sleep: Callable[[float], None] = time.sleep) -> tuple[int, str]:
     """The first good answer; after a refusal for too many requests or no answer at all the next try waits twice as long,
     after another bad status it comes at once. Of bad answers the last is given."""
@@ -88,7 +106,8 @@ class _Block(InputPartition):
 
 class EndpointReader(DataSourceStreamReader):
     """Options: addresses (JSON array), progress, pages (a round), maxpages (of an address, 0: none), oncap (report or
-    raise), tasks, start (the first cursor), tries, wait, and folder or url (with headers as JSON)."""
+    raise), tasks, start (the first cursor), tries, wait, and folder or url (with headers as JSON); several folders or urls
+    are a JSON array and are asked in order."""
 
     def __init__(self, options: dict[str, str]) -> None:
         self.addresses: list[str] = json.loads(options["addresses"])
@@ -98,7 +117,10 @@ class EndpointReader(DataSourceStreamReader):
         self.start = options.get("start", "0")
         self.tries, self.wait = int(options.get("tries", "3")), float(options.get("wait", "1.0"))
         self.blocks = max(1, min(int(options.get("tasks", "8")), len(self.addresses)))
-        self.fetch: Fetch = FolderFetch(options["folder"]) if "folder" in options else HttpFetch(options["url"], json.loads(options.get("headers", "{}")))
+        several = lambda x: json.loads(x) if x.startswith("[") else [x]
+        headers = json.loads(options.get("headers", "{}"))
+        fetches = [FolderFetch(x) for x in several(options["folder"])] if "folder" in options else [HttpFetch(x, headers) for x in several(options["url"])]
+        self.fetch: Fetch = AnyOf(*fetches) if len(fetches) > 1 else fetches[0]
         self.polled = False
 
     def __getstate__(self) -> dict:
@@ -203,7 +225,7 @@ def stream(spark: SparkSession, addresses: list[str], progress: str, **options:
     """The stream of an endpoint's items (see EndpointReader for options)."""
     spark.dataSource.register(EndpointSource)
     reader = spark.readStream.format("endpoint").option("addresses", json.dumps(addresses)).option("progress", progress)
-    return reader.options(**{k: str(v) for k, v in options.items()}).load()
+    return reader.options(**{k: json.dumps(v) if isinstance(v, (list, dict)) else str(v) for k, v in options.items()}).load()
 
 
 def write_pages(pages: DataFrame, folder: str) -> None:
