@@ -107,3 +107,29 @@ def snapshot_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id FROM events QUALIFY row_number() OVER (PARTITION BY time_bucket(INTERVAL 10 MINUTES, ts) ORDER BY ts) = 1")
 def snapshots_thinned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.thinned(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).select("event_id", "ts"), "ts", 10).select("event_id")
+
+
+@query("""WITH p AS (SELECT CASE WHEN p_partkey % 4 = 1 THEN 'BTC.BTC' ELSE 'X.' || p_partkey END AS asset, p_retailprice / p_size AS usd FROM part WHERE p_size > 0 AND p_retailprice > 0 AND p_partkey % 8 <> 1)
+SELECT round(coalesce(max(usd) FILTER (asset = 'BTC.BTC'), 0), 8) AS usd FROM p""")
+def price_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The home asset's price from the reference pool, which stands several times, some without a price."""
+    k = F.col("p_partkey")
+    name = F.when(k % 4 == 1, "BTC.BTC").otherwise(F.concat(F.lit("X."), k.cast("string")))
+    usd = F.when(k % 8 == 1, "n/a").otherwise(F.col("p_retailprice").cast("string"))
+    pools = table(spark, sf_dir, "part").select(name.alias("asset"), k.alias("pos"), F.col("p_size").cast("string").alias("assetPrice"), usd.alias("assetPriceUSD"))
+    return P.home_price(pools).select(F.round("usd", 8).alias("usd"))
+
+
+_CHANGES = "SELECT date_trunc('day', ts) AS day, sum(value) AS tvl, count(DISTINCT user_id) AS wallets, sum(value) FILTER (event_type = 'purchase') AS revenue, sum(value) FILTER (event_type = 'click') AS volume FROM events GROUP BY 1"
+
+
+@query(f"""WITH s AS ({_CHANGES}), n AS (SELECT * FROM s ORDER BY day DESC LIMIT 1), b AS (SELECT s.* FROM s, n WHERE s.day <= n.day - INTERVAL 24 HOURS ORDER BY s.day DESC LIMIT 1)
+SELECT round((n.volume - b.volume) / b.volume * 100, 6) AS volume_change, round((n.revenue - b.revenue) / b.revenue * 100, 6) AS revenue_change FROM n LEFT JOIN b ON true""")
+def snapshot_volume_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of the last day against the day before where volume is known."""
+    events = table(spark, sf_dir, "events").withColumn("day", F.date_trunc("day", F.col("ts").cast("timestamp")))
+    of = lambda kind: F.sum(F.when(F.col("event_type") == kind, F.col("value")))
+    snaps = events.groupBy("day").agg(F.sum("value").alias("tvl"), F.count_distinct("user_id").alias("wallets"), of("purchase").alias("revenue"), of("click").alias("volume"))
+    now = snaps.orderBy(F.desc("day")).limit(1)
+    before = snaps.join(F.broadcast(now.select(F.col("day").alias("now"))), F.col("day") <= F.col("now") - F.expr("INTERVAL 24 HOURS")).drop("now").orderBy(F.desc("day")).limit(1)
+    return P.changes(now, before).select(F.round("volume_change", 6).alias("volume_change"), F.round("revenue_change", 6).alias("revenue_change"))
