@@ -53,10 +53,14 @@ def test_failures_are_rows_and_are_asked_again(spark, tmp_path):
     (folder / "address=bad" / "cursor=0" / "part-0.txt").write_text("no JSON")
     rows, _ = drain(spark, folder, ["good", "half", "bad", "gone"], tmp_path, wait=0)
     assert [(r[0], r[2], r[4], r[5]) for r in rows] == [("bad", 0, endpoints.BAD_PAGE, None), ("gone", 0, 404, None), ("good", 0, 200, "1"), ("half", 0, 200, "1"), ("half", 1, 404, None)]
+    held = spark.read.schema(endpoints.SCHEMA).parquet(f"{tmp_path}/rows")
+    assert sorted((r["address"], r["page"], r["status"]) for r in endpoints.failures(held).collect()) == [("bad", 0, endpoints.BAD_PAGE), ("gone", 0, 404), ("half", 1, 404)]
     put(folder, "half", 1, [2])
     put(folder, "gone", 0, [3])
     rows, _ = drain(spark, folder, ["good", "half", "bad", "gone"], tmp_path, wait=0)
     assert [(r[0], r[2], r[4], r[5]) for r in rows] == [("bad", 0, endpoints.BAD_PAGE, None), ("gone", 0, 200, "3"), ("half", 1, 200, "2")]
+    held = spark.read.schema(endpoints.SCHEMA).parquet(f"{tmp_path}/rows")
+    assert [r["address"] for r in endpoints.failures(held).collect()] == ["bad"]
 
 
 def test_a_page_limit_is_reported_or_raised(spark, tmp_path):

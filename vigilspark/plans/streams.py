@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilspark import schemas
-from vigilspark.operators import fixed_lists, jobs
+from vigilspark.operators import fixed_lists, jobs, portfolio
 from vigilspark.plans.catalog import query, table
 from vigilspark.sources import endpoints, feeds, storage
 from vigilspark.streaming import live
@@ -117,6 +117,23 @@ def frozen_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("address", "chain", "reason")
 
 
+@query("""SELECT 'K' || p_partkey AS asset, CAST(p_size * 2 AS DOUBLE) AS amount, round(CASE WHEN p_partkey % 7 = 0 THEN 0 ELSE CAST(p_size * 2 AS DOUBLE) * p_retailprice END, 4) AS usd FROM part WHERE p_size > 0""")
+def paged_balances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as balances and as pools, each in pages of an endpoint: what is held at the pools' prices, some of which have none."""
+    k, part = F.col("p_partkey"), table(spark, sf_dir, "part")
+    usd = F.when(k % 7 == 0, "0").otherwise(F.col("p_retailprice").cast("string"))
+    pool = F.struct(k.alias("n"), F.concat(F.lit("THOR.K"), k).alias("asset"), F.lit("1").alias("assetPrice"), usd.alias("assetPriceUSD"))
+    coin = F.struct(k.alias("n"), F.concat(F.lit("THOR.K"), k).alias("denom"), (F.col("p_size").cast("bigint") * 200_000_000).cast("string").alias("amount"))
+    page = F.floor(k / 200)
+    folder, progress = _folders(spark, "money")
+    for name, item in (("pools", pool), ("balances", coin)):
+        endpoints.write_pages(_pages(part.select(k, item.alias("item"), F.lit(name).alias("address")), page, [name], "item"), folder)
+    read = _read_pages(spark, ["pools", "balances"], progress, folder=folder, pages=40)
+    pools = endpoints.parsed(read.filter("address = 'pools'"), schemas.POOLS).withColumn("pos", F.col("page") * 1000 + F.col("pos"))
+    held = portfolio.sum_by_asset(endpoints.parsed(read.filter("address = 'balances'"), schemas.BALANCES))
+    return portfolio.valued(held, portfolio.prices(pools)).select("asset", "amount", F.round("usd", 4).alias("usd"))
+
+
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') ORDER BY c_custkey LIMIT 100")
 def work_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The next users that were never fetched, after those with an order were marked as done."""

@@ -22,6 +22,7 @@ from collections.abc import Callable, Iterator
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 SCHEMA = "address string, round int, page int, pos int, status int, item string, error string"
@@ -231,3 +232,14 @@ def stream(spark: SparkSession, addresses: list[str], progress: str, **options:
 def write_pages(pages: DataFrame, folder: str) -> None:
     """Pages (address, cursor, body) as files that FolderFetch finds."""
     pages.select("address", "cursor", "body").write.mode("append").partitionBy("address", "cursor").text(folder)
+
+
+def parsed(rows: DataFrame, schema: str) -> DataFrame:
+    """The items of an endpoint's rows: (address, page, pos, and the item's fields)."""
+    return rows.filter("item is not null").select("address", "page", "pos", F.from_json("item", schema).alias("i")).select("address", "page", "pos", "i.*")
+
+
+def failures(rows: DataFrame) -> DataFrame:
+    """(address, page, status, error): the last failure of each address that has not been read further since."""
+    ended = rows.groupBy("address").agg(F.max_by(F.struct("page", "status", "error"), F.struct("round", "page", F.col("error").isNotNull())).alias("e"))
+    return ended.select("address", "e.*").filter("error is not null")
