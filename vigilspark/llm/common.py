@@ -159,9 +159,11 @@ def partitions(spark: SparkSession, amount: int = 0, each: int = 1) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir). Where none is set, as in local tests, one is made and set."""
+    """The cluster's shared folder (spark.checkpoint.dir). Where none is set, a local session gets one of its own."""
     got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not got:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         got = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(got)
     return got.rstrip("/")
