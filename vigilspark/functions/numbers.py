@@ -31,6 +31,12 @@ def fixed(x: Column, places: int) -> Column:
     return x.cast(f"decimal(38,{places})").cast("string") if places else x.cast("decimal(38,0)").cast("string")
 
 
+def scaled(x: Column, digits: int, places: int) -> Column:
+    """Text of a decimal over 10**digits with a fixed number of decimals, rounded once: the quotient itself would be rounded
+    to what its type holds before."""
+    return fixed(F.round(x, places - digits) / 10**digits, places)
+
+
 def without_zeros(x: Column) -> Column:
     """Decimal text without trailing zeros or dot."""
     return F.when(x.contains("."), F.rtrim(F.rtrim(x, F.lit("0")), F.lit("."))).otherwise(x)
@@ -46,7 +52,7 @@ def format_amount(raw: Column) -> Column:
     x = amount(raw)
     return (
         F.when(x.isNull() | (x == 0), "0")
-        .when(x > 10000, F.concat(fixed(x / 1000, 1), F.lit("k")))
+        .when(x > 10000, F.concat(scaled(x, 3, 1), F.lit("k")))
         .when(x > 1, fixed(x, 2))
         .when(x > F.lit("0.001").cast("decimal(10,8)"), fixed(x, 4))
         .when(x > F.lit("0.000001").cast("decimal(10,8)"), fixed(x, 6))
@@ -58,13 +64,13 @@ def compact(x: Column, separators: bool = True) -> Column:
     """Millions and thousands with one decimal, smaller numbers in full."""
     d = x.cast("decimal(38,8)")
     small = F.format_number(x.cast("bigint"), 0) if separators else x.cast("bigint").cast("string")
-    return F.when(d >= 1_000_000, F.concat(fixed(d / 1_000_000, 1), F.lit("M"))).when(d >= 1000, F.concat(fixed(d / 1000, 1), F.lit("k"))).otherwise(small)
+    return F.when(d >= 1_000_000, F.concat(scaled(d, 6, 1), F.lit("M"))).when(d >= 1000, F.concat(scaled(d, 3, 1), F.lit("k"))).otherwise(small)
 
 
 def usd(x: Column) -> Column:
     """$0, millions and thousands with one decimal, else two decimals."""
     d = x.cast("decimal(38,8)")
-    short = F.when(d >= 1_000_000, F.concat(fixed(d / 1_000_000, 2), F.lit("M"))).when(d >= 1000, F.concat(fixed(d / 1000, 1), F.lit("k"))).otherwise(fixed(d, 2))
+    short = F.when(d >= 1_000_000, F.concat(scaled(d, 6, 2), F.lit("M"))).when(d >= 1000, F.concat(scaled(d, 3, 1), F.lit("k"))).otherwise(fixed(d, 2))
     return F.when(x.isNull() | (x == 0), "$0").otherwise(F.concat(F.lit("$"), short))
 
 
@@ -78,7 +84,7 @@ def significant(x: Column, places: int = 2) -> Column:
 def live_amount(x: Column) -> Column:
     """The live feed's display form; empty for dust."""
     d = x.cast("decimal(38,8)")
-    k = lambda n: F.concat(fixed(d / 1000, n), F.lit("k"))
+    k = lambda n: F.concat(scaled(d, 3, n), F.lit("k"))
     return F.when(d > 10000, k(0)).when(d > 1000, k(1)).when(d > 1, fixed(d, 1)).when(d > F.lit("0.01").cast("decimal(10,8)"), fixed(d, 3)).otherwise("")
 
 
