@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vigilspark.functions import codecs, numbers, text, times
 from vigilspark.operators import fixed_lists, history, jobs, portfolio, screening
-from vigilspark.plans.catalog import query, table
+from vigilspark.plans.catalog import dealt, query, table
 from vigilspark.sources import exports
 from vigilspark.streaming import live
 
@@ -37,7 +37,7 @@ def _bech32_sql(prefix: str, words: str) -> str:
 @query(f"WITH w AS (SELECT c_custkey, {_words_sql('c_custkey')} AS w FROM customer) SELECT c_custkey, {_bech32_sql('thor', 'w')} AS home, {_bech32_sql('cosmos', 'w')} AS hub, {_bech32_sql('thor', 'w')} AS back FROM w")
 def bech32_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addresses of the same key on two chains, and back."""
-    rows = table(spark, sf_dir, "customer").select("c_custkey", codecs.bech32_of_hex(_hex(F.col("c_custkey"))).alias("home"))
+    rows = dealt(table(spark, sf_dir, "customer").select("c_custkey")).select("c_custkey", codecs.bech32_of_hex(_hex(F.col("c_custkey"))).alias("home"))
     rows = rows.withColumn("hub", codecs.to_cosmos_address("home"))
     return rows.withColumn("back", codecs.to_home_address("hub"))
 
@@ -111,7 +111,7 @@ UNION ALL SELECT 'edge', home, hub, 'GAIA' FROM m WHERE k % 5 = 0 OR k % 4 = 1""
 def member_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members of the home chain and of the hub, every fifth known before: new users and the edges of shared keys."""
     home = codecs.bech32_of_hex(_hex(F.col("c_custkey")))
-    rows = table(spark, sf_dir, "customer").select("c_custkey", home.alias("home")).withColumn("hub", codecs.to_cosmos_address("home"))
+    rows = dealt(table(spark, sf_dir, "customer").select("c_custkey")).select("c_custkey", home.alias("home")).withColumn("hub", codecs.to_cosmos_address("home"))
     members = rows.filter("c_custkey % 4 <> 3").select(F.when(F.col("c_custkey") % 4 == 1, F.col("hub")).otherwise(F.col("home")).alias("address"))
     users, edges = screening.member_sync(members, rows.filter("c_custkey % 5 = 0").select(F.col("home").alias("thor_address")))
     blank = F.lit("")
