@@ -79,6 +79,17 @@ def test_the_target_is_not_shuffled(spark, target):
     assert plan.index("FileScan") < plan.index("Exchange")
 
 
+def test_buckets_grow_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(merging, "BUCKET_ROWS", 700)
+    rows = spark.range(5000).select(F.col("id").alias("k"), F.lit("old").alias("v"))
+    one = merging.StoredTable(spark, f"merge_{time.time_ns()}", ["k"], parts=3, buckets=2).create(rows)
+    spec = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE EXTENDED {one.name}").collect()}
+    assert spec["Num Buckets"] == "8"
+    one.upsert(spark.range(4990, 5010).select(F.col("id").alias("k"), F.lit("new").alias("v")), ["v"])
+    assert {r["k"]: r["v"] for r in one.read().collect()} == {k: "old" if k < 4990 else "new" for k in range(5010)}
+    spark.sql(f"DROP TABLE {one.name}")
+
+
 def test_a_failing_sink_leaves_an_error_row(spark, tmp_path):
     clock = lambda: datetime(2024, 1, 1)
     rows = spark.range(100)
