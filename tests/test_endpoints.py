@@ -45,6 +45,21 @@ def test_a_run_resumes_where_the_last_one_ended(spark, tmp_path):
     assert n == 29 and [(r[0], r[2], r[3], json.loads(r[5])) for r in rows] == [("y", 0, 3, "new"), ("y", 1, 0, "newer")]
 
 
+def test_rounds_grow_until_an_address_ends(spark, tmp_path):
+    folder = tmp_path / "pages"
+    for a, pages in (("x", 60), ("y", 3)):
+        for p in range(pages):
+            put(folder, a, p, [p], str(p + 1) if p + 1 < pages else None)
+    rows, n = drain(spark, folder, ["x", "y"], tmp_path, pages=2, growth=3)
+    assert n == 63 and sorted((r[0], r[2], json.loads(r[5])) for r in rows) == sorted((a, p, p) for a, k in (("x", 60), ("y", 3)) for p in range(k))
+    assert [sum(r[0] == "x" and r[1] == k for r in rows) for k in range(1, 6)] == [2, 6, 18, 34, 0]
+    put(folder, "x", 59, [59], "60")
+    for p in range(60, 66):
+        put(folder, "x", p, [p], str(p + 1) if p < 65 else None)
+    rows, n = drain(spark, folder, ["x", "y"], tmp_path, pages=2, growth=3)
+    assert n == 69 and [r[2] for r in sorted(rows, key=lambda r: r[2])] == list(range(60, 66))
+
+
 def test_failures_are_rows_and_are_asked_again(spark, tmp_path):
     folder = tmp_path / "pages"
     put(folder, "good", 0, [1])
@@ -75,6 +90,14 @@ def test_a_page_limit_is_reported_or_raised(spark, tmp_path):
         drain(spark, folder, ["x"], tmp_path / "other", maxpages=4, oncap="raise")
 
 
+def test_pages_are_written_by_all_cores(spark, tmp_path):
+    pages = spark.range(200).coalesce(1).selectExpr("'x' AS address", "cast(id AS string) AS cursor", "'{\"items\": [1]}' AS body")
+    endpoints.write_pages(pages, f"file://{tmp_path}/pages")
+    files = [p.name for p in (tmp_path / "pages").rglob("part-*.txt")]
+    assert len(files) == 200 and len({f.split("-")[1] for f in files}) == spark.sparkContext.defaultParallelism
+    assert endpoints.FolderFetch(f"file://{tmp_path}/pages")("x", "7") == (200, '{"items": [1]}\n')
+
+
 class Server(http.server.BaseHTTPRequestHandler):
     asked: dict = {}
 

@@ -75,8 +75,8 @@ def _pages(rows: DataFrame, number: Column, kinds: list[str], item: str) -> Data
 
 
 def _read_pages(spark: SparkSession, kinds: list[str], progress: str, **options: object) -> DataFrame:
-    """All that an endpoint has, by one query of its stream."""
-    query_ = endpoints.stream(spark, kinds, progress, **options).writeStream.foreachBatch(live.to_batch_folders(f"{progress}-read")).option("checkpointLocation", f"{progress}-query").start()
+    """All that an endpoint has, by one query of its stream, in rounds that grow as long as there are pages left."""
+    query_ = endpoints.stream(spark, kinds, progress, growth=4, **options).writeStream.foreachBatch(live.to_batch_folders(f"{progress}-read")).option("checkpointLocation", f"{progress}-query").start()
     try:
         query_.processAllAvailable()
     finally:
@@ -91,7 +91,7 @@ def paged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, progress = _folders(spark, "pages")
     kinds = [r[0] for r in events.select("event_type").distinct().orderBy("event_type").collect()]  # a handful of types
     pages = _pages(events.withColumnRenamed("event_type", "address"), F.floor(F.col("event_id") / 1000), kinds, "item")
-    endpoints.write_pages(pages.repartition("address", "cursor"), folder)
+    endpoints.write_pages(pages, folder)
     read = _read_pages(spark, kinds, progress, folder=folder, pages=50).withColumn("i", F.from_json("item", "event_id bigint, value double"))
     return read.select("address", "page", "pos", "i.event_id", "i.value")
 

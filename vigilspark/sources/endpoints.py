@@ -29,6 +29,9 @@ SCHEMA = "address string, round int, page int, pos int, status int, item string,
 #: Statuses of rows without an item that no server sends: no answer, a page that is no page, an address at its page limit.
 NO_ANSWER, BAD_PAGE, CAPPED = 0, -1, -2
 
+#: The most pages of an address in a round that grows.
+MOST_PAGES = 10_000
+
 Fetch = Callable[[str, str], tuple[int, str]]
 
 
@@ -106,7 +109,8 @@ class _Block(InputPartition):
 
 
 class EndpointReader(DataSourceStreamReader):
-    """Options: addresses (JSON array), progress, pages (a round), maxpages (of an address, 0: none), oncap (report or
+    """Options: addresses (JSON array), progress, pages (a round), growth (an address that a round left open gets so many
+    times the pages in the next one, until it ends; at most MOST_PAGES or `pages`), maxpages (of an address, 0: none), oncap (report or
     raise), tasks, start (the first cursor), tries, wait, and folder or url (with headers as JSON); several folders or urls
     are a JSON array and are asked in order."""
 
@@ -114,6 +118,7 @@ class EndpointReader(DataSourceStreamReader):
         self.addresses: list[str] = json.loads(options["addresses"])
         self.store, self.progress = fs.FileSystem.from_uri(options["progress"])
         self.pages, self.most = int(options.get("pages", "10")), int(options.get("maxpages", "0"))
+        self.growth = int(options.get("growth", "1"))
         self.raises = options.get("oncap", "report") == "raise"
         self.start = options.get("start", "0")
         self.tries, self.wait = int(options.get("tries", "3")), float(options.get("wait", "1.0"))
@@ -180,7 +185,8 @@ class EndpointReader(DataSourceStreamReader):
         """Rows of the next pages; `at` moves on. A page's items are given once, however often it is read."""
         if at["state"] == "capped":
             return
-        for _ in range(self.pages):
+        pages = at.pop("pages", self.pages)
+        for _ in range(pages):
             if self.most and at["page"] >= self.most:
                 message = f"stopped after {at['page']} pages at cursor {at['cursor']}"
                 if self.raises:
@@ -208,6 +214,7 @@ class EndpointReader(DataSourceStreamReader):
                 at |= {"seen": max(at["seen"], len(items)), "state": "done"}
                 return
             at |= {"cursor": str(following), "page": at["page"] + 1, "seen": 0, "state": "open"}
+        at["pages"] = min(pages * self.growth, max(self.pages, MOST_PAGES))
 
 
 class EndpointSource(DataSource):
@@ -230,8 +237,10 @@ def stream(spark: SparkSession, addresses: list[str], progress: str, **options:
 
 
 def write_pages(pages: DataFrame, folder: str) -> None:
-    """Pages (address, cursor, body) as files that FolderFetch finds."""
-    pages.select("address", "cursor", "body").write.mode("append").partitionBy("address", "cursor").text(folder)
+    """Pages (address, cursor, body) as files that FolderFetch finds. A folder for each page is slow to make, however few bytes
+    there are: pages are dealt over all cores, and tasks move their files into place, not the driver one by one."""
+    dealt = pages.select("address", "cursor", "body").repartition(pages.sparkSession.sparkContext.defaultParallelism, "address", "cursor")
+    dealt.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("address", "cursor").text(folder)
 
 
 def parsed(rows: DataFrame, schema: str) -> DataFrame:
