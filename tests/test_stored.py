@@ -139,3 +139,20 @@ def test_parties_of_damaged_xml_are_nulls(spark):
     rows = spark.createDataFrame([(1, "<DistinctParty><Profile ID='4'/></DistinctParty>"), (2, "<DistinctParty><Pro"), (3, None)], "k int, xml string")
     got = {r["k"]: r["Profile"] for r in feeds.parse_parties(rows).collect()}
     assert got[1][0]["_ID"] == "4" and got[2] is None and got[3] is None
+
+
+def test_parties_are_parsed_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def fetched(text):
+        read.add(1)
+        return text
+
+    feature = "<Feature FeatureTypeID='344'><FeatureVersion><VersionDetail>a{0}</VersionDetail></FeatureVersion><IdentityReference IdentityID='{1}'/></Feature>"
+    name = "<Identity ID='{0}'><Alias><DocumentedName><DocumentedNamePart><NamePartValue>n{0}</NamePartValue></DocumentedNamePart></DocumentedName></Alias></Identity>"
+    texts = [f"<DistinctParty><Profile ID='{i}'>{feature.format(i, (i + 1) % 20)}{name.format(i)}</Profile></DistinctParty>" for i in range(20)]  # names stand in other parties
+    rows = spark.createDataFrame([(t,) for t in [*texts, "<DistinctParty><Pro", None, "<DistinctParty/>"]], "xml string").select(fetched("xml").alias("xml"))
+    got = feeds.sanctioned_addresses(feeds.parse_parties(rows)).collect()
+    assert sorted((r["address"], r["entity_name"]) for r in got) == sorted((f"a{i}", f"n{(i + 1) % 20}") for i in range(20))
+    assert read.value == 23
