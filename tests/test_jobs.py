@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from vigilspark import schemas
-from vigilspark.operators import fixed_lists, geo, jobs
+from vigilspark.operators import fixed_lists, geo, history, jobs
+from vigilspark.plans import histories
 from vigilspark.sources import exports, feeds
 from vigilspark.streaming import live
 
@@ -85,3 +86,30 @@ def test_counters_fill_as_rows_pass(spark):
     rows, seen = live.with_progress(spark.range(10).withColumnRenamed("id", "k"), "progress", even=F.col("k") % 2 == 0)
     rows.write.format("noop").mode("overwrite").save()
     assert seen.get == {"rows": 10, "even": 5}
+
+
+def test_reports_deal_actions_and_make_groups_once(spark, small, monkeypatch):
+    actions = histories.contract_actions(spark, small)
+    assert actions.rdd.getNumPartitions() == histories._actions(spark, small).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    made, whole = spark.sparkContext.accumulator(0), history.grouped
+
+    @F.udf("int")
+    def counted(n):
+        made.add(1)
+        return n
+
+    monkeypatch.setattr(history, "grouped", lambda *args: whole(*args).withColumn("internalCount", counted("internalCount")))
+    reports, _ = jobs.history_reports(actions, fixed_lists.contracts(spark), now=F.expr("TIMESTAMP '2024-01-01 00:00:00'"), size=4)
+    assert made.value == reports.agg(F.sum("group_count")).first()[0] > 0
+
+
+def test_few_and_many_contracts_name_alike(spark, small, monkeypatch):
+    actions, known = histories.contract_actions(spark, small), fixed_lists.contracts(spark)
+
+    def named():
+        rows = history.with_priority(history.parse_actions(actions, known, "user"), F.col("user"), known)
+        return sorted(map(tuple, rows.collect()))
+
+    few = named()
+    monkeypatch.setattr(history, "FEW_CONTRACTS", 100)
+    assert named() == few

@@ -44,12 +44,21 @@ def without_zeros(x: Column) -> Column:
 
 def raw_amount(raw: Column) -> Column:
     """A fixed-point amount as exact text of up to 8 decimals; 0 where there is none."""
-    return F.coalesce(without_zeros(fixed(amount(raw), 8)), F.lit("0"))
+    return exact_amount(amount(raw))
+
+
+def exact_amount(x: Column) -> Column:
+    """raw_amount of an amount that is read already."""
+    return F.coalesce(without_zeros(fixed(x, 8)), F.lit("0"))
 
 
 def format_amount(raw: Column) -> Column:
     """The display form of a fixed-point amount: k over 10000, then 2, 4, 6 or 8 decimals by size."""
-    x = amount(raw)
+    return shown_amount(amount(raw))
+
+
+def shown_amount(x: Column) -> Column:
+    """format_amount of an amount that is read already."""
     return (
         F.when(x.isNull() | (x == 0), "0")
         .when(x > 10000, F.concat(scaled(x, 3, 1), F.lit("k")))

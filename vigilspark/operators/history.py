@@ -20,6 +20,13 @@ FEE_ONLY = ("fin-range-fee", "fin-range-claim", "fin-mm-fee")
 NOTHING = ("fin-range-xfer", "ghost-credit-create")
 FILLS_OUT = ("swap", "fin-trade", "tc-swap", "bow-swap", "fin-order-wd")
 FILLS_IN = ("swap", "fin-trade", "tc-swap", "bow-swap")
+CLAIMS = ("ruji-unstake", "ruji-claim")
+# The class of each of these types; other types have none.
+CLASSES = {
+    kind: name
+    for name, kinds in (("ask", SWAP_ASK), ("returned", SWAP_RETURNED), ("in", IN_FUND), ("out_amount", OUT_AMOUNT), ("out", OUT_FUND), ("in_amount", IN_AMOUNT), ("two", TWO_FUNDS), ("fee", FEE_ONLY), ("nothing", NOTHING), ("claim", CLAIMS))
+    for kind in kinds
+}
 VISIBLE = 5
 
 
@@ -36,12 +43,14 @@ def decoded(contract: Column) -> Column:
 
     Reads a struct with contractType, funds and attributes.
     """
-    mapped = nested.lookup(_map(dims.CONTRACT_TYPES), contract["contractType"])
-    kind = F.coalesce(mapped, F.lit("contract"))
+    types = {event: F.struct(F.lit(kind).alias("type"), F.lit(CLASSES.get(kind, kind)).alias("class")) for event, kind in dims.CONTRACT_TYPES.items()}
+    mapped = nested.lookup(F.create_map(*[x for event, known in types.items() for x in (F.lit(event), known)]), contract["contractType"])
     attrs = contract["attributes"]
     attr = lambda k: _truthy(nested.lookup(attrs, F.lit(k)))
 
-    def from_funds(funds: Column) -> Column:
+    def from_type(read: Column) -> Column:
+        known, funds = read["mapped"], read["funds"]
+        kind, of = F.coalesce(known["type"], F.lit("contract")), known["class"]
         f0, f1 = F.get(funds, F.lit(0)), F.get(funds, F.lit(1))
         asset, amount = F.coalesce(f0["asset"], F.lit("")), F.coalesce(f0["amount"], F.lit("0"))
         bid = F.coalesce(attr("bid"), attr("offer"), F.lit("0"))
@@ -56,25 +65,26 @@ def decoded(contract: Column) -> Column:
 
         out = lambda c: (F.coalesce(c["asset"], no), F.coalesce(c["amount"], zero))
         return (
-            F.when(mapped.isNull(), row(asset, amount))
-            .when(kind == "fin-trade", row(asset, amount, F.coalesce(bid_coin["asset"], no), F.coalesce(bid_coin["amount"], bid)))
-            .when(kind.isin(*SWAP_ASK), row(asset, amount, *out(swap_out)))
-            .when(kind.isin(*SWAP_RETURNED), row(asset, amount, *out(returned)))
-            .when(kind.isin(*IN_FUND), row(asset, amount))
-            .when(kind.isin(*OUT_AMOUNT), row(asset_out=asset, raw_out=F.coalesce(attr("amount"), amount)))
-            .when(kind.isin(*OUT_FUND), row(asset_out=asset, raw_out=amount))
-            .when(kind.isin(*IN_AMOUNT), row(asset, F.coalesce(attr("amount"), amount)))
-            .when(kind.isin(*TWO_FUNDS), row(asset, amount, *out(f1)))
-            .when(kind.isin(*FEE_ONLY), row(raw_out=fee))
-            .when(kind.isin(*NOTHING), row())
-            .when(kind == "ruji-stake", row(text.or_default(asset, "RUJI"), amount))
-            .when(kind.isin("ruji-unstake", "ruji-claim"), row(asset_out=F.lit("RUJI"), raw_out=F.coalesce(attr("returned"), amount)))
-            .when(kind == "brune-mint", row(asset, amount, F.lit("BRUNE"), F.coalesce(attr("amount"), amount)))
-            .when(kind == "brune-burn", row(F.lit("BRUNE"), amount))
+            F.when(known.isNull(), row(asset, amount))
+            .when(of == "fin-trade", row(asset, amount, F.coalesce(bid_coin["asset"], no), F.coalesce(bid_coin["amount"], bid)))
+            .when(of == "ask", row(asset, amount, *out(swap_out)))
+            .when(of == "returned", row(asset, amount, *out(returned)))
+            .when(of == "in", row(asset, amount))
+            .when(of == "out_amount", row(asset_out=asset, raw_out=F.coalesce(attr("amount"), amount)))
+            .when(of == "out", row(asset_out=asset, raw_out=amount))
+            .when(of == "in_amount", row(asset, F.coalesce(attr("amount"), amount)))
+            .when(of == "two", row(asset, amount, *out(f1)))
+            .when(of == "fee", row(raw_out=fee))
+            .when(of == "nothing", row())
+            .when(of == "ruji-stake", row(text.or_default(asset, "RUJI"), amount))
+            .when(of == "claim", row(asset_out=F.lit("RUJI"), raw_out=F.coalesce(attr("returned"), amount)))
+            .when(of == "brune-mint", row(asset, amount, F.lit("BRUNE"), F.coalesce(attr("amount"), amount)))
+            .when(of == "brune-burn", row(F.lit("BRUNE"), amount))
             .otherwise(F.when(amount != "0", row(asset, amount)).otherwise(row()))
         )
 
-    made = F.transform(F.array(text.coin_list(contract["funds"])), from_funds)[0]
+    # the type and its class are looked up once, not by every branch
+    made = nested.let(F.struct(mapped.alias("mapped"), text.coin_list(contract["funds"]).alias("funds")), from_type)
     return F.when(~text.missing(F.coalesce(contract["contractType"], F.lit(""))), made)
 
 
@@ -91,7 +101,7 @@ def fees(metadata: Column) -> Column:
     )
 
 
-#: Contracts up to this number go into the rows' task as one map; more are joined.
+#: Contracts up to this number are sent to the rows' tasks; more are joined by a shuffle.
 FEW_CONTRACTS = 2000
 
 
@@ -100,20 +110,25 @@ def contract_names(contracts: DataFrame) -> DataFrame:
     return contracts.groupBy("address").agg(F.min(F.struct("name", "category")).alias("who"))
 
 
+def _few(contracts: DataFrame) -> bool:
+    return contracts.limit(FEW_CONTRACTS + 1).count() <= FEW_CONTRACTS
+
+
 def _with_contracts(actions: DataFrame, contracts: DataFrame) -> DataFrame:
     """`actions` (with __from, __to and __legs, the addresses of all legs) with the contracts of sender and recipient
-    (__f, __t) and the first among the legs (__any)."""
+    (__f, __t) and, where __open asks for it, the first among the legs (__any)."""
     names = contract_names(contracts)
-    if names.limit(FEW_CONTRACTS + 1).count() <= FEW_CONTRACTS:
-        # one row of at most FEW_CONTRACTS entries: the actions aren't shuffled, and each looks its addresses up in place
-        one = names.agg(F.map_from_entries(F.collect_list(F.struct("address", "who"))).alias("__names"))
-        met = actions.join(F.broadcast(one), F.lit(True), "left")
-        hit = F.get(F.filter(F.transform("__legs", lambda x: F.try_element_at("__names", x)), lambda x: x.isNotNull()), F.lit(0))
-        return met.withColumns({"__f": F.try_element_at("__names", "__from"), "__t": F.try_element_at("__names", "__to"), "__any": hit}).drop("__names")
-    any_contract = actions.select("seq", F.posexplode("__legs").alias("pos", "address")).join(names, "address").groupBy("seq").agg(F.min_by("who", "pos").alias("__any"))
+    few = _few(names)
     named = actions
     for key, who in (("__from", "__f"), ("__to", "__t")):
-        named = named.join(names.select(F.col("address").alias(key), F.col("who").alias(who)), key, "left")
+        other = names.select(F.col("address").alias(key), F.col("who").alias(who))
+        named = named.join(F.broadcast(other) if few else other, key, "left")
+    if few:
+        # one row of at most FEW_CONTRACTS entries: the actions aren't shuffled, and those that need it look their legs up in place
+        one = names.agg(F.map_from_entries(F.collect_list(F.struct("address", "who"))).alias("__names"))
+        hit = F.get(F.filter(F.transform("__legs", lambda x: F.try_element_at("__names", x)), lambda x: x.isNotNull()), F.lit(0))
+        return named.join(F.broadcast(one), F.lit(True), "left").withColumn("__any", F.when(F.col("__open"), hit)).drop("__names")
+    any_contract = actions.filter("__open").select("seq", F.posexplode("__legs").alias("pos", "address")).join(names, "address").groupBy("seq").agg(F.min_by("who", "pos").alias("__any"))
     return named.join(any_contract, "seq", "left")
 
 
@@ -133,13 +148,13 @@ def parse_actions(actions: DataFrame, contracts: DataFrame, *carry: str) -> Data
             "__d": F.when(F.col("type") == "contract", decoded(F.col("metadata.contract"))),
         }
     )
-    base = _with_contracts(base, contracts)
-    c_in, c_out = nested.first(nested.first(F.col("`in`"))["coins"]), nested.first(nested.first(F.col("`out`"))["coins"])
     d = F.col("__d")
     is_contract = d.isNotNull()
+    base = _with_contracts(base.withColumn("__open", F.coalesce(is_contract & (d["asset_out"] == "") & (d["asset_in"] != ""), F.lit(False))), contracts)
+    c_in, c_out = nested.first(nested.first(F.col("`in`"))["coins"]), nested.first(nested.first(F.col("`out`"))["coins"])
     f_name, t_name = F.col("__f.name"), F.col("__t.name")
     pair = F.coalesce(f_name, t_name, F.col("__any.name"))
-    needs_pair = is_contract & (d["asset_out"] == "") & (d["asset_in"] != "")
+    needs_pair = F.col("__open")
     asset_out = F.when(needs_pair & pair.isNotNull(), text.or_default(text.other_side(d["asset_in"], pair), "")).otherwise(d["asset_out"])
     raw_in = F.when(is_contract, d["raw_in"]).otherwise(text.or_default(c_in["amount"], "0"))
     raw_out = F.when(is_contract, d["raw_out"]).otherwise(text.or_default(c_out["amount"], "0"))
@@ -147,16 +162,18 @@ def parse_actions(actions: DataFrame, contracts: DataFrame, *carry: str) -> Data
     category = F.coalesce(_truthy(F.col("__f.category")), _truthy(F.col("__t.category")), F.when(needs_pair, F.col("__any.category")), F.lit(""))
     fee = fees(F.col("metadata"))
     blank = F.lit("")
+    # amounts are read once, in a step of their own
+    base = base.withColumns({"__in": numbers.amount(raw_in), "__out": numbers.amount(raw_out)})
     return base.select(
         "seq",
         F.when(is_contract, d["type"]).otherwise(text.or_default(F.col("type"), "unknown")).alias("type"),
         F.coalesce(times.iso(times.from_nanos(F.col("date"))), blank).alias("date"),
         F.when(is_contract, d["asset_in"]).otherwise(text.clean_asset(c_in["asset"])).alias("assetIn"),
-        numbers.format_amount(raw_in).alias("amountIn"),
+        numbers.shown_amount(F.col("__in")).alias("amountIn"),
         F.when(is_contract, asset_out).otherwise(text.clean_asset(c_out["asset"])).alias("assetOut"),
-        F.when(is_contract & (d["type"] == "contract"), blank).otherwise(numbers.format_amount(raw_out)).alias("amountOut"),
-        numbers.raw_amount(raw_in).alias("rawAmountIn"),
-        numbers.raw_amount(raw_out).alias("rawAmountOut"),
+        F.when(is_contract & (d["type"] == "contract"), blank).otherwise(numbers.shown_amount(F.col("__out"))).alias("amountOut"),
+        numbers.exact_amount(F.col("__in")).alias("rawAmountIn"),
+        numbers.exact_amount(F.col("__out")).alias("rawAmountOut"),
         F.col("__from").alias("from"),
         F.col("__to").alias("to"),
         F.coalesce(f_name, blank).alias("fromLabel"),
@@ -186,6 +203,7 @@ def with_priority(rows: DataFrame, user: Column | None, contracts: DataFrame | N
     if user is None:
         return rows.withColumn("priority", base)
     known = (contracts.select("address").distinct() if contracts is not None else rows.select(F.col("from").alias("address")).limit(0)).withColumn("__is", F.lit(True))
+    known = F.broadcast(known) if contracts is None or _few(known) else known
     out = rows.join(known.toDF("from", "__fc"), "from", "left").join(known.toDF("to", "__tc"), "to", "left")
     mine, to_me = F.col("from") == user, F.col("to") == user
     tier = F.when(F.col("__fc") & F.col("__tc") & ~mine & ~to_me, 300).when(mine, 0).when(to_me, 100).otherwise(200)

@@ -142,7 +142,8 @@ def history_reports(actions: DataFrame, contracts: DataFrame, user: str = "user"
     if end and not live:
         rows = rows.filter(~text.missing(F.col("date")) & (F.col("date") <= end))
     rows = storage.stored(rows, "report-rows")
-    groups = history.grouped(rows, F.col(user), contracts, (user,))
+    # numbering reads its rows twice, to find the ranges and to deal them
+    groups = storage.stored(history.grouped(rows, F.col(user), contracts, (user,)), "report-groups")
     cells = [c for c in rows.columns if c not in ("seq", user)]
     kinds = (("transactions", rows, "seq", F.struct(*[F.col(f"`{c}`") for c in cells])), ("groups", groups, "first_seq", F.struct("primary", "subActions", "internalCount", "txID")))
     pages = None

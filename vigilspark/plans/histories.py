@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vigilspark.functions import text
 from vigilspark.operators import dims, fixed_lists
 from vigilspark.operators import history as H
-from vigilspark.plans.catalog import query, table
+from vigilspark.plans.catalog import dealt, query, table
 from vigilspark.sources import exports
 
 #: Roles and turns as transaction types.
@@ -99,7 +99,7 @@ def _actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     swap = F.when(k % 2 == 0, F.struct(fees.alias("networkFees"), F.lit("123").alias("liquidityFee"), F.lit(False).alias("isStreamingSwap")))
     other = F.lit(None).cast("struct<networkFees:array<struct<asset:string,amount:string>>,liquidityFee:string>")
     meta = F.struct(F.when(k % 3 == 0, contract).alias("contract"), swap.alias("swap"), other.alias("addLiquidity"), other.alias("withdraw"))
-    return table(spark, sf_dir, "orders").select(k.alias("seq"), ((k + 1_600_000_000) * 1_000_000_000).cast("string").alias("date"), F.when(k % 3 == 0, "contract").otherwise("swap").alias("type"), F.lit("success").alias("status"), leg(F.concat(F.lit("thor"), F.col("o_custkey").cast("string")), "THOR.RUNE", k * 100).alias("in"), leg(F.lit("bc1pool"), "BTC.BTC", k * 10).alias("out"), meta.alias("metadata"))
+    return dealt(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")).select(k.alias("seq"), ((k + 1_600_000_000) * 1_000_000_000).cast("string").alias("date"), F.when(k % 3 == 0, "contract").otherwise("swap").alias("type"), F.lit("success").alias("status"), leg(F.concat(F.lit("thor"), F.col("o_custkey").cast("string")), "THOR.RUNE", k * 100).alias("in"), leg(F.lit("bc1pool"), "BTC.BTC", k * 10).alias("out"), meta.alias("metadata"))
 
 
 @query("""WITH b AS (SELECT o_orderkey AS k, o_custkey FROM orders), x AS (SELECT *, k % 3 = 0 AS c, k % 8 AS m FROM b)
@@ -167,7 +167,7 @@ def contract_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     swap = F.lit(None).cast("struct<networkFees:array<struct<asset:string,amount:string>>,liquidityFee:string,isStreamingSwap:boolean>")
     meta = F.struct(contract.alias("contract"), swap.alias("swap"), other.alias("addLiquidity"), other.alias("withdraw"))
     date = ((k + 1_600_000_000) * 1_000_000_000).cast("string")
-    return table(spark, sf_dir, "orders").select(k.alias("seq"), date.alias("date"), F.lit("contract").alias("type"), F.lit("success").alias("status"), F.array(leg(sender)).alias("in"), F.array(leg(receiver), leg(third)).alias("out"), meta.alias("metadata"), user.alias("user"))
+    return dealt(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")).select(k.alias("seq"), date.alias("date"), F.lit("contract").alias("type"), F.lit("success").alias("status"), F.array(leg(sender)).alias("in"), F.array(leg(receiver), leg(third)).alias("out"), meta.alias("metadata"), user.alias("user"))
 
 
 def _other_side_sql(asset: str, name: str) -> str:

@@ -43,7 +43,8 @@ def customer_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored report of every customer in one job, in pages of four; amounts are read back from the pages' JSON."""
     actions = histories.contract_actions(spark, sf_dir)
     reports, pages = jobs.history_reports(actions, fixed_lists.contracts(spark), now=F.expr("TIMESTAMP '2024-01-01 00:00:00'"), size=4)
-    held = nested.at(nested.payload(F.col("data")), "$", "array<variant>")
-    total = F.aggregate(held, F.lit(0).cast("bigint"), lambda s, t: s + (nested.at(t, "$.rawAmountOut", "decimal(30,8)") * 100_000_000).cast("bigint"))
-    counts = reports.select("address", "tx_count", "group_count")
-    return pages.join(counts, "address").select(F.col("address").alias("account"), "kind", "page", F.col("rows").alias("n"), "tx_count", "group_count", F.when(F.col("kind") == "transactions", total).alias("raw_out"))
+    items = nested.at(nested.payload(F.col("data")), "$", "array<variant>")
+    total = F.aggregate(items, F.lit(0).cast("bigint"), lambda s, t: s + (nested.at(t, "$.rawAmountOut", "decimal(30,8)") * 100_000_000).cast("bigint"))
+    held = pages.select(F.col("address").alias("account"), "kind", "page", F.col("rows").alias("n"), F.when(F.col("kind") == "transactions", total).alias("raw_out"))
+    counts = reports.select(F.col("address").alias("account"), "tx_count", "group_count")
+    return held.join(counts, "account").select("account", "kind", "page", "n", "tx_count", "group_count", "raw_out")
